@@ -1,4 +1,4 @@
 """Imports every family module, which fills the registry."""
 
-from . import profile_queries  # noqa: F401
+from . import cleaning_queries, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
