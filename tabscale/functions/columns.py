@@ -40,10 +40,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(df: DataFrame, columns: list[str], keep: Iterable[str], dtype: str) -> DataFrame:
+    values = F.array(*[col(c).cast(dtype) for c in columns])
+    return df.select(*[col(k) for k in keep], F.posexplode(values).alias("_at", "value"))
+
+
+def _by_number(values: list) -> Column:
+    """The entry of ``values`` for the column number in ``_at``."""
+    return F.array(*[F.lit(v) for v in values])[F.col("_at")]
+
+
 def stack(df: DataFrame, columns: list[str], keep: Iterable[str] = (), dtype: str = "double") -> DataFrame:
     """Rows of (keep..., feature, value), one per row and column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast(dtype).alias("value")) for c in columns])
-    return df.select(*[col(k) for k in keep], F.inline(pairs))
+    rows = _numbered(df, columns, keep, dtype)
+    return rows.select(*[col(k) for k in keep], _by_number(columns).alias("feature"), "value")
 
 
 def per_feature(
@@ -69,12 +79,9 @@ def per_feature(
             packed.append(F.struct(F.lit(c).alias("feature"), *cells).alias(f"f{i}"))
         row = df.agg(*packed)
         return row.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(columns))])))
-    rows = stack(df, columns, keep, dtype)
-    names: list[str] = []
-    if params:
-        names = sorted({k for p in params.values() for k in p})
-        schema = "feature string, " + ", ".join(f"`p_{n}` double" for n in names)
-        data = [(c, *[params.get(c, {}).get(n) for n in names]) for c in columns]
-        rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(data, schema)), "feature")
-    p = {n: F.col(f"p_{n}") for n in names}
-    return rows.groupBy("feature").agg(*[fn(F.col("value"), p).alias(name) for name, fn in stats.items()])
+    # Grouped by column number: an integer key, with names and params looked up by it.
+    rows = _numbered(df, columns, keep, dtype)
+    names = sorted({k for p in (params or {}).values() for k in p})
+    tables = {n: _by_number([params.get(c, {}).get(n) for c in columns]).cast("double") for n in names}
+    grouped = rows.groupBy("_at").agg(*[fn(F.col("value"), tables).alias(name) for name, fn in stats.items()])
+    return grouped.select(_by_number(columns).alias("feature"), *stats)

@@ -108,3 +108,9 @@ def _order_statistics(data: DataFrame, targets, counts, small) -> dict[tuple[int
         ]
         found.update(zip(part, data.agg(*picks).first(), strict=True))
     return found
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, small: int = SMALL) -> float:
+    """The value at a 0-based rank of the non-null values of ``column``."""
+    data = df.select(col(column).cast("double").alias("c0"))
+    return _order_statistics(data, [(0, rank)], [data.agg(F.count("c0")).first()[0]], small)[0, rank]

@@ -54,3 +54,20 @@ def poisson_weight(seed, *keys) -> Column:
     steps = poisson_steps()
     # Count the steps at or below u; written as an array so that u is one expression.
     return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("int")
+
+
+def hash_normal_array(seed, n: int, *keys) -> Column:
+    """``n`` standard normals per row; element i equals ``hash_normal(f"{seed}|{i}", *keys)``.
+
+    One lambda over a sequence: hundreds of separate expressions would cost
+    more to compile than to run.
+    """
+
+    def draw(i: Column) -> Column:
+        parts = [F.lit(str(seed)), i.cast("string")]
+        parts += [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
+        digest = F.md5(F.concat_ws("|", *parts))
+        radius = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(_word(digest, 0), F.lit(1e-12))))
+        return radius * F.cos(F.lit(2.0 * math.pi) * _word(digest, 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)
