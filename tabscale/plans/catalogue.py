@@ -1,4 +1,4 @@
 """Imports every family module, which fills the registry."""
 
-from . import cleaning_queries, preparation_queries, profile_queries  # noqa: F401
+from . import cleaning_queries, preparation_queries, profile_queries, score_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
