@@ -1,4 +1,10 @@
 """Imports every family module, which fills the registry."""
 
-from . import cleaning_queries, preparation_queries, profile_queries, score_queries  # noqa: F401
+from . import (  # noqa: F401
+    cleaning_queries,
+    forest_queries,
+    preparation_queries,
+    profile_queries,
+    score_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
