@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     cleaning_queries,
     forest_queries,
+    model_queries,
     preparation_queries,
     profile_queries,
     score_queries,
