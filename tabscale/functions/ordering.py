@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +61,8 @@ def running_totals(
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), grid, 20_000)).first()[0]))
-    edges = F.array(*[F.lit(c) for c in cuts])
-    # Cuts are sorted, so the piece of a value is its insertion point.
-    piece = F.size(F.filter(edges, lambda e: e < F.col(order)))
-    marked = df.withColumn("_piece", piece)
+    edges = [float("-inf"), *[c for c in cuts if math.isfinite(c)], float("inf")]
+    marked = Bucketizer(splits=edges, inputCol=order, outputCol="_piece").transform(df)
     totals = marked.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(direction("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(

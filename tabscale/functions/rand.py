@@ -51,9 +51,11 @@ def poisson_steps() -> list[float]:
 def poisson_weight(seed, *keys) -> Column:
     """How often a bootstrap draws the row: Poisson(1) by inverse CDF."""
     u = hash_uniform(seed, *keys)
-    steps = poisson_steps()
-    # Count the steps at or below u; written as an array so that u is one expression.
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u)).cast("int")
+    # The steps at or below u; the draw is one common subexpression of the sum.
+    total = F.lit(0)
+    for step in poisson_steps():
+        total = total + (u >= step).cast("int")
+    return total
 
 
 def hash_normal_array(seed, n: int, *keys) -> Column:

@@ -36,6 +36,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 EXACT_ROWS = 2_000_000
 # Nodes of one level that may be broadcast; wider levels are joined by shuffle.
 NODE_LIMIT = 100_000
+# Ways the rows of one node are spread in such a join.
+SALTS = 16
 
 # The nine configurations (columns per combination, muting rate).
 GRID = [(k, rate) for k in (1, 2, 5) for rate in (0.0, 0.5, 0.8)]
@@ -278,9 +280,17 @@ def node_importance(samples: DataFrame, nodes: DataFrame, p: int, trials: int, s
 # --- growing -----------------------------------------------------------------------------------
 
 
-def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at")) -> DataFrame:
-    """Join node information to rows: broadcast while the level is small, else by shuffle."""
-    return df.join(F.broadcast(table) if small else table, list(keys))
+def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at"), how: str = "inner") -> DataFrame:
+    """Join node information to rows: broadcast while the level is small, else by shuffle.
+
+    A node may hold a third of the rows, so the shuffle spreads the rows of a
+    node over copies of its table row.
+    """
+    if small:
+        return df.join(F.broadcast(table), list(keys), how)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def _slots(state: DataFrame) -> DataFrame:
@@ -295,7 +305,7 @@ def _samples(state: DataFrame) -> DataFrame:
 def _descend(slots: DataFrame, level: DataFrame, small: bool, most: int) -> DataFrame:
     """Move each (row, tree) one level down; at a leaf it takes the value and stops."""
     node = level.select("tree", "at", "fs", "ws", "threshold", "left", F.col("value").alias("_value"), F.lit(True).alias("_open"))
-    joined = slots.join(F.broadcast(node) if small else node, ["tree", "at"], "left")
+    joined = _attach(slots, node, small, how="left")
     v = combine(F.col("x"), F.col("fs"), F.col("ws"), most)
     down = F.when(v <= F.col("threshold"), F.col("left")).otherwise(F.col("left") + 1)
     leaf = F.col("_open") & F.col("fs").isNull()

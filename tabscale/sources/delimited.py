@@ -19,15 +19,17 @@ def _typed(df: DataFrame) -> DataFrame:
     for c in df.columns:
         text = F.trim(col(c))
         filled = text.isNotNull() & (text != "")
-        checks.append(F.struct(
-            F.coalesce(F.bool_and(F.when(filled, text.try_cast("bigint").isNotNull())), F.lit(False)).alias("whole"),
-            F.coalesce(F.bool_and(F.when(filled, text.try_cast("double").isNotNull())), F.lit(False)).alias("number")))
+
+        def every(test: Column, filled=filled) -> Column:
+            return F.coalesce(F.bool_and(F.when(filled, test)), F.lit(False))
+
+        # An integer must look like one: a cast to bigint would also accept '1.0'.
+        whole = text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull()
+        checks.append(F.struct(every(whole).alias("whole"), every(text.try_cast("double").isNotNull()).alias("number")))
     kinds = df.agg(*checks).first()
-    # An integer must look like one: a cast to bigint would also accept '1.0'.
-    whole = df.agg(*[F.coalesce(F.bool_and(F.trim(col(c)).rlike(r"^[+-]?\d+$") | (F.trim(col(c)) == "")), F.lit(False)) for c in df.columns]).first()
 
     def cast(c: str, i: int) -> Column:
-        if kinds[i].whole and whole[i]:
+        if kinds[i].whole:
             return F.trim(col(c)).try_cast("bigint").alias(c)
         return F.trim(col(c)).try_cast("double").alias(c) if kinds[i].number else col(c)
 
@@ -55,4 +57,4 @@ def read_whitespace(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     """Fields separated by any white space; quoted ones may hold spaces."""
     fields = F.regexp_extract_all("value", F.lit(r'("[^"]*"|\S+)'), F.lit(1))
     rows = spark.read.text(path).where(F.trim("value") != "").select(fields.alias("f")).where(F.size("f") <= len(columns))
-    return _typed(rows.select(*[F.trim(F.lit('"'), F.get("f", F.lit(i))).alias(c) for i, c in enumerate(columns)]))
+    return _typed(rows.select(*[F.trim(F.get("f", F.lit(i)), F.lit('"')).alias(c) for i, c in enumerate(columns)]))
