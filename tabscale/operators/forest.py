@@ -1,14 +1,14 @@
 """Muted forest: trees that drop weak columns as they grow.
 
 All trees grow together, one level per round. A row is stored once, with one
-slot (weight, node) per tree and partitioned by its id; every pass explodes the
-slots in flight and aggregates before it shuffles. Per node a small embedded forest of random
+slot (weight, node) per tree, and never moves while levels are small; every pass
+explodes the slots in flight and aggregates before it shuffles. Per node a small embedded forest of random
 depth-3 trees rates the active columns, the weakest are muted, and the best of
 the quartile splits of the top columns (or of their weighted sum) is taken.
 
 Tables:
 * rows    (row_id, x array<double>, c int class or 0, y double)
-* state   rows + slots array<struct<w, at, value>>, one slot per tree
+* state   rows + the arrays w, at and value with one slot per tree
 * level   one row per node of a level, keyed by (tree, at); ``at`` numbers the
           nodes of a tree within the level
 """
@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,7 +296,7 @@ def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at"), h
 
 
 def _slots(state: DataFrame) -> DataFrame:
-    return state.select("row_id", "x", "c", "y", F.posexplode("slots").alias("tree", "s")).select(
+    return state.select("row_id", "x", "c", "y", F.posexplode(F.arrays_zip("w", "at", "value")).alias("tree", "s")).select(
         "row_id", "x", "c", "y", "tree", "s.w", "s.at", "s.value")
 
 
@@ -318,14 +320,49 @@ def _descend(slots: DataFrame, level: DataFrame, small: bool, most: int) -> Data
 def step(state: DataFrame, level: DataFrame, small: bool, most: int) -> DataFrame:
     """Move every row one level down in every tree.
 
-    The state is partitioned by ``row_id``, so putting the slots of a row back
-    together needs no shuffle while the level is small enough to broadcast.
+    The nodes of a small level travel with the tasks and rows stay where they
+    are. A wide level is joined by shuffle and the slots are put together again.
     """
+    if small:
+        move = _mover(level, most)
+        moved = state.withColumn("_m", move("x", "at", "value"))
+        return moved.select("row_id", "x", "c", "y", "w", F.col("_m.at").alias("at"), F.col("_m.value").alias("value"))
     moved = _descend(_slots(state), level, small, most)
-    slot = F.struct("tree", F.struct("w", "at", "value").alias("s"))
-    return moved.groupBy("row_id").agg(
+    back = moved.groupBy("row_id").agg(
         F.first("x").alias("x"), F.first("c").alias("c"), F.first("y").alias("y"),
-        F.transform(F.array_sort(F.collect_list(slot)), lambda t: t["s"]).alias("slots"))
+        F.array_sort(F.collect_list(F.struct("tree", "w", "at", "value"))).alias("s"))
+    return back.select("row_id", "x", "c", "y", *[F.col(f"s.{n}").alias(n) for n in ("w", "at", "value")])
+
+
+def _mover(level: DataFrame, most: int):
+    """A vectorised move over the at most NODE_LIMIT nodes of a level; unset values are NaN."""
+    trees: dict[int, dict[str, np.ndarray]] = {}
+    rows = level.select("tree", "at", "fs", "ws", "threshold", "left", "value").toPandas()
+    for tree, part in rows.sort_values("at").groupby("tree"):
+        fs, ws = np.zeros((len(part), most), dtype=int), np.zeros((len(part), most))
+        for i, (f, w) in enumerate(zip(part["fs"], part["ws"], strict=True)):
+            if f is not None:
+                fs[i, : len(f)], ws[i, : len(w)] = f, w
+        trees[int(tree)] = {
+            "fs": fs, "ws": ws, "leaf": part["threshold"].isna().to_numpy(), "threshold": part["threshold"].to_numpy(),
+            "left": part["left"].fillna(-1).to_numpy(int), "value": part["value"].to_numpy(float)}
+    shared = level.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("at array<int>, value array<double>")
+    def move(x: pd.Series, at: pd.Series, value: pd.Series) -> pd.DataFrame:
+        x, at, value = np.stack(x), np.stack(at).astype(np.int32), np.stack(value).astype(float)
+        for tree, node in shared.value.items():
+            live = np.flatnonzero(at[:, tree] >= 0)
+            i = at[live, tree]
+            v = node["ws"][i, 0] * x[live, node["fs"][i, 0]]
+            for j in range(1, node["fs"].shape[1]):
+                v = v + node["ws"][i, j] * x[live, node["fs"][i, j]]
+            leaf = node["leaf"][i]
+            value[live[leaf], tree] = node["value"][i[leaf]]
+            at[live, tree] = np.where(leaf, -1, node["left"][i] + (v > node["threshold"][i]))
+        return pd.DataFrame({"at": list(at), "value": list(value)})
+
+    return move
 
 
 def grow(
@@ -359,8 +396,13 @@ def grow(
         weights = [F.lit(1)] * len(trees)
     else:
         weights = [poisson_weight(f"{seed}|{t}", "row_id") for t in range(len(trees))]
-    slots = [F.struct(w.cast("int").alias("w"), F.lit(0).alias("at"), F.lit(None).cast("double").alias("value")) for w in weights]
-    state = cut_lineage(rows.select("row_id", "x", "c", "y").repartition("row_id").withColumn("slots", F.array(*slots)))
+    blank = F.lit(float("nan"))
+    # A fixed number of partitions: each row becomes trees x trials rows in flight, so small
+    # input must not be coalesced into one task, and large input keeps its parallelism.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    state = cut_lineage(rows.select(
+        "row_id", "x", "c", "y", F.array(*[w.cast("int") for w in weights]).alias("w"),
+        F.array_repeat(F.lit(0), len(trees)).alias("at"), F.array_repeat(blank, len(trees)).alias("value")).repartition(parts, "row_id"))
     most = max(k for k, _ in trees)
     ends = state.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i").collect()
     spark = rows.sparkSession

@@ -41,7 +41,7 @@ def test_nodes_add_up(grown):
 def test_leaves_hold_weighted_means(surface, grown):
     """Every split is a quartile of its node and every leaf the mean of the rows that reach it."""
     model, state = grown
-    rows = state.select("row_id", "x", "y", F.posexplode("slots").alias("tree", "s")).select("row_id", "x", "y", "tree", "s.w").toPandas()
+    rows = state.select("row_id", "x", "y", F.posexplode(F.arrays_zip("w", "at")).alias("tree", "s")).select("row_id", "x", "y", "tree", "s.w").toPandas()
     nodes = model.nodes().toPandas().set_index(["tree", "node"])
     for tree, part in rows[rows.w > 0].groupby("tree"):
         x, y, w = np.stack(part.x), part.y.to_numpy(), part.w.to_numpy()
