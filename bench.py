@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tabscale.plans import catalogue
@@ -35,6 +36,7 @@ def main() -> None:
         catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         if i:
             run[name] = round(time.perf_counter() - start, 3)
+            print(name, run[name], file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     total = round(sum(run.values()), 3)
     print(json.dumps({

@@ -61,9 +61,11 @@ def poisson_weight(seed, *keys) -> Column:
 def hash_normal_array(seed, n: int, *keys) -> Column:
     """``n`` standard normals per row; element i equals ``hash_normal(f"{seed}|{i}", *keys)``.
 
-    One lambda over a sequence: hundreds of separate expressions would cost
-    more to compile than to run.
+    A few are generated code. Many are one lambda over a sequence, since hundreds
+    of separate expressions would cost more to compile than to run.
     """
+    if n <= 32:
+        return F.array(*[hash_normal(f"{seed}|{i}", *keys) for i in range(n)])
 
     def draw(i: Column) -> Column:
         parts = [F.lit(str(seed)), i.cast("string")]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import col, numeric_columns, per_feature, text_columns
 from ..functions.ordering import lookup, with_position
 from ..functions.quantiles import order_statistic
-from ..functions.rand import hash_normal_array, hash_uniform
+from ..functions.rand import hash_normal, hash_normal_array, hash_uniform
 from .profile import CLASSIFICATION, REGRESSION
 
 WIDTH = 500          # columns of a prepared table
@@ -69,6 +69,11 @@ def _mixed_noise(df: DataFrame, features: list[str], key: str, n: int, seed) ->
     rows = per_feature(df, used, {"m": lambda c, p: F.avg(c), "s": lambda c, p: F.stddev_pop(c)})
     stats = {r.feature: (r.m, r.s) for r in rows.collect()}
     signals = F.array(*[(col(c) - F.lit(stats[c][0])) / F.lit((stats[c][1] or 0.0) + 1e-8) for c in used])
+    if n <= 32:
+        # Few columns stay generated code; many share one lambda.
+        scaled = {c: (col(c) - F.lit(stats[c][0])) / F.lit((stats[c][1] or 0.0) + 1e-8) for c in used}
+        return df.select("*", F.array(*[
+            scaled[c] + 2.0 * hash_normal(f"{seed}|mix|{i}", key) for i, c in enumerate(picks)]).alias("_noise"))
     at = F.array(*[F.lit(used.index(c) + 1) for c in picks])
     mixed = F.zip_with(at, noise, lambda i, e: F.element_at(F.col("_signals"), i) + 2.0 * e)
     return df.select("*", signals.alias("_signals")).select(*[col(c) for c in df.columns], mixed.alias("_noise"))
