@@ -20,8 +20,8 @@ HEADLINE = [
     "imp_auto", "out_all", "out_remove",
     "prep_noise_mix", "prep_split", "prep_scale", "prep_label_encode",
     "met_bundle", "met_prf_weighted", "met_auc", "cmp_rep_stats",
-    "rf_bootstrap", "rf_thresholds", "rf_split_reg", "rf_grow",
-    "ml_ridge", "ml_rf", "xai_shap", "xai_lime",
+    "rf_bootstrap", "rf_thresholds", "rf_grow",
+    "ml_ridge", "ml_rf", "xai_shap",
 ]
 
 

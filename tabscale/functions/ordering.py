@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # Rows a single task may order; larger tables go through range partitions.
-SMALL = 200_000
+SMALL = 1_000_000
+# Rows of a key table that may be broadcast.
+BROADCAST = 200_000
 _MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in 33 bits
 
 
@@ -76,7 +78,7 @@ def running_totals(
     return out
 
 
-def lookup(big: DataFrame, table: DataFrame, key: str, count: str, small: int = SMALL) -> DataFrame:
+def lookup(big: DataFrame, table: DataFrame, key: str, count: str, small: int = BROADCAST) -> DataFrame:
     """Left join of a key table (one row per key, with its row count in ``big``).
 
     A small table is broadcast. Otherwise keys holding over a thousandth of the

@@ -109,6 +109,8 @@ def split(df: DataFrame, key: str, train_rows: int = TRAIN_ROWS, seed=42) -> tup
     if train_rows <= 10_000:
         last = df.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first().o
         h_last, k_last = last.h, last.k
+    elif df.limit(train_rows).count() < train_rows:
+        return df, df.where(F.lit(False))
     else:
         h_last = order_statistic(df.select(h.alias("h")), "h", train_rows - 1)
         below = df.where(h < h_last).count()

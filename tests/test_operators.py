@@ -61,6 +61,8 @@ def test_split_sizes_and_paths_agree(spark):
     for n in (1, 150, 3000):
         train, test = prepare.split(df, "id", n)
         assert train.count() == n and test.count() == 3000 - n
+    train, test = prepare.split(spark.range(50), "id", 20_000)
+    assert train.count() == 50 and test.count() == 0
     by_rank = {r.id for r in prepare.split(spark.range(30_000), "id", 12_000)[0].collect()}
     ordered = spark.range(30_000).orderBy(prepare.hash_uniform(42, "id"), "id").limit(12_000)
     assert by_rank == {r.id for r in ordered.collect()}
