@@ -20,7 +20,7 @@ HEADLINE = [
     "imp_auto", "out_all", "out_remove",
     "prep_noise_mix", "prep_split", "prep_scale", "prep_label_encode",
     "met_bundle", "met_prf_weighted", "met_auc", "cmp_rep_stats",
-    "rf_bootstrap", "rf_thresholds", "rf_grow",
+    "rf_bootstrap", "rf_thresholds", "rf_fit",
     "ml_ridge", "ml_rf", "xai_shap",
 ]
 
