@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers at most ``BATCH_ROWS`` rows at once, in this session."""
+def ready_workers(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, and at most ``BATCH_ROWS`` rows at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        folder = tempfile.TemporaryDirectory()  # Spark sends the file from the driver
+        package = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(f"{folder.name}/{package.name}.zip", "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(out.filename)
+        _SENT[context.applicationId] = folder
+
+
+_SENT: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, clear_names, small_batches, uniform, utf8
+from .common import _LOWER, clear_names, ready_workers, uniform, utf8
 
 UNKNOWN = "und"
 #: Rows that the model is fitted on at most in expectation, spread evenly over languages.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2400
 #: Size of the table of subwords, and of an embedding.
 BUCKETS, WIDTH = 1 << 14, 16
 ORDERS = (1, 2, 3, 4)
@@ -71,19 +71,20 @@ def has_letter(data: np.ndarray) -> bool:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch["text"])
-        ids, values, langs, holds = [], [], [], []
+        ids, values, langs, docs, holds = [], [], [], [], []
         for i in range(batch.num_rows):
             text = data[at[i] : at[i + 1]]
             if has_letter(text):
                 share = shares(text)
                 found = np.flatnonzero(share)
-                ids.append(found.astype(np.int32))
+                ids.append(found.astype(np.int16))
                 values.append(share[found].astype(np.float32))
                 langs.append(batch["lang"][i].as_py())
+                docs.append(batch["doc_id"][i].as_py())
                 holds.append(batch["calibrates"][i].as_py())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(holds, pa.bool_()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
-            names=["lang", "calibrates", "ids", "values"])
+            [pa.array(langs, pa.string()), pa.array(docs, pa.int64()), pa.array(holds, pa.bool_()), pa.array(ids, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))],
+            names=["lang", "doc_id", "calibrates", "ids", "values"])
 
 
 def held_out(key: str = "doc_id"):
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 12, seed:
     ``sample_rows`` bounds the expected number of rows, equally many from each
     language; a digest of the id picks them, so the model is the same at any layout.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     labelled = clear_names(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
@@ -104,13 +105,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 12, seed:
     langs = sorted(sizes)
     wanted = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_rows / len(langs) / sizes[k])))])
     picked = labelled.where(uniform("langid", "doc_id") < wanted[F.col("lang")])
-    rows = picked.select("lang", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("calibrates")).mapInArrow(
-        _counted, "lang string, calibrates boolean, ids array<int>, values array<float>").toArrow()
-    sparse = list(zip(rows["ids"].to_pylist(), rows["values"].to_pylist(), strict=True))
+    rows = picked.select("lang", F.col("doc_id").cast("bigint"), "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("calibrates")).mapInArrow(
+        _counted, "lang string, doc_id bigint, calibrates boolean, ids array<smallint>, values array<float>").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    sparse = []
+    for ids, values in zip(rows["ids"].chunks, rows["values"].chunks, strict=True):
+        at = ids.offsets.to_numpy()
+        ids, values, first = ids.values.to_numpy(), values.values.to_numpy(), values.offsets[0].as_py()
+        sparse += [(ids[lo:hi], values[lo - at[0] + first : hi - at[0] + first]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
     y = np.array([langs.index(x) for x in rows["lang"].to_pylist()], int)
     held = np.array(rows["calibrates"].to_pylist(), bool)
-    order = np.argsort([f"{a}{len(b[0])}{b[0][:3]}{b[1][:3]}" for a, b in zip(y, sparse, strict=True)], kind="stable")
-    sparse, y, held = [sparse[i] for i in order], y[order], held[order]
     return train(langs, sparse, y, held, epochs, seed)
 
 
@@ -120,12 +124,11 @@ def train(langs, sparse, y, held, epochs: int = 12, seed: int = 7, rate: float =
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     layer = rng.normal(0, 0.1, (WIDTH, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
-    dense = [(np.asarray(i, np.int64), np.asarray(v, np.float32)) for i, v in sparse]
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(learn):
-            ids, share = dense[i]
+            ids, share = sparse[i]
             mean = share @ embed[ids]
             logit = mean @ layer + bias
             p = np.exp(logit - logit.max())
@@ -137,7 +140,7 @@ def train(langs, sparse, y, held, epochs: int = 12, seed: int = 7, rate: float =
             embed[ids] -= (step * share)[:, None] * back[None, :]
     table = (embed @ layer).astype(np.float64)
     check = np.flatnonzero(held) if held.any() else learn
-    logits = np.array([dense[i][1] @ table[dense[i][0]] + bias for i in check]).reshape(len(check), len(langs))
+    logits = np.array([sparse[i][1] @ table[sparse[i][0]] + bias for i in check]).reshape(len(check), len(langs))
     best, level = 1.0, 0.0
     if len(check) and len(langs) > 1:
         loss = lambda t: float(np.mean(np.log(np.exp((logits - logits.max(1, keepdims=True)) / t).sum(1)) + (logits.max(1) - logits[np.arange(len(check)), y[check]]) / t))
@@ -156,7 +159,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) ->
     whose confidence lies below the model's level keeps its best language and is rejected.
     Rows with a null id, repeated rows and an empty table need nothing special.
     """
-    small_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     fixed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
