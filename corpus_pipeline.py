@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tabscale.llm import langid
+from tabscale.llm import decontaminate, langid, mixing, near_dup, shards
 from tabscale.llm.common import stored, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; the label column is left as it is."""
@@ -22,8 +21,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=docs.columns).where("NOT rejected").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Rows of one id are one document, and the smallest text stays; rows without an id all stay.
+    """
+    kept = near_dup.dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics have their target weights."""
+    return mixing.sample(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of token ids in training order; returns what they hold."""
+    return shards.materialise(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
+    ("near_dedup", near_duplicates),
+    ("decontaminate", benchmarks),
+    ("mix_sources", mixture),
+    ("token_shards", sequences),
 ]
 
 

@@ -7,21 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dup, langid
+from . import chat, decontaminate, exact_dup, langid, licenses, mixing, near_dup, pseudo_lm, shards, toxicity
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs), keep=["doc_id"])
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_language_id)
+    f.__name__: f for f in (
+        op1_near_dedup, op2_exact_dedup, op3_mix_sources, op4_language_id, op5_chat_format,
+        op6_token_shards, op7_decontaminate, op8_license_scan, op9_toxicity, op10_lm_score)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dup.SQL}
