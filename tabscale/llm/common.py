@@ -19,6 +19,8 @@ from ..session import shared_folder
 
 #: Rows a Python worker gets at once: a bound on its memory even where texts are long.
 BATCH_ROWS = 1000
+#: Keys that may be broadcast to filter texts.
+SMALL_KEYS = 2_000_000
 #: Bytes of text that are turned into arrays at once.
 WINDOW = 1 << 21
 
@@ -180,6 +182,15 @@ def join_uneven(
     return first.unionByName(second.select(*first.columns))
 
 
+def narrow_join(big: DataFrame, keys: DataFrame, on: str, how: str, most: int = SMALL_KEYS) -> DataFrame:
+    """Semi or anti join of wide rows with one column of distinct long keys.
+
+    Up to ``most`` keys (counted first; about 32 bytes each) are broadcast, so that texts
+    stay where they are. Beyond, both sides are shuffled.
+    """
+    return big.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
+
+
 def uniform(seed: str, *keys: str):
     """Uniform [0, 1) from a digest of the keys, the same in any SQL engine."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))

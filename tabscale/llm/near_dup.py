@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_names, hash_words, join_uneven, mix, ready_workers, stored, utf8
+from .common import clear_names, hash_words, join_uneven, mix, narrow_join, ready_workers, stored, utf8
 from .components import components
 
 WORDS = 5
@@ -140,9 +140,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     plain = clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = plain.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts, "pair-texts")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = stored(narrow_join(plain, needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     return (pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
             .join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint"))
@@ -223,7 +222,7 @@ def cluster_links(posted: DataFrame, clusters: DataFrame, docs: DataFrame) -> Da
     up = F.transform(upto("above"), lambda j: task("next", band, block, j, F.lit(0)))
     down = F.transform(upto("below"), lambda j: task("next", band - 1, j, block, F.lit(1)))
     plain = clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc IS NOT NULL")
-    texts = stored(plain.join(clusters.select(F.col("node").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"]), "cluster-texts")
+    texts = stored(narrow_join(plain, clusters.select(F.col("node").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"]), "cluster-texts")
     spread = here.select("cluster", "doc", F.explode(F.concat(same, up, down)).alias("t")).select("cluster", "doc", "t.*")
     return spread.join(texts, "doc").groupBy("cluster", "kind", "low_band", "lo", "hi").applyInPandas(
         lambda rows: block_links(rows), "a bigint, b bigint")
