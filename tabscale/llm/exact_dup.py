@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_names, join_uneven, new_path, stored
+from .common import clear_names, join_uneven, narrow_join, new_path, stored
 
 #: Keys of a bucket before it splits.
 CAPACITY = 65_536
@@ -76,10 +76,10 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def byte_classes(docs: DataFrame, index: DataFrame) -> DataFrame:
     """Classes of equal texts with two rows or more: key, sha, group_size, keep_id."""
-    chains = index.groupBy("key").agg(F.count(F.lit(1)).alias("chained")).where("chained > 1").select("key")
+    chains = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("chained")).where("chained > 1").select("key"), "chains")
     plain = clear_names(docs, "doc_id", "text").select(
         F.col("doc_id").cast("bigint"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised().alias("norm"))
-    texts = plain.withColumn("key", F.xxhash64("norm")).join(chains, "key", "left_semi")
+    texts = narrow_join(plain.withColumn("key", F.xxhash64("norm")), chains, "key", "left_semi")
     # The longest original, then the smallest id, in one number: sums of this kind combine before the shuffle.
     two_64 = F.lit("18446744073709551616").cast("decimal(20,0)")
     top = F.lit("9223372036854775807").cast("decimal(19,0)")
