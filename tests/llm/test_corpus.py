@@ -213,6 +213,17 @@ def test_slots_are_a_permutation():
     assert (shards.slots(np.arange(1000), 1000) != shards.slots(np.arange(1000), 1000, key=5)).any()
 
 
+def test_tokens_follow_the_vocabularys_pattern():
+    import tiktoken
+
+    own = shards.tokens(shards.RANKS)
+    plain = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    other = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=own.encoding._mergeable_ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", "É", "7", ".", "'s", "'", " ", "  ", "\n", "\t ", "漢", "🙂", "x1"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in own.encode_batch(texts)] == [other.encode_ordinary(t) for t in texts]
+
+
 def stored_frame(spark, rows, tmp_path):
     path = str(tmp_path / "docs")
     frame(spark, rows).write.parquet(path)
