@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscale.llm import decontaminate, langid, mixing, near_dup, shards
-from tabscale.llm.common import stored, table
+from tabscale.llm.common import narrow_join, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id are one document, and the smallest text stays; rows without an id all stay.
     """
-    kept = near_dup.dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    decided = stored(near_dup.dedup(docs).select("doc_id", "kept"), "near-decisions")
+    gone = decided.where("NOT kept").select("doc_id").distinct()
+    # An anti join keeps rows without an id.
+    kept = narrow_join(docs, gone, "doc_id", "left_anti")
+    repeated = decided.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
     first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    once = narrow_join(kept, repeated, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*docs.columns)
+    return narrow_join(kept, repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
