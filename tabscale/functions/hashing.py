@@ -1,0 +1,38 @@
+"""``xxhash64`` of whole numbers in numpy, chained as Spark chains its columns."""
+
+from __future__ import annotations
+
+import numpy as np
+
+# Fixed values of the hash.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def add_int(h: np.ndarray, value) -> np.ndarray:
+    """The hash after one more column of 32-bit numbers."""
+    v = np.asarray(value).astype(np.int32).astype(np.uint32).astype(np.uint64)
+    h = (h + _P5 + np.uint64(4)) ^ (v * _P1)
+    return _spread(_turn(h, 23) * _P2 + _P3)
+
+
+def add_long(h: np.ndarray, value) -> np.ndarray:
+    """The hash after one more column of 64-bit numbers."""
+    v = np.asarray(value).astype(np.int64).astype(np.uint64)
+    h = (h + _P5 + np.uint64(8)) ^ (_turn(v * _P2, 31) * _P1)
+    return _spread(_turn(h, 27) * _P1 + _P4)
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    """[0, 1) from the last 31 bits."""
+    return (h & np.uint64((1 << 31) - 1)).astype(float) / float(1 << 31)

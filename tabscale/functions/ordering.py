@@ -13,13 +13,15 @@ from ..session import cut_lineage
 
 # Rows a single task may order; larger tables go through range partitions.
 SMALL = 1_000_000
-# Rows of a key table that may be broadcast.
-BROADCAST = 200_000
+# Rows that a piece of a running total should have.
+PIECE_ROWS = 250_000
+# Bytes of a key table that may be broadcast.
+BROADCAST = 32 * 1024 * 1024
 _MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in 33 bits
 
 
 def fits(df: DataFrame, limit: int = SMALL) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    return df.count() <= limit
 
 
 def with_position(df: DataFrame, order: Sequence, name: str = "position", small: int = SMALL) -> DataFrame:
@@ -48,21 +50,23 @@ def running_totals(
     sums: dict[str, str],
     descending: bool = False,
     small: int = SMALL,
-    pieces: int = 1000,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` (new name -> column) within ``keys``.
 
-    ``order`` must be numeric and unique within ``keys``. Beyond ``small`` rows
-    the range of ``order`` is cut at sketched quantiles: totals of whole pieces
-    come from one small aggregate, and only rows of one piece are ordered in
-    one task.
+    ``order`` must be numeric, without null or NaN, and unique within ``keys``.
+    Beyond ``small`` rows the range of ``order`` is cut at sketched quantiles
+    into pieces of about ``PIECE_ROWS`` rows: totals of whole pieces come from
+    one small aggregate, and only rows of one piece are ordered in one task.
     """
     direction = F.desc if descending else F.asc
-    if fits(df, small):
+    rows = df.count()
+    if rows <= small:
         w = Window.partitionBy(*keys).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+    pieces = pieces or max(2, math.ceil(rows / PIECE_ROWS))
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), grid, 20_000)).first()[0]))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), grid, max(20_000, 10 * pieces))).first()[0]))
     edges = [float("-inf"), *[c for c in cuts if math.isfinite(c)], float("inf")]
     marked = Bucketizer(splits=edges, inputCol=order, outputCol="_piece").transform(df)
     totals = marked.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -81,13 +85,13 @@ def running_totals(
 def lookup(big: DataFrame, table: DataFrame, key: str, count: str, small: int = BROADCAST) -> DataFrame:
     """Left join of a key table (one row per key, with its row count in ``big``).
 
-    A small table is broadcast. Otherwise keys holding over a thousandth of the
+    A table of at most ``small`` bytes is broadcast. Otherwise keys holding over a thousandth of the
     rows (at most a thousand of them) are broadcast and the others shuffled, so
     no key makes a hot partition.
     """
-    if fits(table, small):
+    keys, length, total = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(key).cast("string"))), F.sum(count)).first()
+    if keys * (16 + 8 * len(table.columns)) + (length or 0) <= small:
         return big.join(F.broadcast(table.drop(count)), key, "left")
-    total = table.agg(F.sum(count)).first()[0]
     is_hot = F.col(count) > total / 1000.0
     hot = table.where(is_hot).select(key, F.lit(True).alias("_hot"))
     marked = big.join(F.broadcast(hot), key, "left")
@@ -100,3 +104,10 @@ def lookup(big: DataFrame, table: DataFrame, key: str, count: str, small: int =
     extra = [c for c in table.columns if c not in (key, count)]
     third = null_rows.select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in extra])
     return first.unionByName(second).unionByName(third)
+
+
+def beside(big: DataFrame, means: DataFrame, keys: Sequence[str], most: int = 100_000) -> DataFrame:
+    """Inner join of a table of few numbers per key; up to ``most`` keys are broadcast, so
+    rows of a frequent key need not meet in one task. Beyond, Spark joins by shuffle and
+    splits uneven partitions."""
+    return big.join(F.broadcast(means) if fits(means, most) else means, list(keys))

@@ -3,7 +3,9 @@
 ``percentile`` keeps every distinct value of a column in one task, which is
 right for small tables only. Larger ones are narrowed by mergeable sketches:
 each round brackets the wanted ranks, counts what lies below and inside, and
-stops when the inside fits one task. No round moves the data.
+stops when the inside fits one task. No round moves the data. Infinite values
+and NaN (the largest value) are counted first and never narrowed, so both ways
+give the same quantile.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .columns import WIDE_LIMIT, col, stack
+from .ordering import beside, running_totals
 
 # Values one task may hold to read off an order statistic.
 SMALL = 2_000_000
@@ -28,8 +32,8 @@ def exact_quantiles(
     columns = list(columns)
     data = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     grid = F.array(*[F.lit(float(p)) for p in probs])
-    counts = data.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
-    if sum(counts) <= small:
+    ends = _ends(data, len(columns))
+    if sum(e.n for e in ends) <= small:
         if len(columns) > WIDE_LIMIT:
             groups = stack(df, columns).groupBy("feature").agg(F.percentile("value", grid).alias("q"))
             return {r.feature: list(r.q) if r.q is not None else [None] * len(probs) for r in groups.collect()}
@@ -37,28 +41,59 @@ def exact_quantiles(
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
 
     wanted = set()
-    for i in range(len(columns)):
-        if counts[i]:
+    for i, e in enumerate(ends):
+        if e.n:
             for p in probs:
-                h = (counts[i] - 1) * p
+                h = (e.n - 1) * p
                 wanted |= {(i, math.floor(h)), (i, math.ceil(h))}
-    found = _order_statistics(data, sorted(wanted), list(counts), small)
+    found = _at_ranks(data, sorted(wanted), ends, small)
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         values: list[float | None] = []
         for p in probs:
-            if not counts[i]:
+            if not ends[i].n:
                 values.append(None)
                 continue
-            h = (counts[i] - 1) * p
+            h = (ends[i].n - 1) * p
             low, high = found[i, math.floor(h)], found[i, math.ceil(h)]
-            values.append(low if low == high else low + (high - low) * (h - math.floor(h)))
+            # As ``percentile`` weighs its two neighbours.
+            same = low == high or math.floor(h) == math.ceil(h)
+            values.append(low if same else (math.ceil(h) - h) * low + (h - math.floor(h)) * high)
         result[c] = values
     return result
 
 
+def _ends(data: DataFrame, n: int) -> list:
+    """Per column: values, and how many are -inf, inf and NaN."""
+    def of(c):
+        x = F.col(c)
+        return F.struct(
+            F.count(x).alias("n"), F.count_if(x == -math.inf).alias("low"), F.count_if(x == math.inf).alias("high"),
+            F.count_if(F.isnan(x)).alias("nan")).alias(c)
+
+    return list(data.agg(*[of(f"c{i}") for i in range(n)]).first())
+
+
+def _at_ranks(data: DataFrame, targets, ends, small) -> dict[tuple[int, int], float]:
+    """The value at each (column index, 0-based rank) among all values of the column."""
+    found, finite = {}, {}
+    for i, rank in targets:
+        e = ends[i]
+        if rank < e.low:
+            found[i, rank] = -math.inf
+        elif rank >= e.n - e.nan:
+            found[i, rank] = math.nan
+        elif rank >= e.n - e.nan - e.high:
+            found[i, rank] = math.inf
+        else:
+            finite[i, rank] = (i, rank - e.low)
+    counts = [e.n - e.low - e.high - e.nan for e in ends]
+    values = _order_statistics(data, sorted(set(finite.values())), counts, small) if finite else {}
+    return found | {t: values[f] for t, f in finite.items()}
+
+
 def _order_statistics(data: DataFrame, targets, counts, small) -> dict[tuple[int, int], float]:
-    """The value at each (column index, 0-based rank)."""
+    """The value at each (column index, 0-based rank among the finite values)."""
     found: dict[tuple[int, int], float] = {}
     # Open interval known to hold the rank, values at or below its lower end, values inside.
     state = {t: (-math.inf, math.inf, 0, counts[t[0]]) for t in targets}
@@ -113,4 +148,38 @@ def _order_statistics(data: DataFrame, targets, counts, small) -> dict[tuple[int
 def order_statistic(df: DataFrame, column: str, rank: int, small: int = SMALL) -> float:
     """The value at a 0-based rank of the non-null values of ``column``."""
     data = df.select(col(column).cast("double").alias("c0"))
-    return _order_statistics(data, [(0, rank)], [data.agg(F.count("c0")).first()[0]], small)[0, rank]
+    return _at_ranks(data, [(0, rank)], _ends(data, 1), small)[0, rank]
+
+
+def grouped_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None,
+    rows: int | None = None, small: int = SMALL,
+) -> DataFrame:
+    """``keys, q``: exact quantiles per group of ``value``, each repeated ``weight`` times.
+
+    Nulls and NaN are left out. ``rows`` bounds the rows of ``df`` if it is known. Small
+    tables keep a group's values in one task; beyond, positions come from running
+    totals, and the wanted ranks are read off them.
+    """
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *keys, F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    if (data.count() if rows is None else rows) <= small:
+        grid = F.array(*[F.lit(float(p)) for p in probs])
+        return data.groupBy(*keys).agg(F.percentile("_v", grid, F.col("_w")).alias("q"))
+    cells = cut_lineage(data.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")).where("_w > 0"))
+    totals = cells.groupBy(*keys).agg(F.sum("_w").alias("_n"))
+    placed = beside(running_totals(cells, keys, "_v", {"_end": "_w"}, small=small), totals, keys)
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for name, rank in (("low", F.floor(h)), ("high", F.ceil(h))):
+            here = (rank >= F.col("_end") - F.col("_w")) & (rank < F.col("_end"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}{i}"))
+    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    cells = []
+    for i, p in enumerate(probs):
+        h, low, high = (F.col("_n") - 1) * F.lit(float(p)), F.col(f"_low{i}"), F.col(f"_high{i}")
+        same = (low == high) | (F.floor(h) == F.ceil(h))
+        cells.append(F.when(same, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high))
+    return found.select(*keys, F.array(*cells).alias("q"))

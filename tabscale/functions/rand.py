@@ -37,14 +37,14 @@ def hash_normal(seed, *keys) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * _word(digest, 1))
 
 
-def poisson_steps() -> list[float]:
-    """Cumulative Poisson(1) probabilities, as far as a 32-bit word resolves."""
-    steps, term, total, k = [], math.exp(-1.0), 0.0, 0
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Cumulative Poisson probabilities, as far as a 32-bit word resolves."""
+    steps, term, total, k = [], math.exp(-mean), 0.0, 0
     while 1.0 - total > 1.0 / _WORD:
         total += term
         steps.append(total)
         k += 1
-        term /= k
+        term *= mean / k
     return steps
 
 

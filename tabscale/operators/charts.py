@@ -9,22 +9,25 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, is_text, numeric_columns
-from ..functions.ordering import with_position
+from ..functions.columns import col, numeric_columns
+from ..functions.ordering import fits, with_position
+from ..functions.quantiles import grouped_quantiles
 from ..functions.stats import normal_quantile, safe_corr
-from .profile import class_distribution, with_class_code
+from .profile import CLASSIFICATION, class_distribution, task_by_share, with_class_code
 
 # Up to this many columns all pairs share one aggregate.
 PAIR_LIMIT = 4
+# Groups whose ends may be broadcast (about 100 bytes each).
+FEW_GROUPS = 100_000
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int = 30, by: list[str] | None = None) -> DataFrame:
     """Equal-width bins from the smallest to the largest value, empty ones included.
 
     The last bin holds the maximum. Equal values all fall into a unit range
     around them. ``by`` repeats the bins for each group over its own range.
     """
-    keys = [by] if by else []
+    keys = list(by or [])
     data = df.where(col(column).isNotNull()).select(*[col(k) for k in keys], col(column).cast("double").alias("x"))
     ends = data.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
@@ -33,7 +36,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     if keys:
-        placed = data.join(ends, keys)
+        # The groups are few (methods, splits), so a row need not move to meet its ends; beyond that it does.
+        placed = data.join(F.broadcast(ends) if fits(ends, FEW_GROUPS) else ends, keys)
     else:
         lo, hi = ends.first()
         ends = df.sparkSession.range(1).select(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"))
@@ -106,9 +110,9 @@ def _mirrored(upper: DataFrame) -> DataFrame:
 
 
 def target_correlation_matrix(df: DataFrame, target: str, key: str, features: list[str] | None = None) -> DataFrame:
-    """Matrix of the numeric features and the target, a text target coded by first appearance in ``key`` order."""
+    """Matrix of the numeric features and the target, a class target coded by first appearance in ``key`` order."""
     features = features or numeric_columns(df, exclude=[target, key])
-    if is_text(df, target):
+    if task_by_share(df, target).first().task == CLASSIFICATION:
         coded = with_class_code(df.select(*[col(c) for c in features], col(target), col(key)), target, "_code", order=key)
         df = coded.drop(target).withColumnRenamed("_code", target)
     return correlation_matrix(df, [*features, target])
@@ -146,8 +150,9 @@ def rank_bars(metrics: DataFrame, metric: str, ascending: bool, split: str = "te
 
 def score_boxes(scores: DataFrame) -> DataFrame:
     """Five-number summary of the scores per scenario and number of features."""
-    grid = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    # The repetitions of one scenario and width: hundreds of values per method.
-    five = scores.groupBy("scenario", "p", "method").agg(F.percentile("score", grid).alias("q"))
+    keys = ["scenario", "p", "method"]
+    found = grouped_quantiles(scores, keys, "score", (0.0, 0.25, 0.5, 0.75, 1.0))
+    # A method without any score keeps its row.
+    five = scores.select(*keys).distinct().join(found, keys, "left")
     names = ["low", "q25", "median", "q75", "high"]
     return five.select("scenario", "p", "method", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])

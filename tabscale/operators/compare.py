@@ -23,7 +23,8 @@ GOALS = {
     "scenario3": (16.7, 28.8),
     "scenario4": (None, None),
 }
-TREE_METHODS = ["RandomForest", "BART", "ExtraTrees", "GradientBoosting"]
+# Names of the runners' tree methods, as models.competitors and models.baselines emit them.
+TREE_METHODS = ["Random_Forest", "Random Forest", "RF-log(p)", "RF-√p", "BART", "ExtraTrees", "Extra Trees", "GradientBoosting", "Gradient Boosting"]
 WINS_WANTED = 7
 LARGE_ERROR = 1000.0
 

@@ -8,7 +8,7 @@ all instances in one batch.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.rand import hash_normal, hash_uniform
+from ..functions.rand import hash_normal_array, hash_uniform
+from ..session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 # Rows of the background, kernel width factor, ridge penalty of the surrogate.
 BACKGROUND, KERNEL, PENALTY = 100, 0.75, 1.0
+SAMPLES = 5000
+MOST_BACKGROUND = 10_000
 
 
 def instances(df: DataFrame, key: str, features: list[str]) -> DataFrame:
@@ -38,13 +41,14 @@ def linear_scorer(weights: list[float], intercept: float = 0.0) -> Scorer:
     return score
 
 
-def ml_scorer(model) -> Scorer:
-    """Score with a fitted Spark ML model."""
-    from pyspark.ml.functions import array_to_vector
+def ml_scorer(model, label: int | None = None) -> Scorer:
+    """Score with a fitted Spark ML model: its prediction, or the probability of class ``label``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def score(df: DataFrame) -> DataFrame:
         scored = model.transform(df.withColumn("features", array_to_vector("x")))
-        return scored.select(*df.columns, "prediction")
+        value = F.col("prediction") if label is None else F.get(vector_to_array("probability"), F.lit(label))
+        return scored.select(*df.columns, value.alias("prediction"))
 
     return score
 
@@ -66,19 +70,23 @@ def shapley(scorer: Scorer, rows: DataFrame, back: DataFrame, features: list[str
     next one, so one sum per (instance, feature) replaces the differences.
     """
     p = len(features)
-    numbered = back.select("x").withColumn("_b", F.row_number().over(Window.orderBy("x")) - 1)  # at most 100 rows
+    # Read twice and sorted once: a few hundred rows at most, which is checked.
+    numbered = cut_lineage(back.select("x").withColumn("_b", F.row_number().over(Window.orderBy("x")) - 1))
     size = numbered.count()
+    if size > MOST_BACKGROUND:
+        raise ValueError(f"a background of {size} rows is not a sample; take one with background()")
     draws = rows.select("instance", "x", F.explode(F.sequence(F.lit(0), F.lit(size * rounds - 1))).alias("_d"))
     draws = draws.withColumn("_b", (F.col("_d") % size).cast("int"))
-    # The background is a fixed hundred rows at most.
     paired = draws.join(F.broadcast(numbered.withColumnRenamed("x", "_back")), "_b")
     shuffled = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.struct(
         F.xxhash64(F.lit(str(seed)), F.col("instance"), F.col("_d"), j).alias("h"), j.alias("j"))))
     ordered = paired.withColumn("_order", F.transform(shuffled, lambda s: s["j"]))
+    # Inverted once per draw: where each feature stands in the order.
+    turned = F.array_sort(F.transform("_order", lambda j, i: F.struct(j.alias("j"), i.alias("i"))))
+    ordered = ordered.withColumn("_place", F.transform(turned, lambda s: s["i"]))
     steps = ordered.select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("_s"))
-    # Position of feature j in the order is before s: its value is the instance's.
-    mixed = F.transform("x", lambda v, j: F.when(
-        F.array_position(F.col("_order"), j) <= F.col("_s"), v).otherwise(F.get("_back", j)))
+    # A feature that stands before the step has the instance's value.
+    mixed = F.transform("x", lambda v, j: F.when(F.get("_place", j) < F.col("_s"), v).otherwise(F.get("_back", j)))
     altered = steps.select(
         "instance", mixed.alias("x"), F.get("_order", F.col("_s") - 1).alias("_on"), F.get("_order", F.col("_s")).alias("_next"))
     scored = scorer(altered)
@@ -113,44 +121,45 @@ def force_chart(contributions: DataFrame) -> DataFrame:
 
 def local_surrogate(
     scorer: Scorer, rows: DataFrame, spreads: list[float], features: list[str],
-    samples: int = 500, top: int = 10, seed=42,
+    samples: int = SAMPLES, top: int = 10, seed=42,
 ) -> DataFrame:
     """(instance, feature, weight) of a weighted ridge fit around each instance.
 
-    Weights are per standard deviation. The samples of an instance collapse to
-    its Gram sums before the shuffle; what is solved per instance is one matrix
-    of (features + 2) squared, whatever the number of samples.
+    Weights are per standard deviation. Every batch of samples collapses to one Gram
+    matrix per instance before the shuffle; what is solved per instance is their sum,
+    of (features + 2) squared numbers, whatever the number of samples.
     """
     p = len(features)
     width = KERNEL * math.sqrt(p)
     scale = F.array(*[F.lit(float(s)) for s in spreads])
     drawn = rows.select("instance", F.col("x").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"))
     # The first sample is the instance itself.
-    z = F.array(*[
-        F.when(F.col("_s") == 0, 0.0).otherwise(hash_normal(f"{seed}|{j}", "instance", "_s")) for j in range(p)])
-    drawn = drawn.withColumn("_z", z)
+    still = F.array_repeat(F.lit(0.0), p)
+    drawn = drawn.withColumn("_z", F.when(F.col("_s") == 0, still).otherwise(hash_normal_array(str(seed), p, "instance", "_s")))
     moved = drawn.select("instance", "_z", F.transform("_x", lambda v, j: v + F.get("_z", j) * F.get(scale, j)).alias("x"))
     scored = scorer(moved)
     distance = F.aggregate("_z", F.lit(0.0), lambda a, v: a + v * v)
     weight = F.sqrt(F.exp(-distance / (width * width)))
-    terms = F.concat(F.array(F.lit(1.0)), F.col("_z"), F.array(F.col("prediction").cast("double")))
-    scored = scored.select("instance", weight.alias("w"), terms.alias("u"))
-    pairs = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col("w") * F.col("u")[a] * F.col("u")[b]).alias("v"))
-        for a in range(p + 2) for b in range(a, p + 2)])
-    sums = scored.select("instance", F.inline(pairs)).groupBy("instance", "a", "b").agg(F.sum("v").alias("v"))
+    scored = scored.select("instance", weight.alias("w"), F.col("_z").alias("z"), F.col("prediction").cast("double").alias("y"))
+    kind = rows.schema["instance"].dataType.simpleString()
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, of = np.unique(batch["instance"].to_numpy(), return_inverse=True)
+            u = np.column_stack([np.ones(len(batch)), np.stack(batch["z"]) if len(batch) else np.zeros((0, p)), batch["y"]])
+            w = batch["w"].to_numpy()
+            sums = [(u[of == k] * w[of == k, None]).T @ u[of == k] for k in range(len(found))]
+            yield pd.DataFrame({"instance": found, "gram": [g.ravel().tolist() for g in sums]})
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        gram = np.zeros((p + 2, p + 2))
-        gram[part["a"], part["b"]] = part["v"]
-        gram[part["b"], part["a"]] = part["v"]
+        total = np.stack(part["gram"]).sum(axis=0).reshape(p + 2, p + 2)
         penalty = np.diag([0.0] + [PENALTY] * p)
-        beta = np.linalg.solve(gram[: p + 1, : p + 1] + penalty, gram[: p + 1, p + 1])[1:]
+        beta = np.linalg.solve(total[: p + 1, : p + 1] + penalty, total[: p + 1, p + 1])[1:]
         order = np.lexsort((np.arange(p), -np.abs(beta)))[:top]
         return pd.DataFrame({
             "instance": part["instance"].iloc[0], "feature": [features[i] for i in order], "weight": beta[order]})
 
-    kind = rows.schema["instance"].dataType.simpleString()
+    sums = scored.mapInPandas(gram, f"instance {kind}, gram array<double>")
     return sums.groupBy("instance").applyInPandas(solve, f"instance {kind}, feature string, weight double")
 
 
@@ -170,14 +179,19 @@ def prediction_errors(scored: DataFrame, task: str) -> DataFrame:
     return scored.select("instance", "prediction", "y", wrong.alias("error"))
 
 
-def compare_methods(local: DataFrame, contributions: DataFrame, top: int = 5) -> DataFrame:
-    """Both explanations side by side: the features among the top of either, per instance."""
+def compare_methods(local: DataFrame, contributions: DataFrame, errors: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """Both explanations side by side: the features among the top of either, per instance.
+
+    ``errors`` (instance, prediction, y, error) puts the prediction, the truth and the
+    error beside them.
+    """
     def first(df, value, rank):
         w = Window.partitionBy("instance").orderBy(F.desc(F.abs(value)), "feature")
         return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= top)
 
-    return first(local, "weight", "local_rank").join(
+    both = first(local, "weight", "local_rank").join(
         first(contributions, "phi", "shapley_rank"), ["instance", "feature"], "full_outer")
+    return both if errors is None else both.join(errors, "instance", "left")
 
 
 def explain_both(local: DataFrame, contributions: DataFrame) -> DataFrame:

@@ -20,11 +20,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions.columns import col
-from ..functions.rand import poisson_weight
+from ..functions.quantiles import grouped_quantiles
+from ..functions.rand import poisson_steps, poisson_weight
 from ..session import cut_lineage
 from .profile import CLASSIFICATION, REGRESSION, correlations
 
@@ -33,13 +36,10 @@ from .profile import CLASSIFICATION, REGRESSION, correlations
 ALPHA, SAMPLE_SHARE, LOOKAHEAD, UNIFORM_BELOW, MAX_LEVELS = 0.05, 0.85, 3, 10, 50
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Rows up to which node quartiles are exact; beyond, mergeable sketches give
-# candidate thresholds within 1/10000 of the wanted rank.
-EXACT_ROWS = 2_000_000
-# Nodes of one level that may be broadcast; wider levels are joined by shuffle.
-NODE_LIMIT = 100_000
-# Ways the rows of one node are spread in such a join.
-SALTS = 16
+# Nodes of one level that may be broadcast, and their bytes; wider levels are joined by shuffle.
+NODE_LIMIT, NODE_BYTES = 100_000, 64 * 1024 * 1024
+# Rows up to which a node's embedded trees are grown in one task.
+GATHER = 20_000
 
 # The nine configurations (columns per combination, muting rate).
 GRID = [(k, rate) for k in (1, 2, 5) for rate in (0.0, 0.5, 0.8)]
@@ -150,16 +150,14 @@ def split_options(chosen: Column) -> Column:
     return F.when((F.size(chosen) > 1) & (total > 0), F.concat(singles, F.array(both))).otherwise(singles)
 
 
-def node_thresholds(samples: DataFrame, options: DataFrame, exact: bool, small: bool, most: int) -> DataFrame:
-    """(tree, at, j, fs, ws, thresholds): weighted quartiles of each option within its node."""
+def node_thresholds(samples: DataFrame, options: DataFrame, small: bool, most: int, rows: int | None = None) -> DataFrame:
+    """(tree, at, j, fs, ws, thresholds): exact weighted quartiles of each option within its node.
+
+    ``rows`` bounds the rows of all options, if it is known.
+    """
     values = _attach(samples, options, small).select("tree", "at", "w", "x", F.inline("options"))
     values = values.select("tree", "at", "j", "w", combine(F.col("x"), F.col("fs"), F.col("ws"), most).alias("v"))
-    grid = F.array(*[F.lit(q) for q in QUARTILES])
-    if exact:
-        found = values.groupBy("tree", "at", "j").agg(F.percentile("v", grid, F.col("w")).alias("thresholds"))
-    else:
-        copies = values.select("tree", "at", "j", "v", F.explode(F.sequence(F.lit(1), F.col("w"))))
-        found = copies.groupBy("tree", "at", "j").agg(F.percentile_approx("v", grid, 10_000).alias("thresholds"))
+    found = grouped_quantiles(values, ["tree", "at", "j"], "v", QUARTILES, "w", rows).withColumnRenamed("q", "thresholds")
     return options.select("tree", "at", F.inline("options")).join(found, ["tree", "at", "j"])
 
 
@@ -201,24 +199,125 @@ def _uniform(seed: str, *keys) -> Column:
 def _sample_weight(seed: str, *keys) -> Column:
     """Poisson copies of a row in an embedded sample of the wanted share."""
     u = _uniform(seed, *keys)
-    out, term, total = None, math.exp(-SAMPLE_SHARE), 0.0
-    for copies in range(9):
-        total += term
-        out = F.when(u < total, copies) if out is None else out.when(u < total, copies)
-        term *= SAMPLE_SHARE / (copies + 1)
-    return out.otherwise(9)
+    total = F.lit(0)
+    for step in poisson_steps(SAMPLE_SHARE):
+        total = total + (u >= step).cast("int")
+    return total
 
 
 def _at_position(q: Column):
     return lambda split: split["q"] == q
 
 
-def node_importance(samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool) -> DataFrame:
+def node_importance(
+    samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool, gather: int = GATHER
+) -> DataFrame:
     """(tree, at, importance array): mean impurity drop shares over random depth-3 trees.
 
-    ``nodes`` brings (tree, at, node, active, lo, hi). Each embedded node tries
-    the square root of the active columns, each at one uniform threshold.
+    ``nodes`` brings (tree, at, node, n, active, lo, hi). Each embedded node tries
+    the square root of the active columns, each at one uniform threshold. A node of at
+    most ``gather`` rows is rated in one task; a larger one by passes over the rows. The
+    draws are hashes, so both ways grow the same trees.
     """
+    narrow, wide = nodes.where(F.col("n") <= gather), nodes.where(F.col("n") > gather)
+    most = nodes.agg(F.max("n")).first()[0] or 0
+    found = _rated_by_node(samples, narrow, p, trials, seed, small)
+    return found if most <= gather else found.unionByName(_rated_by_passes(samples, wide, p, trials, seed, small))
+
+
+def _rated_by_node(samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool) -> DataFrame:
+    steps = np.array(poisson_steps(SAMPLE_SHARE))
+    first = {name: np.uint64(xxhash.xxh64_intdigest(f"{seed}|{name}".encode(), 42)) for name in (
+        *[f"column|{d}" for d in range(LOOKAHEAD)], *[f"cut|{d}" for d in range(LOOKAHEAD)])}
+    drawn = samples.select("*", F.xxhash64(F.lit(f"{seed}|sample"), "row_id").alias("_h"))
+    rows = _attach(drawn, nodes.select("tree", "at", "node", "active", "lo", "hi"), small)
+
+    def rate(part: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            tree, at = int(part["tree"].iloc[0]), int(part["at"].iloc[0])
+            value = rate_columns(
+                np.stack(part["x"]), part["w"].to_numpy(float), part["c"].to_numpy(int), part["y"].to_numpy(float),
+                part["_h"].to_numpy(np.int64).view(np.uint64), tree, at, int(part["node"].iloc[0]), np.asarray(part["active"].iloc[0], int),
+                np.asarray(part["lo"].iloc[0], float), np.asarray(part["hi"].iloc[0], float), trials, steps, first)
+        if value is None:
+            return pd.DataFrame({"tree": [], "at": [], "importance": []}).astype({"tree": int, "at": int, "importance": object})
+        return pd.DataFrame({"tree": [tree], "at": [at], "importance": [value.tolist()]})
+
+    return rows.groupBy("tree", "at").applyInPandas(rate, "tree int, at int, importance array<double>")
+
+
+def rate_columns(x, w, c, y, h, tree, at, node, active, lo, hi, trials, steps, first) -> np.ndarray | None:
+    """The importance of all columns for one node, or None if no embedded tree splits.
+
+    Arrays over (row, embedded tree); a position is -1 once a row's embedded node is a leaf.
+    """
+    n, p = x.shape
+    e = np.arange(trials)
+    m = max(1, int(math.sqrt(len(active))))
+    drawn = hashing.add_int(hashing.add_int(h, tree), at)
+    copies = (hashing.uniform(hashing.add_int(drawn[:, None], e[None, :]))[:, :, None] >= steps).sum(axis=2)
+    weight = w[:, None] * copies
+    place = np.where(weight > 0, 0, -1)
+    classes, code = np.unique(c, return_inverse=True)
+    drops = np.zeros((trials, p))
+    rows = np.arange(n)[:, None]
+    for depth in range(LOOKAHEAD):
+        size = 2**depth
+        q, j = np.arange(size), np.arange(m)
+
+        def draw(name):
+            start = hashing.add_long(hashing.add_int(first[f"{name}|{depth}"], tree), node)
+            key = hashing.add_int(start, e)
+            key = hashing.add_int(key[:, None], q[None, :])
+            return hashing.uniform(hashing.add_int(key[:, :, None], j[None, None, :]))
+
+        f = active[np.floor(draw("column") * len(active)).astype(int)]
+        cut = lo[f] + draw("cut") * (hi[f] - lo[f])
+        live = place >= 0
+        group = np.where(live, e[None, :] * size + place, 0)
+        cell = (group * len(classes) + code[:, None])[live]
+        weights = weight[live]
+        ys = np.broadcast_to(y[:, None], place.shape)[live]
+        cells = trials * size * len(classes)
+
+        def loss(mask):
+            """Weight and n times impurity of each embedded node, over the rows in the mask."""
+            a = np.bincount(cell, weights * mask, cells).reshape(-1, len(classes))
+            b = np.bincount(cell, weights * mask * ys, cells).reshape(-1, len(classes))
+            d = np.bincount(cell, weights * mask * ys * ys, cells).reshape(-1, len(classes))
+            total = a.sum(1)
+            return total, np.where(total > 0, np.maximum(d.sum(1) - (b * b).sum(1) / np.where(total > 0, total, 1), 0.0), 0.0)
+
+        _, whole = loss(np.ones(len(cell)))
+        best = np.full(trials * size, -np.inf)
+        won = np.full(trials * size, -1)
+        for k in range(m):
+            left = (x[rows, f[e[None, :], np.maximum(place, 0), k]] <= cut[e[None, :], np.maximum(place, 0), k])[live]
+            nl, a = loss(left.astype(float))
+            nr, b = loss((~left).astype(float))
+            drop = np.where((nl > 0) & (nr > 0), whole - a - b, -np.inf)
+            better = drop > best
+            best[better], won[better] = drop[better], k
+        won = won.reshape(trials, size)
+        split = won >= 0
+        gain = np.maximum(best.reshape(trials, size), 0.0)
+        ei, qi = np.nonzero(split)
+        np.add.at(drops, (ei, f[ei, qi, won[ei, qi]]), gain[ei, qi])
+        if depth < LOOKAHEAD - 1:
+            inside = np.maximum(place, 0)
+            chosen = won[e[None, :], inside]
+            k = np.maximum(chosen, 0)
+            right = x[rows, f[e[None, :], inside, k]] > cut[e[None, :], inside, k]
+            place = np.where(live & (chosen >= 0), 2 * inside + right, -1)
+    total = drops.sum(axis=1)
+    some = total > 0
+    if not some.any():
+        return None
+    value = (drops[some] / total[some][:, None]).sum(axis=0)
+    return value / value.sum()
+
+
+def _rated_by_passes(samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool) -> DataFrame:
     m = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("active"))).cast("int"))
     trial = nodes.select("tree", "at", "node", "active", "lo", "hi", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
     sample = samples.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
@@ -285,14 +384,10 @@ def node_importance(samples: DataFrame, nodes: DataFrame, p: int, trials: int, s
 def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at"), how: str = "inner") -> DataFrame:
     """Join node information to rows: broadcast while the level is small, else by shuffle.
 
-    A node may hold a third of the rows, so the shuffle spreads the rows of a
-    node over copies of its table row.
+    A node may hold a third of the rows: Spark splits such a partition of the rows
+    and reads the node's row in each part.
     """
-    if small:
-        return df.join(F.broadcast(table), list(keys), how)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return df.join(F.broadcast(table) if small else table, list(keys), how)
 
 
 def _slots(state: DataFrame) -> DataFrame:
@@ -324,9 +419,7 @@ def step(state: DataFrame, level: DataFrame, small: bool, most: int) -> DataFram
     are. A wide level is joined by shuffle and the slots are put together again.
     """
     if small:
-        move = _mover(level, most)
-        moved = state.withColumn("_m", move("x", "at", "value"))
-        return moved.select("row_id", "x", "c", "y", "w", F.col("_m.at").alias("at"), F.col("_m.value").alias("value"))
+        return walk(state, [_plan(level, most)])
     moved = _descend(_slots(state), level, small, most)
     back = moved.groupBy("row_id").agg(
         F.first("x").alias("x"), F.first("c").alias("c"), F.first("y").alias("y"),
@@ -334,8 +427,8 @@ def step(state: DataFrame, level: DataFrame, small: bool, most: int) -> DataFram
     return back.select("row_id", "x", "c", "y", *[F.col(f"s.{n}").alias(n) for n in ("w", "at", "value")])
 
 
-def _mover(level: DataFrame, most: int):
-    """A vectorised move over the at most NODE_LIMIT nodes of a level; unset values are NaN."""
+def _plan(level: DataFrame, most: int) -> dict[int, dict[str, np.ndarray]]:
+    """The at most NODE_LIMIT nodes of a level as arrays, by tree."""
     trees: dict[int, dict[str, np.ndarray]] = {}
     rows = level.select("tree", "at", "fs", "ws", "threshold", "left", "value").toPandas()
     for tree, part in rows.sort_values("at").groupby("tree"):
@@ -346,23 +439,32 @@ def _mover(level: DataFrame, most: int):
         trees[int(tree)] = {
             "fs": fs, "ws": ws, "leaf": part["threshold"].isna().to_numpy(), "threshold": part["threshold"].to_numpy(),
             "left": part["left"].fillna(-1).to_numpy(int), "value": part["value"].to_numpy(float)}
-    shared = level.sparkSession.sparkContext.broadcast(trees)
+    return trees
+
+
+def walk(state: DataFrame, plans: list[dict[int, dict[str, np.ndarray]]]) -> DataFrame:
+    """Move every row down the levels of ``plans`` in every tree, in one vectorised pass; unset values are NaN."""
+    if not plans:
+        return state
+    shared = state.sparkSession.sparkContext.broadcast(plans)
 
     @F.pandas_udf("at array<int>, value array<double>")
     def move(x: pd.Series, at: pd.Series, value: pd.Series) -> pd.DataFrame:
         x, at, value = np.stack(x), np.stack(at).astype(np.int32), np.stack(value).astype(float)
-        for tree, node in shared.value.items():
-            live = np.flatnonzero(at[:, tree] >= 0)
-            i = at[live, tree]
-            v = node["ws"][i, 0] * x[live, node["fs"][i, 0]]
-            for j in range(1, node["fs"].shape[1]):
-                v = v + node["ws"][i, j] * x[live, node["fs"][i, j]]
-            leaf = node["leaf"][i]
-            value[live[leaf], tree] = node["value"][i[leaf]]
-            at[live, tree] = np.where(leaf, -1, node["left"][i] + (v > node["threshold"][i]))
+        for level in shared.value:
+            for tree, node in level.items():
+                live = np.flatnonzero(at[:, tree] >= 0)
+                i = at[live, tree]
+                v = node["ws"][i, 0] * x[live, node["fs"][i, 0]]
+                for j in range(1, node["fs"].shape[1]):
+                    v = v + node["ws"][i, j] * x[live, node["fs"][i, j]]
+                leaf = node["leaf"][i]
+                value[live[leaf], tree] = node["value"][i[leaf]]
+                at[live, tree] = np.where(leaf, -1, node["left"][i] + (v > node["threshold"][i]))
         return pd.DataFrame({"at": list(at), "value": list(value)})
 
-    return move
+    moved = state.withColumn("_m", move("x", "at", "value"))
+    return moved.select("row_id", "x", "c", "y", "w", F.col("_m.at").alias("at"), F.col("_m.value").alias("value"))
 
 
 def grow(
@@ -370,24 +472,24 @@ def grow(
     task: str,
     trees: list[tuple[int, float]],
     nmin: int | None = None,
-    trials: int = 10,
+    trials: int = 100,
     max_depth: int = MAX_LEVELS,
     alpha: float = ALPHA,
     seed: int | str = 42,
-    exact: bool | None = None,
     limit: int = NODE_LIMIT,
     random_cuts: bool = False,
+    gather: int = GATHER,
 ) -> tuple[Forest, DataFrame]:
     """Grow one tree per (k, muting rate) in ``trees``.
 
     Returns the forest and the training rows with their leaf values. ``trials``
-    embedded trees rate the columns of each node. ``random_cuts`` grows
+    embedded trees rate the columns of each node. ``max_depth`` bounds the levels that are
+    grown, far below what nodes of the smallest size reach. ``random_cuts`` grows
     extremely randomised trees instead: no bootstrap, no muting, one uniform
     threshold per column.
     """
     p, n_rows = rows.select(F.size("x")).first()[0], rows.count()
     nmin = smallest_node(n_rows) if nmin is None else nmin
-    exact = n_rows * len(trees) <= EXACT_ROWS if exact is None else exact
     seed = str(seed)
     # Sums of squares are taken of the centred target, so that they do not cancel.
     centre = rows.agg(F.avg("y")).first()[0] if task == REGRESSION else 0.0
@@ -411,22 +513,34 @@ def grow(
     nodes = spark.createDataFrame(
         roots, "tree int, at int, node bigint, k int, rate double, active array<int>, lo array<double>, hi array<double>")
     forest, size = Forest(task, p, trees), len(trees)
+    # The rows are stored once; each pass walks them down the levels grown so far.
+    base, plans = state, []
+    width = 24 * p + 64  # bytes of a node
+    probes = 0 if random_cuts else trials * 2**LOOKAHEAD * 24 * (math.isqrt(p) + 1)  # and of its embedded nodes
+    bound = n_rows * len(trees) * (most + 1)
     for depth in range(max_depth + 1):
-        level = cut_lineage(_level(state, nodes, task, p, nmin, trials, alpha, seed, exact, depth == max_depth,
-                                   size * (trials + 1) <= limit, most, random_cuts, centre))
+        small = size <= limit and size * (width + (probes if n_rows > gather else 0)) <= NODE_BYTES
+        level = cut_lineage(_level(state, nodes, task, p, nmin, trials, alpha, seed, bound, depth == max_depth,
+                                   small, most, random_cuts, centre, gather))
         forest.levels.append(level)
         forest.sizes.append(size)
         if depth == 0 and not random_cuts:
             forest.importances = level.select("tree", F.posexplode("importance").alias("feature", "importance"))
-        state = cut_lineage(step(state, level, size <= limit, most))
+        if size <= limit and size * width <= NODE_BYTES:
+            plans.append(_plan(level, most))
+            state = walk(base, plans)
+        else:
+            base, plans = cut_lineage(step(state, level, False, most)), []
+            state = base
         nodes = _children(level)
         size = 2 * level.where("fs IS NOT NULL").count()
         if not size:
             break
+    state = cut_lineage(state) if plans else state
     return forest, state.withColumn("y", F.col("y") + F.lit(centre)) if task == REGRESSION else state
 
 
-def _level(state, nodes, task, p, nmin, trials, alpha, seed, exact, last, small, most, random_cuts, centre) -> DataFrame:
+def _level(state, nodes, task, p, nmin, trials, alpha, seed, bound, last, small, most, random_cuts, centre, gather) -> DataFrame:
     """Statistics, importances and splits of all nodes of one level."""
     samples = _samples(state)
     values = leaf_values(samples, ["tree", "at"], task).withColumn("value", F.col("value") + F.lit(centre))
@@ -442,7 +556,7 @@ def _level(state, nodes, task, p, nmin, trials, alpha, seed, exact, last, small,
         splits = best_splits(samples, options, small, 1)
     else:
         trial_nodes = open_.where(F.col("n") >= UNIFORM_BELOW)
-        found = node_importance(samples, trial_nodes, p, trials, seed, small)
+        found = node_importance(samples, trial_nodes, p, trials, seed, small, gather)
         uniform = F.array_repeat(F.lit(1.0 / p), p)
         rated = open_.join(found, ["tree", "at"], "left").withColumn(
             "importance", F.coalesce("importance", F.when(F.col("n") < UNIFORM_BELOW, uniform), F.array_repeat(F.lit(0.0), p)))
@@ -451,7 +565,7 @@ def _level(state, nodes, task, p, nmin, trials, alpha, seed, exact, last, small,
         # One row per node: the passes below read these tables instead of planning them again.
         rated = cut_lineage(rated.withColumn("chosen", chosen))
         options = rated.select("tree", "at", split_options(F.col("chosen")).alias("options"))
-        thresholds = cut_lineage(node_thresholds(samples, options, exact, small, most))
+        thresholds = cut_lineage(node_thresholds(samples, options, small, most, bound))
         splits = best_splits(samples, thresholds, small, most)
     least = 1 if random_cuts else nmin
     kept = splits.where((F.col("n_left") >= least) & (F.col("n_right") >= least))
@@ -541,6 +655,11 @@ def predict(forest: Forest, rows: DataFrame, trees: list[int] | None = None, nam
     return voted.withColumn(name, value).drop("votes")
 
 
+def predict_proba(forest: Forest, rows: DataFrame, classes: list[float]) -> DataFrame:
+    """(row_id, p_<class>...): the share of the trees that vote for each class."""
+    return traverse(forest, rows).select("row_id", *class_shares(F.col("votes"), classes))
+
+
 def predict_grid(forest: Forest, rows: DataFrame, key: str = "row_id") -> DataFrame:
     """(row_id, method, prediction) for each configuration of the forest, in one traversal."""
     voted = traverse(forest, rows)

@@ -9,6 +9,8 @@ from ..functions.ordering import running_totals
 from .charts import histogram
 
 GROUP = ["method", "split"]
+# Labels of a confusion matrix; more are no classes, and the matrix has their square.
+MOST_LABELS = 1000
 
 
 def regression_metrics(predictions: DataFrame, flat_r2: str = "zero") -> DataFrame:
@@ -53,8 +55,15 @@ def weighted_scores(predictions: DataFrame) -> DataFrame:
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    """Counts for every pair of true and predicted label, zeros kept."""
+    """Counts for every pair of true and predicted label, zeros kept.
+
+    Predictions with over ``MOST_LABELS`` labels are refused.
+    """
     cells = predictions.groupBy(*GROUP, "y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    sides = cells.select(*GROUP, F.explode(F.array("y", "prediction")).alias("label")).groupBy(*GROUP).agg(F.count_distinct("label").alias("n"))
+    most = sides.agg(F.max("n")).first()[0] or 0
+    if most > MOST_LABELS:
+        raise ValueError(f"{most} labels are too many for a confusion matrix")
     labels = cells.groupBy(*GROUP).agg(
         F.array_sort(F.array_union(F.collect_set("y"), F.collect_set("prediction"))).alias("labels"))
     # The matrix itself is label by label; the labels of a classifier are few.
@@ -66,9 +75,12 @@ def confusion(predictions: DataFrame) -> DataFrame:
 def roc(predictions: DataFrame, small: int | None = None) -> DataFrame:
     """ROC points per method and split at each distinct score, highest first.
 
-    ``y`` is 0 or 1. Rows collapse to distinct scores before anything is ordered.
+    ``y`` is 0 or 1. Rows without a truth or a score (null or NaN) have no place on
+    the curve and are left out. Rows collapse to distinct scores before anything is
+    ordered.
     """
-    cells = predictions.groupBy(*GROUP, F.col("prediction").alias("score")).agg(
+    placed = predictions.where("y IS NOT NULL AND prediction IS NOT NULL AND NOT isnan(CAST(prediction AS DOUBLE))")
+    cells = placed.groupBy(*GROUP, F.col("prediction").alias("score")).agg(
         F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
     totals = cells.groupBy(*GROUP).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     limits = {} if small is None else {"small": small, "pieces": 7}
@@ -86,8 +98,8 @@ def auc(predictions: DataFrame, small: int | None = None) -> DataFrame:
 
 
 def residual_histogram(predictions: DataFrame, bins: int = 20) -> DataFrame:
-    rows = predictions.select("method", (F.col("y") - F.col("prediction")).alias("residual"))
-    return histogram(rows, "residual", bins, by="method")
+    rows = predictions.select(*GROUP, (F.col("y") - F.col("prediction")).alias("residual"))
+    return histogram(rows, "residual", bins, by=GROUP)
 
 
 def harden_binary(c: Column) -> Column:

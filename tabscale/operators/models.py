@@ -24,6 +24,8 @@ from . import forest
 from .profile import CLASSIFICATION, REGRESSION
 
 OUT = ["row_id", "y", "prediction"]
+# The deepest trees that Spark grows; stands for no limit.
+DEEPEST = 30
 
 
 @dataclass
@@ -85,7 +87,7 @@ def logistic(n_rows: int, c: float = 1.0, l1: bool = False) -> LogisticRegressio
 # --- tree ensembles ------------------------------------------------------------------------------
 
 
-def random_forest(task: str, trees: int = 50, depth: int = 10, seed: int = 42, subset: str = "auto"):
+def random_forest(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42, subset: str = "auto"):
     kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
     return kind(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy=subset)
 
@@ -106,7 +108,7 @@ def _array_rows(df: DataFrame, task: str) -> DataFrame:
     return df.select("row_id", x, F.lit(0).alias("c"), "y")
 
 
-def extra_trees(table: Table, trees: int = 50, depth: int = 20, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+def extra_trees(table: Table, trees: int = 50, depth: int = forest.MAX_LEVELS, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
     """Extremely randomised trees, grown level by level without bootstrap."""
     grown, _ = forest.grow(
         _array_rows(table.train, table.task), table.task, [(1, 0.0)] * trees, max_depth=depth, seed=seed, random_cuts=True)
@@ -120,7 +122,7 @@ def _forest_predictions(grown: forest.Forest, df: DataFrame, task: str) -> DataF
 
 
 def muted_forest(
-    table: Table, trees: int = 100, k: int = 1, rate: float = 0.5, depth: int = forest.MAX_LEVELS, trials: int = 10, seed: int = 42
+    table: Table, trees: int = 100, k: int = 1, rate: float = 0.5, depth: int = forest.MAX_LEVELS, trials: int = 100, seed: int = 42
 ) -> Callable[[DataFrame], DataFrame]:
     grown, _ = forest.grow(
         _array_rows(table.train, table.task), table.task, [(k, rate)] * trees, max_depth=depth, trials=trials, seed=seed)
@@ -141,7 +143,7 @@ def _sliced(model, indices: list[int]) -> Callable[[DataFrame], DataFrame]:
     return lambda df: model.transform(slicer.transform(df)).select(*OUT)
 
 
-def adapted_forest(table: Table, kind: str, trees: int = 50, depth: int = 10, seed: int = 42):
+def adapted_forest(table: Table, kind: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42):
     """A forest on the most important columns of a first forest."""
     first = random_forest(table.task, trees, depth, seed).fit(table.train)
     rated = first.featureImportances.toArray()
@@ -151,7 +153,7 @@ def adapted_forest(table: Table, kind: str, trees: int = 50, depth: int = 10, se
     return _sliced(second, keep)
 
 
-def naive_forest(table: Table, features_importance: list[float], rate: float, trees: int = 100, depth: int = 15, seed: int = 42):
+def naive_forest(table: Table, features_importance: list[float], rate: float, trees: int = 100, depth: int = DEEPEST, seed: int = 42):
     """A forest on the columns with the strongest marginal signal."""
     p = table.n_features
     keep = sorted(range(p), key=lambda i: (features_importance[i], i))[-forest.marginal_keep(p, rate):]
@@ -200,14 +202,19 @@ class AdditiveTrees:
 
 
 def additive_trees(table: Table, trees: int = 20, depth: int = 2, shrinkage: float = 0.1, seed: int = 42) -> AdditiveTrees:
-    """Shallow trees on the residuals, each added at the shrinkage rate; at most 30."""
+    """Shallow trees on the residuals, each added at the shrinkage rate.
+
+    A node is split from a twentieth of the rows on (five at least). Spark limits the
+    rows of children instead, so half of that is what either side needs.
+    """
+    least = max(5, table.n_rows // 20)
     base = table.train.agg(bart_base(F.avg("y"), table.task)).first()[0]
     state = table.train.withColumn("score", F.lit(base))
     models, residuals = [], []
-    for i in range(min(trees, 30)):
+    for i in range(trees):
         fitted = F.col("score") if table.task == REGRESSION else sigmoid(F.col("score"))
         rows = state.withColumn("residual", F.col("y") - fitted)
-        tree = DecisionTreeRegressor(labelCol="residual", predictionCol="_t", maxDepth=depth, seed=seed + i)
+        tree = DecisionTreeRegressor(labelCol="residual", predictionCol="_t", maxDepth=depth, minInstancesPerNode=max(1, least // 2), seed=seed + i)
         model = tree.fit(rows)
         models.append(model)
         state = model.transform(state).withColumn("score", F.col("score") + shrinkage * F.col("_t")).drop("_t")
@@ -231,7 +238,7 @@ def _estimator(make: Callable[[Table], object]) -> Fit:
     return fit
 
 
-def competitors(task: str, trees: int = 50, depth: int = 10, seed: int = 42) -> dict[str, Fit]:
+def competitors(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42) -> dict[str, Fit]:
     """The seven competitors by name."""
     linear = _estimator(lambda t: lasso(1.0)) if task == REGRESSION else _estimator(lambda t: logistic(t.n_rows, l1=True))
     return {
@@ -241,11 +248,11 @@ def competitors(task: str, trees: int = 50, depth: int = 10, seed: int = 42) ->
         "GradientBoosting": _estimator(lambda t: boosting(task, t.n_classes, trees, seed=seed)),
         "ExtraTrees": lambda t: extra_trees(t, trees, depth, seed),
         "Lasso": linear,
-        "BART": lambda t: additive_trees(t, min(trees, 20), seed=seed),
+        "BART": lambda t: additive_trees(t, seed=seed),
     }
 
 
-def baselines(task: str, trees: int = 50, depth: int = 10, seed: int = 42) -> dict[str, Fit]:
+def baselines(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42) -> dict[str, Fit]:
     """Standard models: linear ones and ensembles."""
     ensembles = {
         "Random Forest": _estimator(lambda t: random_forest(task, trees, depth, seed)),
@@ -281,7 +288,7 @@ def run_all(table: Table, fits: dict[str, Fit], threads: int = 3) -> Run:
         try:
             return name, fit(table), time.time() - start, None
         except Exception as error:  # one failed model must not lose the others
-            return name, None, time.time() - start, str(error)[:200]
+            return name, None, time.time() - start, str(error)
 
     with ThreadPoolExecutor(threads) as pool:
         results = list(pool.map(lambda item: one(*item), fits.items()))
@@ -297,21 +304,46 @@ def run_all(table: Table, fits: dict[str, Fit], threads: int = 3) -> Run:
     return Run(out, report)
 
 
-def evaluate(table: Table, fits: dict[str, Fit]) -> DataFrame:
-    """One row per method: test metric, seconds, performance relative to the best."""
+def scores(run: Run, task: str) -> DataFrame:
+    """One row per method and split with its metrics, its seconds and, if it failed, null metrics and the error."""
+    from .metrics import accuracy, regression_metrics
+
+    names = ["mse", "rmse", "mae", "r2"] if task == REGRESSION else ["accuracy", "error_rate"]
+    report = run.report.select("method", F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split"), "seconds", "error")
+    if run.predictions is None:
+        return report.select("method", "split", *[F.lit(None).cast("double").alias(n) for n in names], "seconds", "error")
+    found = regression_metrics(run.predictions) if task == REGRESSION else accuracy(run.predictions).withColumnRenamed("error", "error_rate")
+    # The report has two rows per method.
+    return report.join(F.broadcast(found), ["method", "split"], "left").select("method", "split", *names, "seconds", "error")
+
+
+def best_configuration(evaluated: DataFrame, task: str, prefix: str = "MF") -> DataFrame:
+    """The muted-forest configuration with the best test metric (the first name on a tie)."""
+    metric = "mse_test" if task == REGRESSION else "accuracy_test"
+    order = F.asc_nulls_last(metric) if task == REGRESSION else F.desc_nulls_last(metric)
+    return evaluated.where(F.col("method").startswith(prefix) & F.col(metric).isNotNull()).orderBy(order, "method").limit(1)
+
+
+def evaluate(table: Table, fits: dict[str, Fit], name: str = "table") -> DataFrame:
+    """One row per method: train and test metric, performance relative to the best, seconds, error.
+
+    A method that fails keeps its row, with null metrics and the whole error text.
+    """
     from .compare import relative_performance
     from .metrics import accuracy, regression_metrics
 
     run = run_all(table, fits)
-    if run.predictions is None:
-        return run.report
     regression = table.task == REGRESSION
-    scored = (regression_metrics if regression else accuracy)(run.predictions)
     metric = "mse" if regression else "accuracy"
+    if run.predictions is None:
+        return run.report.select(
+            "method", "seconds", "error", F.lit(name).alias("table_name"),
+            *[F.lit(None).cast("double").alias(c) for c in (f"{metric}_train", f"{metric}_test", "relative_performance")])
+    scored = (regression_metrics if regression else accuracy)(run.predictions)
     wide = scored.groupBy("method").pivot("split", ["train", "test"]).agg(F.first(metric))
-    wide = wide.select(F.lit("table").alias("table_name"), "method", F.col("train").alias(f"{metric}_train"), F.col("test").alias(f"{metric}_test"))
+    wide = wide.select(F.lit(name).alias("table_name"), "method", F.col("train").alias(f"{metric}_train"), F.col("test").alias(f"{metric}_test"))
     # The report has one row per method.
-    return run.report.join(relative_performance(wide, table.task), "method", "left")
+    return run.report.join(relative_performance(wide, table.task), "method", "left").withColumn("table_name", F.lit(name))
 
 
 def evaluate_many(tables: dict[str, Callable[[], Table]], fits: Callable[[str], dict[str, Fit]]) -> DataFrame:
@@ -320,7 +352,7 @@ def evaluate_many(tables: dict[str, Callable[[], Table]], fits: Callable[[str],
     for name, make in tables.items():
         try:
             table = make()
-            rows = evaluate(table, fits(table.task))
+            rows = evaluate(table, fits(table.task), name)
             metric = "mse_test" if table.task == REGRESSION else "accuracy_test"
             rows = rows.select(
                 F.lit(name).alias("table_name"), F.lit(table.task).alias("task"), "method", F.col(metric).alias("value"),
@@ -329,7 +361,7 @@ def evaluate_many(tables: dict[str, Callable[[], Table]], fits: Callable[[str],
             from pyspark.sql import SparkSession
 
             rows = SparkSession.active().createDataFrame(
-                [(name, None, None, None, None, str(error)[:200])],
+                [(name, None, None, None, None, str(error))],
                 "table_name string, task string, method string, value double, relative_performance double, error string")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -22,7 +22,7 @@ from .profile import CLASSIFICATION, REGRESSION
 
 WIDTH = 500          # columns of a prepared table
 TRAIN_ROWS = 150     # rows of its training part
-MAX_INDICATORS = 1000  # indicator columns per text column; beyond, one sparse vector
+MAX_INDICATORS = 1000  # indicator columns that a text column may become
 
 
 def first_columns(df: DataFrame, k: int = WIDTH) -> DataFrame:
@@ -59,24 +59,41 @@ def _pick(seed, i: int, k: int) -> int:
     return int(int(word, 16) / 4294967296.0 * k)
 
 
-def _mixed_noise(df: DataFrame, features: list[str], key: str, n: int, seed) -> DataFrame:
+def _signals(df: DataFrame, features: list[str], n: int, seed) -> tuple[list[str], dict[str, tuple[float, float]]]:
+    """The feature that each of ``n`` noise columns is mixed with, and the mean and spread of those."""
+    picks = [features[_pick(seed, i, len(features))] for i in range(n)] if features else []
+    used = sorted(set(picks))
+    if not used:
+        return picks, {}
+    rows = per_feature(df, used, {"m": lambda c, p: F.avg(c), "s": lambda c, p: F.stddev_pop(c)})
+    return picks, {r.feature: (r.m, r.s) for r in rows.collect()}
+
+
+def _with_noise(df: DataFrame, key: str, n: int, seed, picks: list[str], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Add the array column ``_noise`` of ``n`` mixed noise values."""
+    df = _parallel(df)
     noise = hash_normal_array(f"{seed}|mix", n, key)
-    if not features:
+    if not picks:
         return df.select("*", noise.alias("_noise"))
-    picks = [features[_pick(seed, i, len(features))] for i in range(n)]
-    used = sorted(set(picks))
-    rows = per_feature(df, used, {"m": lambda c, p: F.avg(c), "s": lambda c, p: F.stddev_pop(c)})
-    stats = {r.feature: (r.m, r.s) for r in rows.collect()}
-    signals = F.array(*[(col(c) - F.lit(stats[c][0])) / F.lit((stats[c][1] or 0.0) + 1e-8) for c in used])
+    scaled = {c: (col(c) - F.lit(m)) / F.lit((s or 0.0) + 1e-8) for c, (m, s) in stats.items()}
     if n <= 32:
         # Few columns stay generated code; many share one lambda.
-        scaled = {c: (col(c) - F.lit(stats[c][0])) / F.lit((stats[c][1] or 0.0) + 1e-8) for c in used}
         return df.select("*", F.array(*[
             scaled[c] + 2.0 * hash_normal(f"{seed}|mix|{i}", key) for i, c in enumerate(picks)]).alias("_noise"))
+    used = list(scaled)
     at = F.array(*[F.lit(used.index(c) + 1) for c in picks])
     mixed = F.zip_with(at, noise, lambda i, e: F.element_at(F.col("_signals"), i) + 2.0 * e)
-    return df.select("*", signals.alias("_signals")).select(*[col(c) for c in df.columns], mixed.alias("_noise"))
+    return df.select("*", F.array(*scaled.values()).alias("_signals")).select(*[col(c) for c in df.columns], mixed.alias("_noise"))
+
+
+def _parallel(df: DataFrame) -> DataFrame:
+    """Deal out rows before a heavy projection if the table lies in fewer pieces than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _mixed_noise(df: DataFrame, features: list[str], key: str, n: int, seed) -> DataFrame:
+    return _with_noise(df, key, n, seed, *_signals(df, features, n, seed))
 
 
 def noise_mix(df: DataFrame, features: list[str], key: str, n: int, seed=42) -> DataFrame:
@@ -87,6 +104,7 @@ def noise_mix(df: DataFrame, features: list[str], key: str, n: int, seed=42) ->
 def noise_pad(df: DataFrame, features: list[str], key: str, width: int = WIDTH, name="extra_noise", seed=42) -> DataFrame:
     """Add normal noise columns until there are ``width`` features."""
     n = max(0, width - len(features))
+    df = _parallel(df) if n else df
     return _spread(df.select("*", hash_normal_array(f"{seed}|pad", n, key).alias("_noise")), n, name) if n else df
 
 
@@ -108,8 +126,10 @@ def split(df: DataFrame, key: str, train_rows: int = TRAIN_ROWS, seed=42) -> tup
     order = F.struct(h.alias("h"), col(key).alias("k"))
     if train_rows <= 10_000:
         last = df.select(order.alias("o")).orderBy("o").limit(train_rows).agg(F.max("o").alias("o")).first().o
+        if last is None:
+            return df, df.where(F.lit(False))
         h_last, k_last = last.h, last.k
-    elif df.limit(train_rows).count() < train_rows:
+    elif df.count() < train_rows:
         return df, df.where(F.lit(False))
     else:
         h_last = order_statistic(df.select(h.alias("h")), "h", train_rows - 1)
@@ -179,14 +199,13 @@ def encode_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 def one_hot(train: DataFrame, test: DataFrame, columns: list[str]):
     """Indicator columns ``{column}_{value}`` of the training values; unseen values are all 0.
 
-    A column with too many values for that becomes one sparse vector.
+    Over ``MAX_INDICATORS`` values of a column are an error: ``one_hot_vector`` is for those.
     """
     for c in columns:
         values = train.where(col(c).isNotNull()).select(col(c).alias("v")).distinct()
         found = [r.v for r in values.limit(MAX_INDICATORS + 1).collect()]
         if len(found) > MAX_INDICATORS:
-            train, test = one_hot_vector(train, test, c)
-            continue
+            raise ValueError(f"{c} has over {MAX_INDICATORS} values; use one_hot_vector")
         found.sort()
 
         def apply(df, c=c, found=found):
@@ -221,39 +240,43 @@ def one_hot_vector(train: DataFrame, test: DataFrame, column: str):
 
 
 def prepare(
-    df: DataFrame, target: str, key: str, task: str, width: int = WIDTH, train_rows: int = TRAIN_ROWS, seed=42
+    df: DataFrame, target: str, key: str, task: str, width: int = WIDTH, train_rows: int = TRAIN_ROWS, seed=42,
+    truncate: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Noise columns, split, scaling and encoding to exactly ``width`` features."""
+    """Split, encoding, noise columns and scaling to exactly ``width`` features.
+
+    Noise fills what the encoded features leave. More features than ``width`` are an
+    error; with ``truncate`` the last ones are cut.
+    """
     numeric = numeric_columns(df, exclude=[target, key])
     texts = text_columns(df, exclude=[target, key])
     names = [c for c in df.columns if c not in (target, key)]
-    n = max(0, width - len(names))
-    # Text is encoded on the narrow table; noise and scaling work on one array
-    # column, which becomes hundreds of columns only in the last projection.
-    if n:
-        df = _mixed_noise(df, numeric, key, n, seed)
-    values = F.array(*[col(c).cast("double") for c in numeric]) if numeric else F.array().cast("array<double>")
-    values = F.concat(values, F.col("_noise")) if n else values
-    narrow = df.select(col(key), col(target), *[col(c) for c in texts], values.alias("_values"))
+    narrow = df.select(col(key), col(target), *[col(c) for c in texts], *[col(c).cast("double").alias(c) for c in numeric])
     train, test = split(narrow, key, train_rows, seed)
     train, test = (label_encode if task == REGRESSION else one_hot)(train, test, texts)
+    encoded = [c for c in train.columns if c not in (key, target, *numeric)]
+    if len(numeric) + len(encoded) > width and not truncate:
+        raise ValueError(f"{len(numeric) + len(encoded)} features do not fit into {width} columns")
+    n = max(0, width - len(numeric) - len(encoded))
+    # Noise and scaling work on one array column, which becomes hundreds of
+    # columns only in the last projection.
+    if n:
+        signals = _signals(narrow, numeric, n, seed)
+        train, test = (_with_noise(part, key, n, seed, *signals) for part in (train, test))
+    values = F.array(*[col(c) for c in numeric]) if numeric else F.array().cast("array<double>")
+    values = F.concat(values, F.col("_noise")) if n else values
+    kept = [key, target, *encoded]
+    train, test = (part.select(*[col(c) for c in kept], values.alias("_values")) for part in (train, test))
     train, test = _scale_array(train, test, "_values")
-    encoded = [c for c in train.columns if c not in (key, target, "_values")]
     mixed = [f"noise_signal_1to2_{i}" for i in range(n)]
     at = {c: i for i, c in enumerate([*numeric, *mixed])}
     if task == REGRESSION:
         order = [*[c for c in names if c in at or c in encoded], *mixed]
     else:
-        order = [*[c for c in names if c in at], *mixed, *encoded]
-    short = max(0, width - len(order))
-    parts = []
-    for part in (train, test):
-        if short:
-            part = part.select("*", hash_normal_array(f"{seed}|pad", short, key).alias("_noise"))
-        cells = [F.col("_values")[at[c]].alias(c) if c in at else col(c) for c in order[:width]]
-        cells += [F.col("_noise")[i].alias(f"extra_noise_{i}") for i in range(short)]
-        parts.append(part.select(col(key), *cells, col(target)))
-    return parts[0], parts[1]
+        order = [*[c for c in names if c in at], *encoded, *mixed]
+    return tuple(
+        part.select(col(key), *[F.col("_values")[at[c]].alias(c) if c in at else col(c) for c in order[:width]], col(target))
+        for part in (train, test))
 
 
 def _scale_array(train: DataFrame, test: DataFrame, column: str):

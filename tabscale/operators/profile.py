@@ -209,7 +209,8 @@ def summary(df: DataFrame, target: str, key: str | None = None) -> DataFrame:
         _cells(duplicates(df), "duplicates", whole, {"count": "duplicates", "pct": "duplicate_pct"}),
         _cells(target_base(df, target), "target", whole, {"missing": "missing", "n_unique": "n_unique"}),
     ]
-    if is_text(df, target):
+    if task_by_share(df, target).first().task == CLASSIFICATION:
+        parts.append(_cells(class_imbalance(df, target), "target", whole, {"imbalance": "imbalance"}))
         parts.append(_cells(class_distribution(df, target), "classes", F.col("class"), {"n": "n", "proportion": "proportion"}))
         corr = class_correlations(df, target, features)
     else:
@@ -233,7 +234,7 @@ def summary(df: DataFrame, target: str, key: str | None = None) -> DataFrame:
 def insights(df: DataFrame, target: str, few_features: int = 10) -> DataFrame:
     """Verdicts on width, target shape and class balance."""
     width = "simple" if len(df.columns) - 1 < few_features else "complex"
-    if is_text(df, target):
+    if task_by_share(df, target).first().task == CLASSIFICATION:
         stats = class_imbalance(df, target).select(
             F.when(F.col("imbalance") < 3, "balanced").otherwise("imbalanced").alias("verdict"),
             F.col("imbalance").alias("value"))

@@ -141,19 +141,48 @@ def chart_shap_force(spark, sf):
     return explain.force_chart(_explained(spark, sf))
 
 
-def _local(spark, sf, samples=100):
+def _local(spark, sf):
     df = customers(spark, sf)
     spreads = df.agg(*[F.stddev_pop(f) for f in FEATURES]).first()
     return explain.local_surrogate(
-        explain.linear_scorer(WEIGHTS, 1.0), explain.instances(df, "c_custkey", FEATURES), list(spreads), FEATURES, samples=samples)
+        explain.linear_scorer(WEIGHTS, 1.0), explain.instances(df, "c_custkey", FEATURES), list(spreads), FEATURES)
 
 
-@query("xai_lime")
+def sql_local():
+    """The weighted ridge in closed form: the score is linear in the draws, so with A the
+    weighted centred sums of squares the weights solve (A + I) b = A * (weight * spread)."""
+    draws = ", ".join(f"CASE WHEN _s = 0 THEN 0 ELSE {fx.sql_normal(f'42|{j}', 'instance, _s')} END AS z{j}" for j in range(3))
+    sums = ", ".join([*[f"sum(w * z{a}) AS m{a}" for a in range(3)], *[f"sum(w * z{a} * z{b}) AS s{a}{b}" for a in range(3) for b in range(a, 3)]])
+    cell = lambda a, b: f"(s{min(a, b)}{max(a, b)} - m{a} * m{b} / sw)"
+    a = ", ".join(f"{cell(i, j)} AS a{i}{j}" for i in range(3) for j in range(3))
+    v = ", ".join("(" + " + ".join(f"a{i}{j} * {w}::DOUBLE * sd{j}" for j, w in enumerate(WEIGHTS)) + f") AS v{i}" for i in range(3))
+    mat = [[f"(a{i}{j} + {int(i == j)})" for j in range(3)] for i in range(3)]
+
+    def det(m):
+        return "(" + " + ".join(
+            f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})" for i in range(3)) + ")"
+
+    def swapped(j):
+        return [[f"v{i}" if k == j else mat[i][k] for k in range(3)] for i in range(3)]
+
+    spreads = ", ".join(f"stddev_pop({f}) AS sd{j}" for j, f in enumerate(FEATURES))
+    rows = union(f"SELECT instance, '{f}' AS feature, {det(swapped(j))} / {det(mat)} AS weight FROM v" for j, f in enumerate(FEATURES))
+    return f"""WITH d AS (SELECT c_custkey AS instance, _s FROM customer, range({explain.SAMPLES}) AS r(_s)), z AS (SELECT instance, _s, {draws} FROM d),
+k AS (SELECT *, sqrt(exp(-(z0 * z0 + z1 * z1 + z2 * z2) / ({explain.KERNEL}::DOUBLE * {explain.KERNEL}::DOUBLE * 3))) AS w FROM z),
+g AS (SELECT instance, sum(w) AS sw, {sums} FROM k GROUP BY instance), a AS (SELECT instance, {a} FROM g),
+v AS (SELECT *, {v} FROM a, (SELECT {spreads} FROM ({CUST_SQL})))
+{rows}"""
+
+
+LOCAL_SQL = sql_local()
+
+
+@query("xai_lime", LOCAL_SQL, "weight:4")
 def xai_lime(spark, sf):
     return _local(spark, sf)
 
 
-@query("chart_lime_bars")
+@query("chart_lime_bars", f"SELECT instance, substr(feature, 1, 30) AS label, weight, CASE WHEN weight > 0 THEN 'positive' ELSE 'negative' END AS sign FROM ({LOCAL_SQL})", "weight:4")
 def chart_lime_bars(spark, sf):
     return explain.surrogate_bars(_local(spark, sf))
 
@@ -161,20 +190,28 @@ def chart_lime_bars(spark, sf):
 TRUTH = "(c_acctbal / 20 - c_nationkey)"
 
 
-@query("xai_errors", f"""SELECT c_custkey AS instance, 1 + 0.05::DOUBLE * c_acctbal - 2 * c_nationkey + 3 * c_group AS prediction, {TRUTH} AS y,
-  abs(1 + 0.05::DOUBLE * c_acctbal - 2 * c_nationkey + 3 * c_group - {TRUTH}) AS error FROM ({CUST_SQL})""", "prediction y error")
+ERRORS_SQL = f"""SELECT c_custkey AS instance, 1 + 0.05::DOUBLE * c_acctbal - 2 * c_nationkey + 3 * c_group AS prediction, {TRUTH} AS y,
+  abs(1 + 0.05::DOUBLE * c_acctbal - 2 * c_nationkey + 3 * c_group - {TRUTH}) AS error FROM ({CUST_SQL})"""
+
+
+@query("xai_errors", ERRORS_SQL, "prediction y error")
 def xai_errors(spark, sf):
     df = customers(spark, sf).withColumn("y", F.expr(TRUTH))
     rows = df.select(F.col("c_custkey").alias("instance"), F.array(*FEATURES).alias("x"), "y")
     return explain.prediction_errors(explain.linear_scorer(WEIGHTS, 1.0)(rows), "regression")
 
 
-@query("xai_compare")
+def sql_ranked(source, value, rank):
+    return f"SELECT *, CAST(row_number() OVER (PARTITION BY instance ORDER BY abs({value}) DESC, feature) AS INTEGER) AS {rank} FROM ({source})"
+
+
+@query("xai_compare", f"""SELECT instance, feature, weight, local_rank, phi, shapley_rank, prediction, y, error FROM ({sql_ranked(LOCAL_SQL, 'weight', 'local_rank')})
+JOIN ({sql_ranked(SHAP_SQL, 'phi', 'shapley_rank')}) USING (instance, feature) JOIN ({ERRORS_SQL}) USING (instance)""", "weight:4 phi prediction y error")
 def xai_compare(spark, sf):
-    return explain.compare_methods(_local(spark, sf), _explained(spark, sf))
+    return explain.compare_methods(_local(spark, sf), _explained(spark, sf), xai_errors(spark, sf))
 
 
-@query("xai_explain_both")
+@query("xai_explain_both", f"SELECT instance, feature, phi, 'shapley' AS method FROM ({SHAP_SQL}) UNION ALL SELECT instance, feature, weight, 'local' FROM ({LOCAL_SQL})", "phi:4")
 def xai_explain_both(spark, sf):
     return explain.explain_both(_local(spark, sf), _explained(spark, sf))
 
@@ -185,9 +222,9 @@ def xai_global(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     table = surface(spark, sf)
-    model = models.random_forest("regression", 5, 4).fit(table.train)
+    model = models.random_forest("regression", depth=10).fit(table.train)
     rows = [d.select(F.col("row_id").alias("instance"), vector_to_array("features").alias("x")) for d in (table.test, table.train)]
-    back = explain.background(rows[1], "instance", 5)
+    back = explain.background(rows[1], "instance")
     names = [f"x{j}" for j in range(table.n_features)]
     return explain.global_importance(explain.ml_scorer(model), rows[0], back, names)
 

@@ -139,7 +139,7 @@ cuts AS (SELECT tree, j, t, cut FROM (SELECT tree, j, quantile_cont(v, 0.25) AS
 
 @query("rf_thresholds", f"WITH {CUTS_SQL} SELECT CAST(tree AS INTEGER) AS tree, CAST(j AS INTEGER) AS j, CAST(t AS INTEGER) AS t, cut AS threshold FROM cuts", "threshold")
 def rf_thresholds(spark, sf):
-    found = forest.node_thresholds(samples(spark, sf, "regression"), options(spark), True, True, 3)
+    found = forest.node_thresholds(samples(spark, sf, "regression"), options(spark), True, 3)
     return found.select("tree", "j", F.posexplode("thresholds").alias("t", "threshold"))
 
 
@@ -159,7 +159,7 @@ l AS (SELECT tree, j, t, cut, sum(n) FILTER (WHERE is_left) AS nl, sum(n) FILTER
 
 def _split(spark, sf, task, scale):
     drawn = samples(spark, sf, task)
-    found = forest.best_splits(drawn, forest.node_thresholds(drawn, options(spark), True, True, 3), True, 3)
+    found = forest.best_splits(drawn, forest.node_thresholds(drawn, options(spark), True, 3), True, 3)
     # The option's number: a sum comes after the single columns, which are in the order chosen.
     j = F.lit(0)
     for tree, chosen in CHOSEN.items():
@@ -184,7 +184,7 @@ LINEAR_SQL = f"WITH {CUTS_SQL} SELECT CAST(tree AS INTEGER) AS tree, CAST(t AS I
 @query("rf_split_linear", LINEAR_SQL, "threshold")
 def rf_split_linear(spark, sf):
     sums = options(spark).withColumn("options", F.filter("options", lambda o: F.size(o["fs"]) > 1)).where("size(options) > 0")
-    found = forest.node_thresholds(samples(spark, sf, "regression"), sums, True, True, 3)
+    found = forest.node_thresholds(samples(spark, sf, "regression"), sums, True, 3)
     return found.select("tree", F.posexplode("thresholds").alias("t", "threshold"))
 
 
@@ -236,40 +236,51 @@ def wide_rows(spark, sf):
     return forest.to_rows(fx.wide(spark, sf), "vec_id", fx.WIDE_FEATURES, "label", "classification")
 
 
+TREES = 10  # trees of the registered forests; a configuration of the grid has as many
+
+
 @query("rf_importance")
 def rf_importance(spark, sf):
-    return forest.root_importance(surface_rows(spark, sf).drop("split"), "regression", trials=30)
+    return forest.root_importance(surface_rows(spark, sf).drop("split"), "regression")
 
 
 @query("rf_grow")
 def rf_grow(spark, sf):
-    grown, _ = forest.grow(surface_rows(spark, sf).drop("split"), "regression", [(2, 0.5)], max_depth=3)
+    grown, _ = forest.grow(surface_rows(spark, sf).drop("split"), "regression", [(2, 0.5)])
     return grown.nodes()
 
 
 @query("rf_fit")
 def rf_fit(spark, sf):
-    grown, _ = forest.grow(wide_rows(spark, sf), "classification", [(1, 0.5)] * 3, max_depth=3)
+    grown, _ = forest.grow(wide_rows(spark, sf), "classification", [(1, 0.5)] * 100)
     return forest.forest_importance(grown)
 
 
 @query("rf_traverse")
 def rf_traverse(spark, sf):
-    grown, _ = forest.grow(wide_rows(spark, sf), "classification", [(2, 0.8)] * 3, max_depth=2)
+    grown, _ = forest.grow(wide_rows(spark, sf), "classification", [(2, 0.8)] * TREES)
     return forest.traverse(grown, wide_rows(spark, sf)).select("row_id", "c", "votes")
 
 
-def _variants(spark, sf, configs, depth):
+@query("rf_predict_proba")
+def rf_predict_proba(spark, sf):
+    """Class probabilities of a grown forest: the shares of its trees' votes."""
+    rows = wide_rows(spark, sf)
+    grown, _ = forest.grow(rows, "classification", [(1, 0.5)] * TREES)
+    return forest.predict_proba(grown, rows, [float(c) for c in range(10)])
+
+
+def _variants(spark, sf, configs):
     rows = surface_rows(spark, sf)
-    grown, _ = forest.grow(rows.where("split = 'train'").drop("split"), "regression", configs, max_depth=depth)
+    grown, _ = forest.grow(rows.where("split = 'train'").drop("split"), "regression", configs)
     return metrics.regression_metrics(forest.predict_grid(grown, rows))
 
 
 @query("rf_grid")
 def rf_grid(spark, sf):
-    return _variants(spark, sf, forest.GRID, 2)
+    return _variants(spark, sf, [c for c in forest.GRID for _ in range(TREES)])
 
 
 @query("rf_three_rates")
 def rf_three_rates(spark, sf):
-    return _variants(spark, sf, [(1, rate) for rate in (0.0, 0.5, 0.8) for _ in range(2)], 3)
+    return _variants(spark, sf, [(1, rate) for rate in (0.0, 0.5, 0.8) for _ in range(TREES)])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform
-from ..operators import forest, metrics, models, prepare
+from ..operators import forest, models, prepare
 from . import fixtures as fx
-from .forest_queries import MARGINAL_SQL, P, SURFACE_COLUMNS, marginal, surface_table
+from .forest_queries import MARGINAL_SQL, SURFACE_COLUMNS, marginal, surface_table
 from .profile_queries import union
 from .registry import query
 
@@ -84,9 +84,7 @@ def ml_ols_predict(spark, sf):
 
 
 def _scored(table, fit, name):
-    run = models.run_all(table, {name: fit})
-    scores = metrics.regression_metrics if table.task == "regression" else metrics.accuracy
-    return scores(run.predictions)
+    return models.scores(models.run_all(table, {name: fit}), table.task).drop("seconds")
 
 
 @query("ml_logit")
@@ -101,34 +99,34 @@ def ml_logit_l1(spark, sf):
 
 @query("ml_rf")
 def ml_rf(spark, sf):
-    return _scored(orders(spark, sf), models._estimator(lambda t: models.random_forest("regression", 20, 6)), "Random_Forest")
+    return _scored(orders(spark, sf), models._estimator(lambda t: models.random_forest("regression")), "Random_Forest")
 
 
 @query("ml_rf_cls")
 def ml_rf_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.random_forest("classification", 20, 6)), "Random_Forest")
+    return _scored(flags(spark, sf), models._estimator(lambda t: models.random_forest("classification")), "Random_Forest")
 
 
 @query("ml_gbt")
 def ml_gbt(spark, sf):
-    return _scored(surface(spark, sf), models._estimator(lambda t: models.boosting("regression", trees=10)), "GradientBoosting")
+    return _scored(surface(spark, sf), models._estimator(lambda t: models.boosting("regression")), "GradientBoosting")
 
 
 @query("ml_gbt_cls")
 def ml_gbt_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.boosting("classification", t.n_classes, trees=3)), "GradientBoosting")
+    return _scored(flags(spark, sf), models._estimator(lambda t: models.boosting("classification", t.n_classes)), "GradientBoosting")
 
 
 @query("ml_extra_trees")
 def ml_extra_trees(spark, sf):
-    return _scored(surface(spark, sf), lambda t: models.extra_trees(t, 5, 4), "ExtraTrees")
+    return _scored(surface(spark, sf), models.extra_trees, "ExtraTrees")
 
 
 @query("ml_adapted_rf")
 def ml_adapted_rf(spark, sf):
     table = surface(spark, sf)
-    run = models.run_all(table, {k: (lambda t, k=k: models.adapted_forest(t, k, 10, 5)) for k in ("log_p", "sqrt_p")})
-    return metrics.regression_metrics(run.predictions)
+    run = models.run_all(table, {k: (lambda t, k=k: models.adapted_forest(t, k)) for k in ("log_p", "sqrt_p")})
+    return models.scores(run, table.task).drop("seconds")
 
 
 @query("ml_adapted_k", union(
@@ -143,14 +141,14 @@ def ml_adapted_k(spark, sf):
 
 @query("ml_bart_reg")
 def ml_bart_reg(spark, sf):
-    fitted = models.additive_trees(surface(spark, sf), 10)
+    fitted = models.additive_trees(surface(spark, sf))
     return spark.createDataFrame(list(enumerate(fitted.residuals)), "stage int, mean_abs_residual double")
 
 
 @query("ml_bart_cls")
 def ml_bart_cls(spark, sf):
     table = halves(spark, sf)
-    fitted = models.additive_trees(table, 6)
+    fitted = models.additive_trees(table)
     return fitted(table.test).join(fitted.probabilities(table.test), "row_id")
 
 
@@ -169,45 +167,58 @@ def bart_sigmoid(spark, sf):
 
 @query("ml_run_all")
 def ml_run_all(spark, sf):
-    return metrics.regression_metrics(models.run_all(surface(spark, sf), models.competitors("regression", 3, 3)).predictions)
+    return models.scores(models.run_all(surface(spark, sf), models.competitors("regression")), "regression").drop("seconds")
+
+
+@query("ml_run_all_cls")
+def ml_run_all_cls(spark, sf):
+    return models.scores(models.run_all(halves(spark, sf), models.competitors("classification")), "classification").drop("seconds")
 
 
 @query("ml_baselines")
 def ml_baselines(spark, sf):
-    return metrics.accuracy(models.run_all(halves(spark, sf), models.baselines("classification", 3, 3)).predictions)
+    return models.scores(models.run_all(halves(spark, sf), models.baselines("classification")), "classification").drop("seconds")
+
+
+@query("ml_baselines_reg")
+def ml_baselines_reg(spark, sf):
+    return models.scores(models.run_all(surface(spark, sf), models.baselines("regression")), "regression").drop("seconds")
 
 
 @query("rf_naive")
 def rf_naive(spark, sf):
     df = fx.wide(spark, sf)
     table = models.assemble(*_split(df, "vec_id"), "vec_id", fx.WIDE_FEATURES, "label", "classification")
-    rated = forest.importance_array(marginal(spark, sf)).first()[0]
-    return _scored(table, lambda t: models.naive_forest(t, rated, 0.5, 10), "naive")
+    # Columns are rated on the training part alone.
+    train = _split(df, "vec_id")[0]
+    rated = forest.importance_array(forest.marginal_importance(train, fx.WIDE_FEATURES, "label")).first()[0]
+    return _scored(table, lambda t: models.naive_forest(t, rated, 0.5), "naive")
 
 
-@query("rf_naive_subset", f"SELECT CAST(greatest(1, floor(count(*) * 0.5)) AS INTEGER) AS kept, CAST(greatest(1, least(floor(count(*) * 0.5), floor(sqrt(count(*))))) AS INTEGER) AS tried FROM ({MARGINAL_SQL})")
+@query("rf_naive_subset", f"""SELECT CAST(feature AS INTEGER) AS feature, importance, CAST(greatest(1, least(floor(n * 0.5), floor(sqrt(n)))) AS INTEGER) AS tried
+FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY importance DESC, feature DESC) AS place FROM ({MARGINAL_SQL})) WHERE place <= greatest(1, floor(n * 0.5))""", "importance")
 def rf_naive_subset(spark, sf):
-    rows = marginal(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.lit(forest.marginal_keep(P, 0.5)).alias("kept"), F.lit(forest.naive_subset(P, 0.5)).alias("tried"))
+    """The columns that the marginal variant keeps, and how many it tries per split."""
+    rows = marginal(spark, sf)
+    p = rows.count()
+    return forest.top_features(rows, forest.marginal_keep(p, 0.5)).select("feature", "importance", F.lit(forest.naive_subset(p, 0.5)).alias("tried"))
 
 
-def _few(task):
-    fits = models.baselines(task, 3, 3)
-    fits.pop("Extra Trees")
-    muted = {forest.config_name(1, rate): (lambda t, rate=rate: models.muted_forest(t, 1, 1, rate, depth=2)) for rate in (0.0, 0.8)}
-    return {**muted, **fits}
+def _compared(task, trees=10):
+    """The nine configurations of the muted forest and all standard models."""
+    muted = {forest.config_name(k, rate): (lambda t, k=k, rate=rate: models.muted_forest(t, trees, k, rate)) for k, rate in forest.GRID}
+    return {**muted, **models.baselines(task)}
 
 
 @query("eval_table")
 def eval_table(spark, sf):
-    return models.evaluate(surface(spark, sf), _few("regression")).drop("seconds")
+    found = models.evaluate(surface(spark, sf), _compared("regression"), "surface").drop("seconds").cache()
+    best = models.best_configuration(found, "regression").select(F.col("method").alias("best_config"))
+    return found.join(F.broadcast(best), found.method == best.best_config, "left").select(
+        "table_name", "method", "mse_train", "mse_test", "relative_performance", "error", F.col("best_config").isNotNull().alias("is_best_config"))
 
 
 @query("eval_many")
 def eval_many(spark, sf):
-    def linear(task):
-        fits = models.baselines(task, 2, 2)
-        return {n: f for n, f in fits.items() if not n.startswith(("Extra", "Gradient"))}
-
     return models.evaluate_many(
-        {"orders": lambda: orders(spark, sf), "halves": lambda: halves(spark, sf), "broken": lambda: surface(spark, sf + "/none")}, linear)
+        {"orders": lambda: orders(spark, sf), "halves": lambda: halves(spark, sf), "broken": lambda: surface(spark, sf + "/none")}, models.baselines)

@@ -156,10 +156,36 @@ def prep_encode_missing(spark, sf):
     return prepare.encode_missing(fx.nulls(spark, sf).select("event_id", "event_type"), ["event_type"])
 
 
-@query("prep_prepared_table")
+MAKERS = [f"Brand#{a}" for a in range(1, 6)]  # first digit of the brand: values that every training part has
+
+
+def sql_prepared(target, texts, n):
+    """``texts``: (column, SQL) of the encoded text features; one number, ``n`` noise columns mixed with it."""
+    noise = [f"noise_signal_1to2_{i}" for i in range(n)]
+    raw = ", ".join(f"(p_size - m) / (s + 1e-8::DOUBLE) + 2.0 * {fx.sql_normal(f'42|mix|{i}', 'p_partkey')} AS {c}" for i, c in enumerate(noise))
+    scaled = ["p_size", *noise]
+    stats = ", ".join(f"avg({c}) FILTER (WHERE is_train) AS m_{c}, stddev_pop({c}) FILTER (WHERE is_train) AS s_{c}" for c in scaled)
+    cells = ", ".join(f"({c} - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END) AS {c}" for c in scaled)
+    encoded = ", ".join(f'{sql} AS "{c}"' for c, sql in texts)
+    return f"""WITH p AS ({PART_SPLIT}), n AS (SELECT p_partkey, {target}, p_brand, p_type, is_train, p_size, {raw} FROM p, (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM p)),
+t AS (SELECT {stats} FROM n) SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, p_partkey, {target}, {encoded}, {cells} FROM n, t"""
+
+
+REG_TEXTS = [(c, f"(dense_rank() OVER (ORDER BY {c}) - 1)::DOUBLE") for c in ("p_brand", "p_type")]
+CLS_TEXTS = [(f"p_brand_{v}", f"CASE WHEN substr(p_brand, 1, 7) = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE") for v in MAKERS]
+
+
+@query("prep_prepared_table", sql_prepared("p_retailprice", REG_TEXTS, 497), "p_size " + " ".join(f"noise_signal_1to2_{i}" for i in range(497)))
 def prep_prepared_table(spark, sf):
     parts = prepare.prepare(fx.part(spark, sf), "p_retailprice", "p_partkey", "regression")
-    return _marked(parts, *[c for c in parts[0].columns])
+    return _marked(parts, *[f"`{c}`" for c in parts[0].columns])
+
+
+@query("prep_prepared_table_cls", sql_prepared("p_type", CLS_TEXTS, 494), "p_size " + " ".join(f"noise_signal_1to2_{i}" for i in range(494)))
+def prep_prepared_table_cls(spark, sf):
+    df = fx.part(spark, sf).drop("p_retailprice").withColumn("p_brand", F.substring("p_brand", 1, 7))
+    parts = prepare.prepare(df, "p_type", "p_partkey", "classification")
+    return _marked(parts, *[f"`{c}`" for c in parts[0].columns])
 
 
 @query("prep_prepared_width", f"""SELECT split, CAST(500 AS INTEGER) AS n_features, count(*) AS n_rows, avg(p_retailprice) AS target_mean
@@ -190,9 +216,11 @@ def prep_report(spark, sf):
     from ..operators.profile import task_by_share
 
     out = None
-    for df, target in [(fx.line(spark, sf).drop("row_id"), "l_extendedprice"), (fx.part(spark, sf).drop("p_partkey"), "p_retailprice"),
-                       (fx.wide(spark, sf).drop("vec_id"), "label")]:
-        row = task_by_share(df, target).select(
-            "task", F.lit(prepare.WIDTH).alias("n_features"), F.lit(prepare.WIDTH - len(df.columns) + 1).alias("n_noise"))
+    for df, key, target in [(fx.line(spark, sf), "row_id", "l_extendedprice"), (fx.part(spark, sf), "p_partkey", "p_retailprice"),
+                            (fx.wide(spark, sf), "vec_id", "label")]:
+        task = task_by_share(df.drop(key), target)
+        train, _ = prepare.prepare(df, target, key, task.first().task)
+        noise = [c for c in train.columns if "noise" in c]
+        row = task.select("task", F.lit(len(train.columns) - 2).alias("n_features"), F.lit(len(noise)).alias("n_noise"))
         out = row if out is None else out.unionByName(row)
     return prepare.report(out)

@@ -293,6 +293,23 @@ def prof_summary_null(spark, sf):
     return profile.summary(fx.nulls(spark, sf), "target", key="event_id")
 
 
+# quality is 0 or 1: a number, but classes by the task rule.
+CODED_SQL = f"SELECT *, (dense_rank() OVER (ORDER BY quality) - 1)::DOUBLE AS code FROM ({fx.IMBAL_SQL})"
+
+
+@query("prof_summary_classes", union([
+    sql_cells("basic", f"SELECT count(*) AS n FROM ({fx.IMBAL_SQL})", "'quality'", {"rows": "n", "columns": "3", "features": "2"}),
+    sql_cells("missing", f"SELECT * FROM ({sql_missing(fx.IMBAL_SQL, ['quality', 'toxic', 'n_chars'])}) WHERE missing_count > 0", "feature", {"count": "missing_count", "pct": "missing_pct"}),
+    sql_cells("duplicates", sql_duplicates(fx.IMBAL_SQL, "quality, toxic, n_chars"), "'quality'", {"count": "duplicates", "pct": "duplicate_pct"}),
+    sql_cells("target", f"SELECT count(*) - count(quality) AS m, count(DISTINCT quality) AS u FROM ({fx.IMBAL_SQL})", "'quality'", {"missing": "m", "n_unique": "u"}),
+    sql_cells("target", f"SELECT max(n)::DOUBLE / min(n) AS r FROM ({sql_classes(fx.IMBAL_SQL, 'quality')})", "'quality'", {"imbalance": "r"}),
+    sql_cells("classes", f"SELECT quality::VARCHAR AS c, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS s FROM ({fx.IMBAL_SQL}) GROUP BY quality", "c", {"n": "n", "proportion": "s"}),
+    sql_cells("correlation", sql_corr(CODED_SQL, ["toxic", "n_chars"], "code"), "feature", {"correlation": "correlation"}),
+    sql_cells("distribution", sql_distribution(fx.IMBAL_SQL, ["toxic", "n_chars"]), "feature", {"skewness": "skewness", "kurtosis": "kurtosis", "outliers_iqr": "outliers_iqr"})]), "value:4")
+def prof_summary_classes(spark, sf):
+    return profile.summary(fx.imbalanced(spark, sf), "quality", key="doc_id")
+
+
 @query("prof_insights", union([
     f"""SELECT 'l_extendedprice' AS target, 'simple' AS width,
       CASE WHEN abs(skewness(l_extendedprice)) < 0.5 THEN 'normal' ELSE 'skewed' END AS verdict,
@@ -301,14 +318,18 @@ def prof_summary_null(spark, sf):
       skewness(value) FROM ({fx.SKEW_SQL})""",
     f"""SELECT 'event_type' AS target, 'simple' AS width, CASE WHEN max(n)::DOUBLE / min(n) < 3 THEN 'balanced' ELSE 'imbalanced' END,
       max(n)::DOUBLE / min(n) FROM ({sql_classes(fx.NULL_SQL, 'event_type')})""",
-    f"""SELECT 'label' AS target, 'complex' AS width, CASE WHEN abs(skewness(label)) < 0.5 THEN 'normal' ELSE 'skewed' END,
-      skewness(label) FROM ({fx.WIDE_SQL})"""]), "value")
+    f"""SELECT 'label' AS target, 'complex' AS width, CASE WHEN few AND ratio < 3 THEN 'balanced' WHEN few THEN 'imbalanced' WHEN abs(skew) < 0.5 THEN 'normal' ELSE 'skewed' END,
+      CASE WHEN few THEN ratio ELSE skew END FROM (SELECT count(DISTINCT label) < least(20.0, 0.1 * count(*)) AS few, skewness(label) AS skew FROM ({fx.WIDE_SQL})),
+      (SELECT max(n)::DOUBLE / min(n) AS ratio FROM ({sql_classes(fx.WIDE_SQL, 'label')}))""",
+    f"""SELECT 'quality' AS target, 'simple' AS width, CASE WHEN max(n)::DOUBLE / min(n) < 3 THEN 'balanced' ELSE 'imbalanced' END, max(n)::DOUBLE / min(n)
+      FROM ({sql_classes(fx.IMBAL_SQL, 'quality')})"""]), "value")
 def prof_insights(spark, sf):
     parts = [
         profile.insights(fx.line(spark, sf).drop("row_id"), "l_extendedprice"),
         profile.insights(fx.skew(spark, sf).drop("event_id"), "value"),
         profile.insights(fx.nulls(spark, sf).drop("event_id"), "event_type"),
-        profile.insights(fx.wide(spark, sf).drop("vec_id"), "label")]
+        profile.insights(fx.wide(spark, sf).drop("vec_id"), "label"),
+        profile.insights(fx.imbalanced(spark, sf).drop("doc_id"), "quality")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -410,6 +431,12 @@ def chart_corr_matrix(spark, sf):
     return charts.target_correlation_matrix(fx.line(spark, sf), "l_returnflag", "row_id", ALL_NUM)
 
 
+@query("chart_corr_matrix_classes", sql_matrix(f"""SELECT l.* EXCLUDE (quality), code::DOUBLE AS quality FROM ({fx.IMBAL_SQL}) AS l JOIN
+  (SELECT quality, row_number() OVER (ORDER BY min(doc_id)) - 1 AS code FROM ({fx.IMBAL_SQL}) GROUP BY 1) AS c USING (quality)""", ["toxic", "n_chars", "quality"]), "correlation")
+def chart_corr_matrix_classes(spark, sf):
+    return charts.target_correlation_matrix(fx.imbalanced(spark, sf), "quality", "doc_id")
+
+
 @query("chart_corr_matrix_wide", f"""WITH long AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT 'x' || a.i AS a, 'x' || b.i AS b, corr(a.v, b.v) AS correlation FROM long AS a JOIN long AS b USING (vec_id) GROUP BY a.i, b.i""", "correlation")
 def chart_corr_matrix_wide(spark, sf):

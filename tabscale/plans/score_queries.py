@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import beside
 from ..functions.rand import hash_uniform
 from ..operators import charts, compare, metrics, prepare
 from . import fixtures as fx
@@ -35,7 +36,7 @@ def price_predictions(spark, sf):
     by_flag = train.groupBy("l_returnflag").agg(F.avg("y").alias("flag_mean"))
     by_status = train.groupBy("l_linestatus").agg(F.avg("y").alias("status_mean"))
     wide = (
-        base.join(by_flag, "l_returnflag").join(by_status, "l_linestatus")
+        beside(beside(base, by_flag, ["l_returnflag"]), by_status, ["l_linestatus"])
         .withColumn("mean", F.lit(mean)).withColumn("line", F.lit(cut) + F.lit(slope) * F.col("l_quantity")))
     return wide.unpivot(["row_id", "split", "y"], ["mean", "line", "flag_mean", "status_mean"], "method", "prediction")
 
@@ -63,9 +64,9 @@ def rf_score(spark, sf):
     return metrics.regression_metrics(rows, flat_r2="exact").select("method", "split", F.col("r2").alias("score"))
 
 
-@query("met_residual", f"WITH res AS (SELECT method, y - prediction AS residual FROM ({PRICE_SQL}))\n" + union(
-    f"SELECT '{m}' AS method, * FROM ({sql_hist(f'''SELECT residual FROM res WHERE method = '{m}' ''', 'residual', 20)})"
-    for m in ["mean", "line", "flag_mean", "status_mean"]), "bin_start:4 bin_end:4")
+@query("met_residual", f"WITH res AS (SELECT method, split, y - prediction AS residual FROM ({PRICE_SQL}))\n" + union(
+    f"SELECT '{m}' AS method, '{s}' AS split, * FROM ({sql_hist(f'''SELECT residual FROM res WHERE method = '{m}' AND split = '{s}' ''', 'residual', 20)})"
+    for m in ["mean", "line", "flag_mean", "status_mean"] for s in ["train", "test"]), "bin_start:4 bin_end:4")
 def met_residual(spark, sf):
     return metrics.residual_histogram(price_predictions(spark, sf), 20)
 
@@ -108,7 +109,7 @@ def class_predictions(spark, sf, scored=True):
     top = F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("t")
     best = counts.groupBy("l_linestatus").agg(top).select("l_linestatus", F.col("t.c").alias("status"))
     major = counts.groupBy("c").agg(F.sum("n").alias("n")).agg(top).first().t.c
-    wide = base.join(best, "l_linestatus").select(
+    wide = beside(base, best, ["l_linestatus"]).select(
         "row_id", "split", "y", F.lit(major).alias("majority"), "status", F.floor(F.col("u") * 3).cast("double").alias("guess"),
         F.when(F.col("u") < 0.9, F.col("y")).otherwise(3.0).alias("skewed"), F.lit(0.0).alias("zero"),
         F.lit(None).cast("double").alias("missing"))
@@ -239,7 +240,7 @@ def chart_rank_bars_cls(spark, sf):
 
 MEANS = {
     "MF_k1_mute0": ["l_quantity"], "MF_k1_mute50": ["l_quantity", "l_linenumber"], "MF_k2_mute80": ["grp"],
-    "RandomForest": ["l_discount"], "ExtraTrees": ["l_tax"], "GradientBoosting": ["l_linenumber"],
+    "Random_Forest": ["l_discount"], "ExtraTrees": ["l_tax"], "GradientBoosting": ["l_linenumber"],
 }
 METHODS = [*MEANS, "BART", "Lasso", "Ridge", "Broken"]
 SCENARIO = {"A": "scenario1", "N": "scenario2", "R": "scenario3"}
@@ -262,7 +263,7 @@ def scores(spark, sf):
     m, s, c = b.agg(F.avg("y"), F.regr_slope("y", "l_quantity"), F.regr_intercept("y", "l_quantity")).first()
     w = b
     for name, keys in MEANS.items():
-        w = w.join(b.groupBy(*keys).agg(F.avg("y").alias(name)), keys)
+        w = beside(w, b.groupBy(*keys).agg(F.avg("y").alias(name)), keys)
     line = F.lit(c) + F.lit(s) * F.col("l_quantity")
     w = w.withColumn("BART", F.lit(m)).withColumn("Lasso", line).withColumn("Ridge", line)
     names = [n for n in METHODS if n != "Broken"]
@@ -455,8 +456,8 @@ def cmp_config_votes(spark, sf):
 
 
 @query("cmp_beats_trees", f"""WITH s AS (SELECT *, min(mean) FILTER (WHERE method LIKE 'MF%') OVER (PARTITION BY scenario, p) AS ours FROM ({ROUNDED_STATS}))
-SELECT scenario, p, min(ours) AS our_error, count(*) FILTER (WHERE method IN ('RandomForest', 'BART', 'ExtraTrees', 'GradientBoosting') AND ours < mean) AS beaten,
-  count(*) FILTER (WHERE method IN ('RandomForest', 'BART', 'ExtraTrees', 'GradientBoosting')) AS n_trees, coalesce(bool_or(mean < ours) FILTER (WHERE method = 'Lasso'), FALSE) AS linear_wins
+SELECT scenario, p, min(ours) AS our_error, count(*) FILTER (WHERE method IN ('Random_Forest', 'BART', 'ExtraTrees', 'GradientBoosting') AND ours < mean) AS beaten,
+  count(*) FILTER (WHERE method IN ('Random_Forest', 'BART', 'ExtraTrees', 'GradientBoosting')) AS n_trees, coalesce(bool_or(mean < ours) FILTER (WHERE method = 'Lasso'), FALSE) AS linear_wins
 FROM s GROUP BY scenario, p""", "our_error")
 def cmp_beats_trees(spark, sf):
     return compare.beats_trees(_steady(stats(spark, sf)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .delimited import read_delimited, read_whitespace
@@ -74,8 +75,8 @@ def load(spark: SparkSession, name: str, folder: str, sources: Mapping[str, Sour
             else:
                 df = read_delimited(spark, path, source.separator, source.header, source.columns)
             return df, split_target(df, source.target)[1]
-        except Exception as error:  # the next location may still be there
-            errors.append(f"{path}: {str(error)[:120]}")
+        except (AnalysisException, ValueError) as error:  # missing or of another shape: the next location may be right
+            errors.append(f"{path}: {error}")
     raise OSError("; ".join(errors))
 
 
@@ -88,5 +89,5 @@ def load_all(
         try:
             tables[name] = load(spark, name, folder, sources)
         except (OSError, KeyError) as error:
-            errors.append((name, str(error)[:300]))
+            errors.append((name, str(error)))
     return tables, spark.createDataFrame(errors, "name string, error string")

@@ -72,6 +72,16 @@ def test_growing_by_shuffle_gives_the_same_tree(surface):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_nodes_are_rated_alike_in_one_task_and_by_passes(spark, surface, task):
+    rows = surface
+    if task == "classification":
+        rows = surface.select("row_id", "x", F.floor(F.get("x", F.lit(1)) * 3).cast("int").alias("c"), F.lit(1.0).alias("y"))
+    key = lambda f: sorted((r.tree, r.feature, round(r.importance, 9)) for r in f.importances.collect())
+    a, b = (forest.grow(rows, task, [(1, 0.5), (2, 0.0)], max_depth=1, trials=12, gather=g)[0] for g in (20_000, 0))
+    assert key(a) == key(b)
+
+
 def test_repartitioned_rows_give_the_same_tree(surface):
     a, b = (forest.grow(surface.repartition(n), "regression", [(1, 0.5)], max_depth=1, trials=5)[0].nodes().toPandas() for n in (1, 5))
     assert np.allclose(a.sort_values("node").value, b.sort_values("node").value)

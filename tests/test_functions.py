@@ -47,6 +47,28 @@ def test_quantiles_of_nulls_and_many_columns(spark):
         assert found[c][0] == pytest.approx(pdf[c].median())
 
 
+@pytest.mark.parametrize("ends", [["-inf"] * 50, ["inf"] * 50, ["-inf"] * 20 + ["inf"] * 20 + ["nan"] * 15])
+def test_quantiles_with_infinite_values(spark, ends):
+    values = [float(v) for v in ends] + [float(i // 3) for i in range(1000)] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "a double").repartition(3)
+    probs = [0.0, 0.02, 0.25, 0.5, 0.75, 0.97, 0.99, 1.0]
+    one, many = (quantiles.exact_quantiles(df, ["a"], probs, small=s)["a"] for s in (100_000, 20))
+    assert np.array_equal(np.array(one), np.array(many), equal_nan=True)
+    for rank in (0, 30, 500, 1000):
+        a, b = (quantiles.order_statistic(df, "a", rank, small=s) for s in (100_000, 20))
+        assert a == b or (np.isnan(a) and np.isnan(b))
+
+
+def test_grouped_quantiles_do_not_depend_on_the_path(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i < 700 else f"g{i % 5}", float(np.round(rng.normal(), 1)), int(rng.integers(0, 4))) for i in range(1000)]
+    df = spark.createDataFrame([*rows, ("hot", None, 1), ("hot", float("nan"), 2)], "g string, v double, w int")
+    for weight in ("w", None):
+        one, many = (
+            {r.g: list(r.q) for r in quantiles.grouped_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0], weight, small=s).collect()} for s in (100_000, 30))
+        assert one.keys() == many.keys() and all(np.allclose(one[k], many[k], atol=1e-12) for k in one)
+
+
 def test_order_statistic(skewed):
     pdf, df = skewed
     for rank in (0, 1, 1500, 2999):
@@ -135,3 +157,17 @@ def test_per_feature_wide_and_long_agree(skewed, monkeypatch):
     wide = run()
     monkeypatch.setattr(columns, "WIDE_LIMIT", 1)
     assert run() == wide
+
+
+def test_chained_hashes_equal_spark(spark):
+    import xxhash
+
+    from tabscale.functions import hashing
+
+    rows = [(i * 7919 - 50, (i - 30) * 10**12) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b bigint").select("a", "b", F.xxhash64(F.lit("seed|x"), "a", "b", "a").alias("h"))
+    start = np.uint64(xxhash.xxh64_intdigest(b"seed|x", 42))
+    with np.errstate(over="ignore"):
+        for r in df.collect():
+            h = hashing.add_int(hashing.add_long(hashing.add_int(start, r.a), r.b), r.a)
+            assert int(np.uint64(h).view(np.int64)) == r.h

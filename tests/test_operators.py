@@ -79,7 +79,10 @@ def test_unseen_category_gives_zeros(spark):
 def test_prepared_width(spark, task, width):
     df = spark.range(60).select(
         F.col("id").alias("k"), F.rand(1).alias("a"), (F.col("id") % 3).cast("string").alias("t"), F.col("id").cast("double").alias("y"))
-    train, test = prepare.prepare(df, "y", "k", task, width=width, train_rows=20)
+    if task == "classification" and width == 3:  # one number and three indicators
+        with pytest.raises(ValueError, match="do not fit"):
+            prepare.prepare(df, "y", "k", task, width=width, train_rows=20)
+    train, test = prepare.prepare(df, "y", "k", task, width=width, train_rows=20, truncate=True)
     assert len(train.columns) == width + 2 and train.columns == test.columns
     assert train.count() == 20 and test.count() == 40
     assert abs(train.agg(F.avg("a")).first()[0]) < 1e-9
@@ -96,6 +99,52 @@ def test_auc_paths_agree(spark):
         assert metrics.auc(df, small).first().auc == pytest.approx(want)
 
 
+def test_rows_without_a_score_have_no_place_on_the_curve(spark):
+    rows = [(i, "m", "test", i % 2, None if i % 10 == 0 else float("nan") if i % 10 == 5 else (i * 7 % 13) / 13) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id int, method string, split string, y int, prediction double")
+    kept = df.where("prediction IS NOT NULL AND NOT isnan(prediction)")
+    found = {metrics.auc(d, small).first().auc for d in (df, kept) for small in (None, 5)}
+    assert len({round(v, 12) for v in found}) == 1
+
+
+def test_confusion_refuses_numbers(spark):
+    rows = [(i, "m", "test", float(i), float(i) + 0.5) for i in range(1200)]
+    with pytest.raises(ValueError, match="too many"):
+        metrics.confusion(spark.createDataFrame(rows, "row_id int, method string, split string, y double, prediction double"))
+
+
+def test_split_of_an_empty_table(spark):
+    train, test = prepare.split(spark.range(0), "id")
+    assert train.count() == 0 and test.count() == 0
+
+
+def test_surrogate_of_many_columns(spark):
+    p = 500
+    df = spark.range(2).select(F.col("id").alias("instance"), F.array_repeat(F.col("id").cast("double"), p).alias("x"))
+    weights = [1.0 if j == 7 else 0.0 for j in range(p)]
+
+    def scorer(rows):
+        return rows.withColumn("prediction", F.get("x", F.lit(7)))
+
+    out = explain.local_surrogate(scorer, df, [2.0] * p, [f"x{j}" for j in range(p)], samples=900).collect()
+    first = {r.instance: max((r2 for r2 in out if r2.instance == r.instance), key=lambda q: abs(q.weight)) for r in out}
+    assert {k: v.feature for k, v in first.items()} == {0: "x7", 1: "x7"} and weights[7] == 1
+
+
+def test_scores_of_a_failed_model_are_null(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    table = models.assemble(df, df, "k", ["a"], "y", "regression")
+
+    def broken(_):
+        raise ValueError("x" * 500)
+
+    for fits in ({"ok": models._estimator(lambda t: models.ols()), "broken": broken}, {"broken": broken}):
+        rows = models.scores(models.run_all(table, fits), table.task).where("method = 'broken'").collect()
+        assert len(rows) == 2 and all(r.mse is None and len(r.error) == 500 for r in rows)
+        row = models.evaluate(table, fits, "t").where("method = 'broken'").first()
+        assert row.mse_test is None and row.table_name == "t" and len(row.error) == 500
+
+
 def test_logistic_gradient_vanishes(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 2))
