@@ -156,7 +156,8 @@ def prep_encode_missing(spark, sf):
     return prepare.encode_missing(fx.nulls(spark, sf).select("event_id", "event_type"), ["event_type"])
 
 
-MAKERS = [f"Brand#{a}" for a in range(1, 6)]  # first digit of the brand: values that every training part has
+MAKERS = ["one", "two", "other"]  # first digit of the brand: values that every training part has
+MAKER_SQL = "CASE substr(p_brand, 1, 7) WHEN 'Brand#1' THEN 'one' WHEN 'Brand#2' THEN 'two' ELSE 'other' END"
 
 
 def sql_prepared(target, texts, n):
@@ -172,7 +173,7 @@ t AS (SELECT {stats} FROM n) SELECT CASE WHEN is_train THEN 'train' ELSE 'test'
 
 
 REG_TEXTS = [(c, f"(dense_rank() OVER (ORDER BY {c}) - 1)::DOUBLE") for c in ("p_brand", "p_type")]
-CLS_TEXTS = [(f"p_brand_{v}", f"CASE WHEN substr(p_brand, 1, 7) = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE") for v in MAKERS]
+CLS_TEXTS = [(f"p_brand_{v}", f"CASE WHEN {MAKER_SQL} = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE") for v in MAKERS]
 
 
 @query("prep_prepared_table", sql_prepared("p_retailprice", REG_TEXTS, 497), "p_size " + " ".join(f"noise_signal_1to2_{i}" for i in range(497)))
@@ -181,9 +182,9 @@ def prep_prepared_table(spark, sf):
     return _marked(parts, *[f"`{c}`" for c in parts[0].columns])
 
 
-@query("prep_prepared_table_cls", sql_prepared("p_type", CLS_TEXTS, 494), "p_size " + " ".join(f"noise_signal_1to2_{i}" for i in range(494)))
+@query("prep_prepared_table_cls", sql_prepared("p_type", CLS_TEXTS, 496), "p_size " + " ".join(f"noise_signal_1to2_{i}" for i in range(496)))
 def prep_prepared_table_cls(spark, sf):
-    df = fx.part(spark, sf).drop("p_retailprice").withColumn("p_brand", F.substring("p_brand", 1, 7))
+    df = fx.part(spark, sf).drop("p_retailprice").withColumn("p_brand", F.expr(MAKER_SQL))
     parts = prepare.prepare(df, "p_type", "p_partkey", "classification")
     return _marked(parts, *[f"`{c}`" for c in parts[0].columns])
 
