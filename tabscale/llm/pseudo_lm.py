@@ -5,8 +5,9 @@ position tables of the context words, one hidden layer, and a softmax in two ste
 class of a word, then the word in its class). A text's score is the sum of the
 conditional log-probabilities of all its words.
 
-The vocabulary comes from the counts of all words in the corpus; rarer words share
-hashed buckets. The network is trained in numpy where the texts lie: each task makes
+The vocabulary comes from the counts of all words in the corpus and grows with them;
+rarer words share hashed buckets. Such a word's probability is that of its bucket times
+its share of the bucket's count, joined from the table of counts. The network is trained in numpy where the texts lie: each task makes
 stochastic gradient steps on an equal share of the positions of all its texts, from
 common parameters, and the parameters are averaged by a tree of small groups. So what
 is gathered grows with the corpus, and no group or task holds more than a few models.
@@ -15,6 +16,7 @@ is gathered grows with the corpus, and no group or task holds more than a few mo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_names, hash_words, mix, ready_workers, stored, utf8
+from .common import clear_names, discard, hash_words, ready_workers, stored, utf8
 
-#: Words of the vocabulary, buckets for the others, words of a class.
-KNOWN, OTHERS, CLASS = 4000, 96, 64
-IDS = KNOWN + OTHERS
-CLASSES = IDS // CLASS
-PAD = IDS
+#: Buckets for words outside the vocabulary, words of a class, ids at least.
+OTHERS, CLASS, IDS = 96, 256, 4096
+#: Up to so many distinct words all are in the vocabulary; beyond, it grows with a power of their number.
+WHOLE, GROWTH = 32_000, 1 / 8
+#: Occurrences that unseen words of a bucket count for.
+UNSEEN = 0.5
+PAD = -1  # the last row of the tables
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
 #: In a round, every STRIDE-th position of every text is trained on.
@@ -36,15 +40,34 @@ STRIDE, ROUNDS = 16, 2
 BATCH = 2048
 #: Numbers in a row while models are averaged, and models that one group adds up.
 BLOCK, FAN_IN = 16_384, 64
-_SHAPES = {"tables": (len(OFFSETS), IDS + 1, HIDDEN), "hidden": (HIDDEN,), "to_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-           "to_word": (CLASSES, HIDDEN, CLASS), "word_bias": (CLASSES, CLASS)}
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+
+
+class Vocabulary(NamedTuple):
+    """Sorted hashes of the known words and their ids, the id of the first bucket, the
+    counts of the buckets, and the stored counts of all words."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    first: int
+    buckets: np.ndarray
+    counts: DataFrame | None
+
+
+def _shapes(n_ids: int) -> dict[str, tuple[int, ...]]:
+    classes = n_ids // CLASS
+    return {"tables": (len(OFFSETS), n_ids + 1, HIDDEN), "hidden": (HIDDEN,), "to_class": (HIDDEN, classes), "class_bias": (classes,),
+            "to_word": (classes, HIDDEN, CLASS), "word_bias": (classes, CLASS)}
+
+
+def _size(n_ids: int) -> int:
+    return sum(int(np.prod(s)) for s in _shapes(n_ids).values())
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of a parameter vector."""
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    fixed = _size(0)
+    for name, shape in _shapes((len(flat) - fixed) // (_size(CLASS) - fixed) * CLASS).items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
@@ -53,10 +76,10 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def first_parameters(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     """Small random weights, and biases that say how often each word is."""
-    flat = np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32)
+    flat = np.random.default_rng(seed).normal(0, 0.1, _size(len(counts))).astype(np.float32)
     p = unpack(flat)
     p["hidden"][:] = 0
-    share = (np.maximum(counts, 0) + 1.0).reshape(CLASSES, CLASS)
+    share = (np.maximum(counts, 0) + 1.0).reshape(-1, CLASS)
     p["class_bias"][:] = np.log(share.sum(1) / share.sum())
     p["word_bias"][:] = np.log(share / share.sum(1, keepdims=True))
     return flat
@@ -81,7 +104,7 @@ def log_probs(p: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) ->
     h = _hidden(p, context)
     group = sorted_ids // CLASS
     got = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(ids)), group].astype(np.float64)
-    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+    cuts = np.searchsorted(group, np.arange(len(p["class_bias"]) + 1))
     for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if hi > lo:
             got[lo:hi] += _log_softmax(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c])[np.arange(hi - lo), sorted_ids[lo:hi] % CLASS]
@@ -106,7 +129,7 @@ def train_batch(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], contex
 
     back = grad @ p["to_class"].T
     moves = [("to_class", (...,), h.T @ grad / n), ("class_bias", (...,), grad.mean(0))]
-    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+    cuts = np.searchsorted(group, np.arange(len(p["class_bias"]) + 1))
     for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if hi > lo:
             part = np.exp(_log_softmax(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c]))
@@ -124,10 +147,14 @@ def train_batch(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], contex
         step("tables", (k, rows), np.add.reduceat(back[by], first, axis=0))
 
 
-def numbered(words: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Ids of word hashes: known ones by rank, the others by bucket. ``vocabulary``: sorted hashes and their ids."""
-    known, ids = vocabulary
-    out = (KNOWN + (words >> np.uint64(17)) % np.uint64(OTHERS)).astype(np.int32)
+def bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(17)) % np.uint64(OTHERS)
+
+
+def numbered(words: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Ids of word hashes: known ones by rank, the others by bucket."""
+    known, ids, first = vocabulary[:3]
+    out = (first + bucket(words)).astype(np.int32)
     if len(known):
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
         hit = known[at] == words
@@ -169,25 +196,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), t) for x, t in zip(summed(), types, strict=True)], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``KNOWN`` most frequent words of the whole corpus: sorted hashes, their ids by rank, and counts of all ids."""
+def known_words(distinct: int) -> int:
+    """Places for known words. With the buckets they fill whole classes."""
+    wanted = distinct if distinct <= WHOLE else int(WHOLE * (distinct / WHOLE) ** GROWTH)
+    return max(IDS, -(-(wanted + OTHERS) // CLASS) * CLASS) - OTHERS
+
+
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The most frequent words of the whole corpus with ids by rank, and the counts of all ids."""
     ready_workers(docs.sparkSession)
     counts = stored(clear_names(docs, "text").mapInArrow(_counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    first = known_words(counts.count())
+    top = counts.orderBy(F.desc("n"), "word").limit(first).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in top], np.float64)
     order = np.argsort(hashes)
-    held = np.zeros(IDS)
-    held[: len(top)] = [r["n"] for r in top]
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - held.sum()
-    held[KNOWN:] = max(rest, 0) / OTHERS
-    return hashes[order], order.astype(np.int32), held
+    held = np.zeros(first + OTHERS)
+    held[: len(top)] = n
+    for r in counts.groupBy((F.shiftrightunsigned("word", 17) % OTHERS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        held[first + r["bucket"]] = r["n"]
+    np.subtract.at(held, first + bucket(hashes).astype(np.int64), n)
+    return Vocabulary(hashes[order], order.astype(np.int32), first, held[first:].copy(), counts), held
 
 
 def _trained(fixed, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = fixed.value
-        flat = flat.copy()
-        p, squares = unpack(flat), unpack(np.full(SIZE, 1e-4, np.float32))
+        words, start = fixed.value
+        flat = start.copy()
+        p, squares = unpack(flat), unpack(np.full(len(flat), 1e-4, np.float32))
         seen, waiting, n_waiting = 0, [], 0
         for batch in batches:
             with np.errstate(over="ignore"):
@@ -213,7 +249,8 @@ def _trained(fixed, turn: int):
             seen += n_waiting
         if seen:
             part = TaskContext.get().partitionId()
-            starts = range(0, SIZE, BLOCK)
+            starts = range(0, len(flat), BLOCK)
+            flat -= start  # what a task never touched is zero, so small when stored
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int64()), pa.array([float(seen)] * len(starts), pa.float64()),
                  pa.array([flat[lo : lo + BLOCK].tobytes() for lo in starts], pa.binary())], names=["part", "block", "seen", "numbers"])
@@ -232,29 +269,32 @@ def _averaged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
                      "seen": pa.array([float(seen.sum())], pa.float64()), "numbers": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and parameters, from all texts."""
     spark = docs.sparkSession
     ready_workers(spark)
-    known, ids, counts = vocabulary(docs)
+    words, counts = vocabulary(docs)
     flat = first_parameters(counts)
     texts = clear_names(docs, "text")
     schema = "part bigint, block bigint, seen double, numbers binary"
     for turn in range(rounds):
-        fixed = spark.sparkContext.broadcast(((known, ids), flat))
+        fixed = spark.sparkContext.broadcast((words._replace(counts=None), flat))
         models = stored(texts.mapInArrow(_trained(fixed, turn), schema), "models")
         most = models.agg(F.max("part")).first()[0]
         if most is None:
             break
         while most > 0:
             most //= FAN_IN
-            models = stored(models.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "block").applyInArrow(_averaged, schema), "models")
+            parts = models
+            models = stored(parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "block").applyInArrow(_averaged, schema), "models")
+            discard(parts)
         rows = sorted(models.collect(), key=lambda r: r["block"])
-        flat = np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in rows])
-    return (known, ids), flat
+        flat = flat + np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in rows])
+        discard(models)
+    return words, flat
 
 
-def score(docs: DataFrame, model: tuple[tuple[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray]) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob, perplexity`` for every row.
 
     All words of a whole text count. A text without words (null and empty ones too) has
@@ -263,11 +303,14 @@ def score(docs: DataFrame, model: tuple[tuple[np.ndarray, np.ndarray], np.ndarra
     """
     spark = docs.sparkSession
     ready_workers(spark)
-    fixed = spark.sparkContext.broadcast(model)
+    words, flat = model
+    fixed = spark.sparkContext.broadcast((words._replace(counts=None), flat))
 
-    def run(batches: Iterator[pa.RecordBatch], piece: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], piece: int = 1 << 14) -> Iterator[pa.RecordBatch]:
         words, flat = fixed.value
         p = unpack(flat)
+        shared = np.log(words.buckets + UNSEEN)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             with np.errstate(over="ignore"):
                 hashes, begin = hash_words(*utf8(batch["text"]))
@@ -281,15 +324,20 @@ def score(docs: DataFrame, model: tuple[tuple[np.ndarray, np.ndarray], np.ndarra
                 inside = begin[:-1][(begin[:-1] > a) & (begin[:-1] < b)] - a
                 starts = np.concatenate([[0], inside])
                 got[lo + 1 : hi + 1] = log_probs(p, contexts(ids[a:b], starts, np.arange(lo - a, hi - a)), ids[lo:hi])
+            rare = np.flatnonzero(ids >= words.first)
+            got[rare + 1] -= shared[ids[rare] - words.first]
             total = np.cumsum(got)
-            n = np.diff(begin)
-            sums = total[begin[1:]] - total[begin[:-1]]
-            some = n > 0
-            mean = np.where(some, sums / np.maximum(n, 1), np.nan)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, begin), pa.int32()), pa.array(hashes[rare].view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64(), mask=~some),
-                 pa.array(np.exp(-mean), pa.float64(), mask=~some)],
-                names=["doc_id", "n_tokens", "log_prob", "mean_log_prob", "perplexity"])
+                [pa.array(np.arange(row, row + len(batch)), pa.int64()), batch["doc_id"], pa.array(np.diff(begin), pa.int64()),
+                 pa.array(total[begin[1:]] - total[begin[:-1]], pa.float64()), lists], names=["row", "doc_id", "n_tokens", "part", "rare"])
+            row += len(batch)
 
     plain = clear_names(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
-    return plain.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double, perplexity double")
+    rows = stored(plain.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, part double, rare array<bigint>"), "scores")
+    # The counts of words in buckets: their shares, but for the bucket's own count.
+    rare = rows.select("row", F.explode("rare").alias("word")).join(words.counts, "word", "left")
+    more = rare.groupBy("row").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("more"))
+    whole = rows.drop("rare").join(more, "row", "left").withColumn("log_prob", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

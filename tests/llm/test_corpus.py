@@ -441,6 +441,41 @@ def test_training_beats_word_frequencies(spark):
     assert mean(flat) > mean(start) + 1
 
 
+def test_bucketed_words_get_their_own_share(spark):
+    from tabscale.llm.common import hash_words, utf8
+    import pyarrow as pa
+
+    # Two words on a place: one of a kind, and one that occurs ten times; both fall outside the vocabulary.
+    filler = [(i, f"w{i} " * 12) for i in range(pseudo_lm.known_words(40_000) + 500)]
+    filler += [(-i, f"ten{i} " * 10) for i in range(1, 200)] + [(-1000 - i, f"once{i}") for i in range(1, 8000)]
+    docs = frame(spark, filler)
+    words, flat = pseudo_lm.fit(docs)
+    flat = np.zeros_like(flat)  # all words of the network alike: what differs is the share
+    texts = frame(spark, [(1, "ten1"), (2, "once1"), (3, "neverseen"), (4, "once1 ten1 once1")])
+    got = {r["doc_id"]: r["log_prob"] for r in pseudo_lm.score(texts, (words, flat)).collect()}
+    counts = Counter()
+    known = set(words.hashes.tolist())
+    hashes, _ = hash_words(*utf8(pa.array([r[1] for r in filler])))
+    for x in hashes[~np.isin(hashes, words.hashes)].tolist():
+        counts[x] += 1
+    held = Counter()
+    for x, n in counts.items():
+        held[(x >> 17) % pseudo_lm.OTHERS] += n
+
+    def alone(word):
+        x = int(hash_words(*utf8(pa.array([word])))[0][0])
+        assert x not in known
+        return -np.log(words.first + pseudo_lm.OTHERS) + np.log(counts.get(x, pseudo_lm.UNSEEN)) - np.log(held[(x >> 17) % pseudo_lm.OTHERS] + pseudo_lm.UNSEEN)
+
+    for i, text in ((1, ["ten1"]), (2, ["once1"]), (3, ["neverseen"]), (4, ["once1", "ten1", "once1"])):
+        assert np.isclose(got[i], sum(map(alone, text)), rtol=1e-5), text
+
+
+def test_vocabulary_grows():
+    sizes = [pseudo_lm.known_words(n) for n in (0, 10_000, 400_000, 10**7, 10**10)]
+    assert sizes == sorted(set(sizes)) and all((n + pseudo_lm.OTHERS) % pseudo_lm.CLASS == 0 for n in sizes)
+
+
 def test_scores_hostile(spark):
     model = pseudo_lm.fit(frame(spark, HOSTILE))
     out = pseudo_lm.score(frame(spark, HOSTILE), model).collect()
