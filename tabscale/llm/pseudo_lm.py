@@ -8,8 +8,7 @@ conditional log-probabilities of all its words.
 The vocabulary comes from the counts of all words in the corpus and grows with them;
 rarer words share hashed buckets. Such a word's probability is that of its bucket times
 its share of the bucket's count, joined from the table of counts. The network is trained in numpy where the texts lie: each task makes
-stochastic gradient steps on an equal share of the positions of all its texts, from
-common parameters, and the parameters are averaged by a tree of small groups. So what
+stochastic gradient steps on its texts, from common parameters, and the parameters are averaged by a tree of small groups. So what
 is gathered grows with the corpus, and no group or task holds more than a few models.
 """
 
@@ -35,8 +34,8 @@ UNSEEN = 0.5
 PAD = -1  # the last row of the tables
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
-#: In a round, every STRIDE-th position of every text is trained on.
-STRIDE, ROUNDS = 16, 2
+#: Passes over the texts, each from averaged parameters. Together they train on every position once.
+ROUNDS = 2
 BATCH = 2048
 #: Numbers in a row while models are averaged, and models that one group adds up.
 BLOCK, FAN_IN = 16_384, 64
@@ -219,7 +218,14 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary(hashes[order], order.astype(np.int32), first, held[first:].copy(), counts), held
 
 
-def _trained(fixed, turn: int):
+def targets(begin: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places of the words that a pass trains on: of each text those whose position leaves ``turn``."""
+    n = int(begin[-1])
+    start = np.repeat(begin[:-1], np.diff(begin))
+    return np.flatnonzero((np.arange(n) - start) % rounds == turn)
+
+
+def _trained(fixed, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = fixed.value
         flat = start.copy()
@@ -231,11 +237,8 @@ def _trained(fixed, turn: int):
             if not len(hashes):
                 continue
             ids = numbered(hashes, words)
-            begin = begin[:-1]
-            row = np.searchsorted(begin, np.arange(len(ids)), side="right") - 1
-            shift = (np.arange(len(begin)) * 7 + turn * 5) % STRIDE  # other places in each round
-            wanted = np.flatnonzero((np.arange(len(ids)) - begin[row] + shift[row]) % STRIDE == 0)
-            waiting.append((contexts(ids, begin, wanted), ids[wanted]))
+            wanted = targets(begin, turn, rounds)
+            waiting.append((contexts(ids, begin[:-1], wanted), ids[wanted]))
             n_waiting += len(wanted)
             while n_waiting >= BATCH:
                 c, y = np.concatenate([w[0] for w in waiting], axis=1), np.concatenate([w[1] for w in waiting])
@@ -279,7 +282,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
     schema = "part bigint, block bigint, seen double, numbers binary"
     for turn in range(rounds):
         fixed = spark.sparkContext.broadcast((words._replace(counts=None), flat))
-        models = stored(texts.mapInArrow(_trained(fixed, turn), schema), "models")
+        models = stored(texts.mapInArrow(_trained(fixed, turn, rounds), schema), "models")
         most = models.agg(F.max("part")).first()[0]
         if most is None:
             break

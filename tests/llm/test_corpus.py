@@ -476,6 +476,21 @@ def test_vocabulary_grows():
     assert sizes == sorted(set(sizes)) and all((n + pseudo_lm.OTHERS) % pseudo_lm.CLASS == 0 for n in sizes)
 
 
+def test_every_position_is_a_target(spark):
+    begin = np.array([0, 1, 1, 4, 40, 41])  # texts of 1, 0, 3, 36 and 1 words
+    seen = np.concatenate([pseudo_lm.targets(begin, turn, pseudo_lm.ROUNDS) for turn in range(pseudo_lm.ROUNDS)])
+    assert sorted(seen.tolist()) == list(range(41))
+    # What the tasks saw adds up to all words of all texts, short ones too.
+    docs = frame(spark, [(i, "a b c d e f g h i j k l m n o p q r s"[: 2 * (i % 19) + 1]) for i in range(100)])
+    words, counts = pseudo_lm.vocabulary(docs)
+    fixed = spark.sparkContext.broadcast((words._replace(counts=None), pseudo_lm.first_parameters(counts)))
+    total = 0
+    for turn in range(pseudo_lm.ROUNDS):
+        rows = docs.select("text").mapInArrow(pseudo_lm._trained(fixed, turn, pseudo_lm.ROUNDS), "part bigint, block bigint, seen double, numbers binary")
+        total += sum(r["seen"] for r in rows.where("block = 0").collect())
+    assert total == sum(i % 19 + 1 for i in range(100))
+
+
 def test_scores_hostile(spark):
     model = pseudo_lm.fit(frame(spark, HOSTILE))
     out = pseudo_lm.score(frame(spark, HOSTILE), model).collect()
