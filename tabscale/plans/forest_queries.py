@@ -236,7 +236,7 @@ def wide_rows(spark, sf):
     return forest.to_rows(fx.wide(spark, sf), "vec_id", fx.WIDE_FEATURES, "label", "classification")
 
 
-TREES = 4  # trees of the registered forests; a configuration of the grid has as many
+TREES = 100  # trees of the registered forests, as the library's default; a configuration of the grid has as many
 
 
 @query("rf_importance")

@@ -13,9 +13,6 @@ from .registry import query
 
 TEXTS = ["c_mktsegment", "n_name", "o_orderpriority"]
 FEATURES = ["c_acctbal", *TEXTS]
-# Sizes of the registered ensembles: the depth is that of the scenario models; where all
-# models run in one query, each ensemble has fewer trees than its default of 50.
-DEPTH, RUNNER_TREES = 10, 10
 
 
 def _split(df, key):
@@ -102,12 +99,12 @@ def ml_logit_l1(spark, sf):
 
 @query("ml_rf")
 def ml_rf(spark, sf):
-    return _scored(orders(spark, sf), models._estimator(lambda t: models.random_forest("regression", depth=DEPTH)), "Random_Forest")
+    return _scored(orders(spark, sf), models._estimator(lambda t: models.random_forest("regression")), "Random_Forest")
 
 
 @query("ml_rf_cls")
 def ml_rf_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.random_forest("classification", depth=DEPTH)), "Random_Forest")
+    return _scored(flags(spark, sf), models._estimator(lambda t: models.random_forest("classification")), "Random_Forest")
 
 
 @query("ml_gbt")
@@ -117,18 +114,18 @@ def ml_gbt(spark, sf):
 
 @query("ml_gbt_cls")
 def ml_gbt_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.boosting("classification", t.n_classes, RUNNER_TREES)), "GradientBoosting")
+    return _scored(flags(spark, sf), models._estimator(lambda t: models.boosting("classification", t.n_classes)), "GradientBoosting")
 
 
 @query("ml_extra_trees")
 def ml_extra_trees(spark, sf):
-    return _scored(surface(spark, sf), lambda t: models.extra_trees(t, RUNNER_TREES, DEPTH), "ExtraTrees")
+    return _scored(surface(spark, sf), models.extra_trees, "ExtraTrees")
 
 
 @query("ml_adapted_rf")
 def ml_adapted_rf(spark, sf):
     table = surface(spark, sf)
-    run = models.run_all(table, {k: (lambda t, k=k: models.adapted_forest(t, k, depth=DEPTH)) for k in ("log_p", "sqrt_p")})
+    run = models.run_all(table, {k: (lambda t, k=k: models.adapted_forest(t, k)) for k in ("log_p", "sqrt_p")})
     return models.scores(run, table.task).drop("seconds")
 
 
@@ -170,22 +167,22 @@ def bart_sigmoid(spark, sf):
 
 @query("ml_run_all")
 def ml_run_all(spark, sf):
-    return models.scores(models.run_all(surface(spark, sf), models.competitors("regression", RUNNER_TREES, DEPTH)), "regression").drop("seconds")
+    return models.scores(models.run_all(surface(spark, sf), models.competitors("regression")), "regression").drop("seconds")
 
 
 @query("ml_run_all_cls")
 def ml_run_all_cls(spark, sf):
-    return models.scores(models.run_all(halves(spark, sf), models.competitors("classification", RUNNER_TREES, DEPTH)), "classification").drop("seconds")
+    return models.scores(models.run_all(halves(spark, sf), models.competitors("classification")), "classification").drop("seconds")
 
 
 @query("ml_baselines")
 def ml_baselines(spark, sf):
-    return models.scores(models.run_all(halves(spark, sf), models.baselines("classification", RUNNER_TREES, DEPTH)), "classification").drop("seconds")
+    return models.scores(models.run_all(halves(spark, sf), models.baselines("classification")), "classification").drop("seconds")
 
 
 @query("ml_baselines_reg")
 def ml_baselines_reg(spark, sf):
-    return models.scores(models.run_all(surface(spark, sf), models.baselines("regression", RUNNER_TREES, DEPTH)), "regression").drop("seconds")
+    return models.scores(models.run_all(surface(spark, sf), models.baselines("regression")), "regression").drop("seconds")
 
 
 @query("rf_naive")
@@ -207,10 +204,10 @@ def rf_naive_subset(spark, sf):
     return forest.top_features(rows, forest.marginal_keep(p, 0.5)).select("feature", "importance", F.lit(forest.naive_subset(p, 0.5)).alias("tried"))
 
 
-def _compared(task, trees=2):
+def _compared(task):
     """The nine configurations of the muted forest and all standard models."""
-    muted = {forest.config_name(k, rate): (lambda t, k=k, rate=rate: models.muted_forest(t, trees, k, rate)) for k, rate in forest.GRID}
-    return {**muted, **models.baselines(task, RUNNER_TREES, DEPTH)}
+    muted = {forest.config_name(k, rate): (lambda t, k=k, rate=rate: models.muted_forest(t, k=k, rate=rate)) for k, rate in forest.GRID}
+    return {**muted, **models.baselines(task)}
 
 
 @query("eval_table")
@@ -225,4 +222,4 @@ def eval_table(spark, sf):
 def eval_many(spark, sf):
     return models.evaluate_many(
         {"orders": lambda: orders(spark, sf), "halves": lambda: halves(spark, sf), "broken": lambda: surface(spark, sf + "/none")},
-        lambda task: models.baselines(task, RUNNER_TREES, DEPTH))
+        lambda task: models.baselines(task))

@@ -142,3 +142,38 @@ def test_names_and_sizes():
     assert forest.smallest_node(150) == 5 and forest.smallest_node(2) == 2
     assert len(forest.GRID) == 9
     assert pd.Series([forest.marginal_keep(10, 0.8), forest.naive_subset(100, 0.5)]).tolist() == [1, 10]
+
+
+def test_registered_ensembles_have_the_default_sizes(monkeypatch):
+    import inspect
+
+    from tabscale.operators import models
+    from tabscale.plans import forest_queries, model_queries
+
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert forest_queries.TREES == default(models.muted_forest, "trees") == 100
+    sizes = []
+
+    def stand_in(f):
+        def run(*args, **kwargs):
+            bound = inspect.signature(f).bind_partial(*args, **kwargs)
+            bound.apply_defaults()
+            sizes.append({k: bound.arguments[k] == default(f, k) for k in ("trees", "depth")})
+            return {} if f.__name__ in ("competitors", "baselines") else (lambda df: df)
+        return run
+
+    for name in ("competitors", "baselines", "random_forest", "boosting", "extra_trees", "adapted_forest", "muted_forest"):
+        monkeypatch.setattr(models, name, stand_in(getattr(models, name)))
+    monkeypatch.setattr(models, "_estimator", lambda make: make)
+    table = type("T", (), {"n_classes": 2, "task": "regression"})()
+    for name in ("orders", "flags", "surface", "halves"):
+        monkeypatch.setattr(model_queries, name, lambda spark, sf: table)
+    monkeypatch.setattr(model_queries, "_scored", lambda t, fit, name: fit(t))
+    monkeypatch.setattr(models, "run_all", lambda t, fits: [fit(t) for fit in fits.values()])
+    monkeypatch.setattr(models, "scores", lambda *a: type("S", (), {"drop": lambda self, c: self})())
+    queries = ("ml_rf", "ml_rf_cls", "ml_gbt_cls", "ml_extra_trees", "ml_adapted_rf", "ml_run_all", "ml_run_all_cls", "ml_baselines", "ml_baselines_reg")
+    for name in queries:
+        getattr(model_queries, name)(None, "")
+    for fit in model_queries._compared("regression").values():
+        fit(table)
+    assert len(sizes) == len(queries) + 1 + 1 + len(forest.GRID) and all(all(x.values()) for x in sizes)
