@@ -221,5 +221,4 @@ def eval_table(spark, sf):
 @query("eval_many")
 def eval_many(spark, sf):
     return models.evaluate_many(
-        {"orders": lambda: orders(spark, sf), "halves": lambda: halves(spark, sf), "broken": lambda: surface(spark, sf + "/none")},
-        lambda task: models.baselines(task))
+        {"orders": lambda: orders(spark, sf), "halves": lambda: halves(spark, sf), "broken": lambda: surface(spark, sf + "/none")}, _compared)

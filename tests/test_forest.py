@@ -177,3 +177,16 @@ def test_registered_ensembles_have_the_default_sizes(monkeypatch):
     for fit in model_queries._compared("regression").values():
         fit(table)
     assert len(sizes) == len(queries) + 1 + 1 + len(forest.GRID) and all(all(x.values()) for x in sizes)
+
+
+def test_many_tables_are_compared_with_the_muted_forest(monkeypatch):
+    from tabscale.operators import models
+    from tabscale.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(models, "evaluate_many", lambda tables, fits: seen.extend(map(fits, ("regression", "classification"))))
+    model_queries.eval_many(None, "")
+    configs = {forest.config_name(k, rate) for k, rate in forest.GRID}
+    assert len(configs) == 9
+    for task, fits in zip(("regression", "classification"), seen, strict=True):
+        assert set(fits) == configs | set(models.baselines(task))
