@@ -23,7 +23,7 @@ from .common import clear_names, ready_workers
 
 #: Edits allowed for each 100 characters of an item.
 ERRORS_PER_100 = 5
-#: Shorter items (normalised) are met by chance and are not searched.
+#: Shorter items (normalised) are met by chance: only whole words without an edit count.
 SHORTEST = 30
 #: Characters of items that are broadcast at once.
 BLOCK_CHARS = 8_000_000
@@ -81,7 +81,7 @@ class Block:
     """A searcher for some items: (item_id, normalised text)."""
 
     def __init__(self, items: list[tuple[int, str]], per_100: int = ERRORS_PER_100) -> None:
-        self.items = [(i, t, budget(t, per_100), masks(t)) for i, t in items]
+        self.items = [(i, t, budget(t, per_100) if len(t) >= SHORTEST else 0, masks(t)) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, errors, _) in enumerate(self.items):
             for lo, piece in pieces(text, errors):
@@ -98,16 +98,23 @@ class Block:
         if self.empty:
             return
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        short: dict[int, int] = {}
         for last, (size, found) in self.search.iter(text):
             for k, lo in found:
                 _, item, errors, _ = self.items[k]
                 begin = last + 1 - size - lo
+                if len(item) < SHORTEST:
+                    if k not in short and text[max(0, begin - 1) : begin] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
+                        short[k] = last + 1
+                    continue
                 window = (max(0, begin - errors), min(len(text), begin + len(item) + errors))
                 mine = spans[k]
                 if mine and window[0] <= mine[-1][1] and mine[-1][0] <= window[1]:
                     mine[-1] = (min(mine[-1][0], window[0]), max(mine[-1][1], window[1]))
                 else:
                     mine.append(window)
+        for k, end in short.items():
+            yield self.items[k][0], 0, end
         for k, mine in spans.items():
             item_id, item, errors, bits = self.items[k]
             best = None
@@ -123,12 +130,12 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items that are long enough, in id order, in lists of at most ``chars`` characters."""
+    """The items that hold letters or digits, in id order, in lists of at most ``chars`` characters."""
     held, size = [], 0
     rows = clear_names(benchmark, "item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         text = normalise(row["text"])
-        if len(text) < SHORTEST:
+        if not text:
             continue
         if held and size + len(text) > chars:
             yield held
@@ -143,8 +150,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_100: int = ERRORS_PE
     """``doc_id, item_id, edits, end`` for every document that holds an item within its budget.
 
     Texts and items are normalised first; ``end`` is the place in the normalised text where
-    the closest part ends. Null and empty texts hold nothing; items that are null or under
-    ``SHORTEST`` characters are not searched. A document with a null id gives rows with a
+    the closest part ends. Null and empty texts hold nothing; items that are null or
+    hold no letter or digit are not searched, those under ``SHORTEST`` characters only as
+    whole words without an edit. A document with a null id gives rows with a
     null id, repeated rows give repeated hits, and an empty table on either side gives none.
     """
     spark = docs.sparkSession

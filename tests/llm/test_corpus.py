@@ -316,6 +316,15 @@ def test_contaminated_brute_force(spark):
     assert kept == {r[0] for r in rows} - {d for d, _, _ in wanted}
 
 
+def test_short_items_are_whole_words(spark):
+    benchmark = spark.createDataFrame([(1, "What is 7*8?"), (2, "E=mc^2"), (3, "?!"), (4, "Paris")], "item_id bigint, text string")
+    rows = [(1, "So: what IS 7 * 8 then"), (2, "what is 7*81"), (3, "somewhat is 7 8"), (4, "e = MC 2"), (5, "comparison"), (6, "paris"),
+            (7, "what is 7 9"), (8, "comparisons, Paris"), (9, "?!"), (10, "xparis paris parisx")]
+    got = {(r["doc_id"], r["item_id"], r["edits"], r["end"]) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+    assert got == {(1, 1, 0, 14), (4, 2, 0, 6), (6, 4, 0, 5), (8, 4, 0, 17), (10, 4, 0, 12)}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), benchmark).collect()} == {2, 3, 5, 7, 9}
+
+
 def test_contaminated_empty(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(frame(spark, HOSTILE), empty).collect() == []
