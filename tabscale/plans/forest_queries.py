@@ -11,7 +11,7 @@ from .profile_queries import sql_corr, union
 from .registry import query
 from .score_queries import CLASS_SQL, PRICE_SQL, class_predictions, price_predictions
 
-TREES = 3
+DRAWN = 3  # bootstrap samples of the queries that check the building blocks
 
 
 def sql_poisson(seed, keys):
@@ -20,9 +20,9 @@ def sql_poisson(seed, keys):
 
 
 @query("rf_bootstrap", f"""SELECT event_id, CAST(tree AS INTEGER) AS tree, CAST({sql_poisson(42, 'tree, event_id')} AS INTEGER) AS w
-FROM events, range({TREES}) AS t(tree)""")
+FROM events, range({DRAWN}) AS t(tree)""")
 def rf_bootstrap(spark, sf):
-    rows = fx.table(spark, sf, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = fx.table(spark, sf, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(DRAWN - 1))).alias("tree"))
     return rows.withColumn("w", poisson_weight(42, "tree", "event_id"))
 
 
@@ -30,7 +30,7 @@ def rf_bootstrap(spark, sf):
 
 FLAG = "(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)"
 SAMPLE_SQL = f"""SELECT * FROM (SELECT CAST(tree AS INTEGER) AS tree, {sql_poisson(42, 'tree, row_id')} AS w, l_linenumber,
-  l_quantity, l_discount, l_tax, l_extendedprice AS y, {FLAG} AS c FROM ({fx.LINE_SQL}), range({TREES}) AS t(tree)) WHERE w > 0"""
+  l_quantity, l_discount, l_tax, l_extendedprice AS y, {FLAG} AS c FROM ({fx.LINE_SQL}), range({DRAWN}) AS t(tree)) WHERE w > 0"""
 
 
 def samples(spark, sf, task, by_line=False):
@@ -38,7 +38,7 @@ def samples(spark, sf, task, by_line=False):
     target = "l_extendedprice" if task == "regression" else "c"
     at = F.col("x")[3].cast("int") if by_line else F.lit(0)
     rows = forest.to_rows(df, "row_id", fx.LINE_FEATURES, target, task)
-    rows = rows.select("*", at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("*", at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(DRAWN - 1))).alias("tree"))
     return rows.withColumn("w", poisson_weight(42, "tree", "row_id")).where("w > 0")
 
 
