@@ -58,6 +58,17 @@ def poisson_weight(seed, *keys) -> Column:
     return total
 
 
+def poisson_weights(seed, n: int, *keys) -> Column:
+    """``n`` weights per row; element i equals ``poisson_weight(f"{seed}|{i}", *keys)``."""
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
+
+    def draw(i: Column) -> Column:
+        u = _word(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), *parts)), 0)
+        return F.get(F.transform(F.array(u), lambda v: sum(((v >= s).cast("int") for s in poisson_steps()), F.lit(0))), F.lit(0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)
+
+
 def hash_normal_array(seed, n: int, *keys) -> Column:
     """``n`` standard normals per row; element i equals ``hash_normal(f"{seed}|{i}", *keys)``.
 

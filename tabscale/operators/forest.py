@@ -1,45 +1,53 @@
 """Muted forest: trees that drop weak columns as they grow.
 
-All trees grow together, one level per round. A row is stored once, with one
-slot (weight, node) per tree, and never moves while levels are small; every pass
-explodes the slots in flight and aggregates before it shuffles. Per node a small embedded forest of random
-depth-3 trees rates the active columns, the weakest are muted, and the best of
-the quartile splits of the top columns (or of their weighted sum) is taken.
+Per node a small embedded forest of random depth-3 trees rates the active columns, the
+weakest are muted, and the best of the quartile splits of the top columns (or of their
+weighted sum) is taken. Extremely randomised trees and trees that try every threshold
+are grown the same way.
+
+Nodes of at most ``GATHER`` rows are grown to their leaves in one task, with the rows
+of that node only (``trees``). Larger nodes are split level by level, all trees
+together: a row is stored once, with one slot (weight, node) per tree, and never moves
+while levels are small; every pass explodes the slots in flight and aggregates before
+it shuffles. Both ways give the same nodes.
 
 Tables:
 * rows    (row_id, x array<double>, c int class or 0, y double)
-* state   rows + the arrays w, at and value with one slot per tree
+* state   rows + a code for draws + the arrays w and at with one slot per tree
 * level   one row per node of a level, keyed by (tree, at); ``at`` numbers the
           nodes of a tree within the level
+* nodes   one row per node of the forest, keyed by (tree, node), with the numbers of
+          its children
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing
 from ..functions.columns import col
+from ..functions.draws import fold, int_fold, pick, poisson, row_code, text_code, uniform
+from ..functions.ordering import beside, running_totals
 from ..functions.quantiles import grouped_quantiles
-from ..functions.rand import poisson_steps, poisson_weight
-from ..session import cut_lineage
+from ..functions.rand import poisson_weights
+from ..session import cut_lineage, ready_workers
+from . import scoring, trees
 from .profile import CLASSIFICATION, REGRESSION, correlations
+from .trees import ALPHA, DIGITS, EXACT, LOOKAHEAD, MUTED, QUARTILES, RANDOM, SAMPLE_SHARE, UNIFORM_BELOW, Rule, protected_columns
 
-# Importance a split column needs, embedded sample share and depth,
-# rows below which a node rates all columns alike, predicted levels at most.
-ALPHA, SAMPLE_SHARE, LOOKAHEAD, UNIFORM_BELOW, MAX_LEVELS = 0.05, 0.85, 3, 10, 50
-QUARTILES = (0.25, 0.5, 0.75)
+# Fixed value: predicted levels at most.
+MAX_LEVELS = 50
 
 # Nodes of one level that may be broadcast, and their bytes; wider levels are joined by shuffle.
 NODE_LIMIT, NODE_BYTES = 100_000, 64 * 1024 * 1024
-# Rows up to which a node's embedded trees are grown in one task.
-GATHER = 20_000
+# Rows, and bytes of their columns, up to which a node is grown to its leaves in one task.
+GATHER, GATHER_BYTES = 20_000, 64 * 1024 * 1024
 
 # The nine configurations (columns per combination, muting rate).
 GRID = [(k, rate) for k in (1, 2, 5) for rate in (0.0, 0.5, 0.8)]
@@ -50,18 +58,17 @@ class Forest:
     task: str
     n_features: int
     trees: list[tuple[int, float]]  # (k, muting rate) of each tree
-    levels: list[DataFrame] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    importances: DataFrame | None = None  # (tree, feature, importance) at the roots
+    table: DataFrame  # the nodes
+    most: int  # columns of a split at most
 
     def nodes(self) -> DataFrame:
         """All nodes of all trees."""
-        out = None
-        for depth, level in enumerate(self.levels):
-            part = level.select(
-                "tree", "node", F.lit(depth).alias("depth"), "n", "value", "fs", "ws", "threshold")
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self.table.select("tree", "node", "left", "right", "depth", "n", "value", "fs", "ws", "threshold")
+
+    @property
+    def importances(self) -> DataFrame:
+        """(tree, feature, importance) at the roots."""
+        return self.table.where("depth = 0").select("tree", F.posexplode("importance").alias("feature", "importance"))
 
 
 def config_name(k: int, rate: float, prefix: str = "MF") -> str:
@@ -112,10 +119,6 @@ def leaf_values(samples: DataFrame, keys: list[str], task: str) -> DataFrame:
         *keys, "n", (F.col("wy") / F.col("n")).alias("value"))
 
 
-def protected_columns(p: int) -> int:
-    return max(1, int(math.log(p)))
-
-
 def mute(active: Column, importance: Column, rate: Column, p: int) -> Column:
     """The active columns left after muting the weakest.
 
@@ -161,10 +164,15 @@ def node_thresholds(samples: DataFrame, options: DataFrame, small: bool, most: i
     return options.select("tree", "at", F.inline("options")).join(found, ["tree", "at", "j"])
 
 
-def best_splits(samples: DataFrame, thresholds: DataFrame, small: bool, most: int) -> DataFrame:
+def loss_share(loss: Column, squares: Column) -> Column:
+    """The loss as a share of the node's squares, in so many digits that the order of the rows cannot decide."""
+    return F.round(F.when(squares > 0, loss / squares).otherwise(F.lit(0.0)), DIGITS)
+
+
+def best_splits(samples: DataFrame, thresholds: DataFrame, small: bool, most: int, least: int = 2) -> DataFrame:
     """(tree, at, fs, ws, threshold, n_left, n_right, score) of the best option and threshold.
 
-    Either side needs two rows. The first option and lowest threshold win a tie.
+    Either side needs ``least`` rows. The first option and lowest threshold win a tie.
     """
     per_node = thresholds.groupBy("tree", "at").agg(
         F.collect_list(F.struct("j", "fs", "ws", "thresholds")).alias("options"))
@@ -180,9 +188,10 @@ def best_splits(samples: DataFrame, thresholds: DataFrame, small: bool, most: in
     scored = by_class.groupBy("tree", "at", "j", "t").agg(
         F.sum("lw").alias("n_left"), F.sum(right["w"]).alias("n_right"),
         (impurity(F.col("lw"), F.col("lwy") ** 2, F.col("lwyy"))
-         + impurity(right["w"], right["wy"] ** 2, right["wyy"])).alias("loss"))
-    valid = scored.where("n_left >= 2 AND n_right >= 2")
-    best = valid.groupBy("tree", "at").agg(F.min(F.struct("loss", "j", "t", "n_left", "n_right")).alias("b"))
+         + impurity(right["w"], right["wy"] ** 2, right["wyy"])).alias("loss"), F.sum("wyy").alias("squares"))
+    valid = scored.where((F.col("n_left") >= least) & (F.col("n_right") >= least))
+    order = F.struct(loss_share(F.col("loss"), F.col("squares")).alias("share"), "j", "t", "loss", "n_left", "n_right")
+    best = valid.groupBy("tree", "at").agg(F.min(order).alias("b"))
     best = best.select("tree", "at", "b.*").withColumn("score", -F.col("loss"))
     return best.join(thresholds, ["tree", "at", "j"]).select(
         "tree", "at", "fs", "ws", F.get("thresholds", F.col("t")).alias("threshold"), "n_left", "n_right", "score")
@@ -191,146 +200,32 @@ def best_splits(samples: DataFrame, thresholds: DataFrame, small: bool, most: in
 # --- importance by embedded random trees ----------------------------------------------------
 
 
-def _uniform(seed: str, *keys) -> Column:
-    """A cheap hash draw: these need not be recomputed outside Spark."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 31)) / float(1 << 31)
-
-
-def _sample_weight(seed: str, *keys) -> Column:
-    """Poisson copies of a row in an embedded sample of the wanted share."""
-    u = _uniform(seed, *keys)
-    total = F.lit(0)
-    for step in poisson_steps(SAMPLE_SHARE):
-        total = total + (u >= step).cast("int")
-    return total
-
-
 def _at_position(q: Column):
     return lambda split: split["q"] == q
 
 
-def node_importance(
-    samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool, gather: int = GATHER
-) -> DataFrame:
+def node_importance(samples: DataFrame, nodes: DataFrame, p: int, trials: int, small: bool) -> DataFrame:
     """(tree, at, importance array): mean impurity drop shares over random depth-3 trees.
 
-    ``nodes`` brings (tree, at, node, n, active, lo, hi). Each embedded node tries
-    the square root of the active columns, each at one uniform threshold. A node of at
-    most ``gather`` rows is rated in one task; a larger one by passes over the rows. The
-    draws are hashes, so both ways grow the same trees.
-    """
-    narrow, wide = nodes.where(F.col("n") <= gather), nodes.where(F.col("n") > gather)
-    most = nodes.agg(F.max("n")).first()[0] or 0
-    found = _rated_by_node(samples, narrow, p, trials, seed, small)
-    return found if most <= gather else found.unionByName(_rated_by_passes(samples, wide, p, trials, seed, small))
-
-
-def _rated_by_node(samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool) -> DataFrame:
-    steps = np.array(poisson_steps(SAMPLE_SHARE))
-    first = {name: np.uint64(xxhash.xxh64_intdigest(f"{seed}|{name}".encode(), 42)) for name in (
-        *[f"column|{d}" for d in range(LOOKAHEAD)], *[f"cut|{d}" for d in range(LOOKAHEAD)])}
-    drawn = samples.select("*", F.xxhash64(F.lit(f"{seed}|sample"), "row_id").alias("_h"))
-    rows = _attach(drawn, nodes.select("tree", "at", "node", "active", "lo", "hi"), small)
-
-    def rate(part: pd.DataFrame) -> pd.DataFrame:
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            tree, at = int(part["tree"].iloc[0]), int(part["at"].iloc[0])
-            value = rate_columns(
-                np.stack(part["x"]), part["w"].to_numpy(float), part["c"].to_numpy(int), part["y"].to_numpy(float),
-                part["_h"].to_numpy(np.int64).view(np.uint64), tree, at, int(part["node"].iloc[0]), np.asarray(part["active"].iloc[0], int),
-                np.asarray(part["lo"].iloc[0], float), np.asarray(part["hi"].iloc[0], float), trials, steps, first)
-        if value is None:
-            return pd.DataFrame({"tree": [], "at": [], "importance": []}).astype({"tree": int, "at": int, "importance": object})
-        return pd.DataFrame({"tree": [tree], "at": [at], "importance": [value.tolist()]})
-
-    return rows.groupBy("tree", "at").applyInPandas(rate, "tree int, at int, importance array<double>")
-
-
-def rate_columns(x, w, c, y, h, tree, at, node, active, lo, hi, trials, steps, first) -> np.ndarray | None:
-    """The importance of all columns for one node, or None if no embedded tree splits.
-
-    Arrays over (row, embedded tree); a position is -1 once a row's embedded node is a leaf.
+    ``nodes`` brings (tree, at, code, active, lo, hi). Each embedded tree samples the rows, each of
+    its nodes tries the square root of the active columns, each at one uniform threshold. The
+    passes draw as ``trees.rate_columns`` does for nodes that fit one task.
     """
-    n, p = x.shape
-    e = np.arange(trials)
-    m = max(1, int(math.sqrt(len(active))))
-    drawn = hashing.add_int(hashing.add_int(h, tree), at)
-    copies = (hashing.uniform(hashing.add_int(drawn[:, None], e[None, :]))[:, :, None] >= steps).sum(axis=2)
-    weight = w[:, None] * copies
-    place = np.where(weight > 0, 0, -1)
-    classes, code = np.unique(c, return_inverse=True)
-    drops = np.zeros((trials, p))
-    rows = np.arange(n)[:, None]
-    for depth in range(LOOKAHEAD):
-        size = 2**depth
-        q, j = np.arange(size), np.arange(m)
-
-        def draw(name):
-            start = hashing.add_long(hashing.add_int(first[f"{name}|{depth}"], tree), node)
-            key = hashing.add_int(start, e)
-            key = hashing.add_int(key[:, None], q[None, :])
-            return hashing.uniform(hashing.add_int(key[:, :, None], j[None, None, :]))
-
-        f = active[np.floor(draw("column") * len(active)).astype(int)]
-        cut = lo[f] + draw("cut") * (hi[f] - lo[f])
-        live = place >= 0
-        group = np.where(live, e[None, :] * size + place, 0)
-        cell = (group * len(classes) + code[:, None])[live]
-        weights = weight[live]
-        ys = np.broadcast_to(y[:, None], place.shape)[live]
-        cells = trials * size * len(classes)
-
-        def loss(mask):
-            """Weight and n times impurity of each embedded node, over the rows in the mask."""
-            a = np.bincount(cell, weights * mask, cells).reshape(-1, len(classes))
-            b = np.bincount(cell, weights * mask * ys, cells).reshape(-1, len(classes))
-            d = np.bincount(cell, weights * mask * ys * ys, cells).reshape(-1, len(classes))
-            total = a.sum(1)
-            return total, np.where(total > 0, np.maximum(d.sum(1) - (b * b).sum(1) / np.where(total > 0, total, 1), 0.0), 0.0)
-
-        _, whole = loss(np.ones(len(cell)))
-        best = np.full(trials * size, -np.inf)
-        won = np.full(trials * size, -1)
-        for k in range(m):
-            left = (x[rows, f[e[None, :], np.maximum(place, 0), k]] <= cut[e[None, :], np.maximum(place, 0), k])[live]
-            nl, a = loss(left.astype(float))
-            nr, b = loss((~left).astype(float))
-            drop = np.where((nl > 0) & (nr > 0), whole - a - b, -np.inf)
-            better = drop > best
-            best[better], won[better] = drop[better], k
-        won = won.reshape(trials, size)
-        split = won >= 0
-        gain = np.maximum(best.reshape(trials, size), 0.0)
-        ei, qi = np.nonzero(split)
-        np.add.at(drops, (ei, f[ei, qi, won[ei, qi]]), gain[ei, qi])
-        if depth < LOOKAHEAD - 1:
-            inside = np.maximum(place, 0)
-            chosen = won[e[None, :], inside]
-            k = np.maximum(chosen, 0)
-            right = x[rows, f[e[None, :], inside, k]] > cut[e[None, :], inside, k]
-            place = np.where(live & (chosen >= 0), 2 * inside + right, -1)
-    total = drops.sum(axis=1)
-    some = total > 0
-    if not some.any():
-        return None
-    value = (drops[some] / total[some][:, None]).sum(axis=0)
-    return value / value.sum()
-
-
-def _rated_by_passes(samples: DataFrame, nodes: DataFrame, p: int, trials: int, seed: str, small: bool) -> DataFrame:
     m = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("active"))).cast("int"))
-    trial = nodes.select("tree", "at", "node", "active", "lo", "hi", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
-    sample = samples.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
-    sample = sample.withColumn("w", F.col("w") * _sample_weight(f"{seed}|sample", "row_id", "tree", "at", "e")).where("w > 0")
+    trial = nodes.select("tree", "at", "code", "active", "lo", "hi", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
+    seen = _attach(samples, nodes.select("tree", "at", F.col("code").alias("node_code")), small).withColumn("seen", fold(F.col("code"), F.col("node_code")))
+    sample = seen.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("e"))
+    drawn = fold(fold(F.col("node_code"), trees.TRIAL), F.col("e"))
+    sample = sample.withColumn("w", F.col("w") * poisson(F.col("seen"), drawn, SAMPLE_SHARE)).where("w > 0").drop("code", "node_code", "seen")
     drops = None
     paths: list[str] = []
     for depth in range(LOOKAHEAD):
 
         def probe(q, j):
-            keys = (F.col("tree"), F.col("node"), F.col("e"), q, j)
-            f = F.get("active", F.floor(_uniform(f"{seed}|column|{depth}", *keys) * F.size("active")).cast("int"))
+            base = fold(fold(fold(F.col("code"), trees.PROBE + depth), F.col("e")), q)
+            f = F.get("active", pick(fold(base, 2 * j), F.size("active")))
             lo, hi = F.get("lo", f), F.get("hi", f)
-            return F.struct(j.alias("j"), f.alias("f"), (lo + _uniform(f"{seed}|cut|{depth}", *keys) * (hi - lo)).alias("t"))
+            return F.struct(j.alias("j"), f.alias("f"), (lo + uniform(fold(base, 2 * j + 1)) * (hi - lo)).alias("t"))
 
         probes = F.transform(
             F.sequence(F.lit(0), F.lit(2**depth - 1)),
@@ -354,9 +249,9 @@ def _rated_by_passes(samples: DataFrame, nodes: DataFrame, p: int, trials: int,
             F.sum("lw").alias("nl"), F.sum(right["w"]).alias("nr"),
             (impurity(F.col("w"), F.col("wy") ** 2, F.col("wyy"))
              - impurity(F.col("lw"), F.col("lwy") ** 2, F.col("lwyy"))
-             - impurity(right["w"], right["wy"] ** 2, right["wyy"])).alias("drop"))
+             - impurity(right["w"], right["wy"] ** 2, right["wyy"])).alias("drop"), F.sum("wyy").alias("squares"))
         won = tried.where("nl > 0 AND nr > 0").groupBy("tree", "at", "e", "q").agg(
-            F.max(F.struct("drop", (-F.col("j")).alias("j"), "f", "t")).alias("b"))
+            F.max(F.struct(loss_share(F.col("drop"), F.col("squares")).alias("share"), (-F.col("j")).alias("j"), "drop", "f", "t")).alias("b"))
         # Small (one row per embedded node) and read by all that follows.
         won = cut_lineage(won.select(
             "tree", "at", "e", "q", F.greatest("b.drop", F.lit(0.0)).alias("drop"), F.col("b.f").alias("f"), F.col("b.t").alias("t")))
@@ -391,203 +286,332 @@ def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at"), h
 
 
 def _slots(state: DataFrame) -> DataFrame:
-    return state.select("row_id", "x", "c", "y", F.posexplode(F.arrays_zip("w", "at", "value")).alias("tree", "s")).select(
-        "row_id", "x", "c", "y", "tree", "s.w", "s.at", "s.value")
+    return state.select("row_id", "x", "c", "y", "code", F.posexplode(F.arrays_zip("w", "at")).alias("tree", "s")).select(
+        "row_id", "x", "c", "y", "code", "tree", "s.w", "s.at")
 
 
 def _samples(state: DataFrame) -> DataFrame:
-    return _slots(state).where("at >= 0 AND w > 0").drop("value")
+    return _slots(state).where("at >= 0 AND w > 0")
 
 
 def _descend(slots: DataFrame, level: DataFrame, small: bool, most: int) -> DataFrame:
-    """Move each (row, tree) one level down; at a leaf it takes the value and stops."""
-    node = level.select("tree", "at", "fs", "ws", "threshold", "left", F.col("value").alias("_value"), F.lit(True).alias("_open"))
-    joined = _attach(slots, node, small, how="left")
+    """Move each (row, tree) one level down; at a closed node it stops."""
+    joined = _attach(slots, level.select("tree", "at", "fs", "ws", "threshold", "left_at"), small, how="left")
     v = combine(F.col("x"), F.col("fs"), F.col("ws"), most)
-    down = F.when(v <= F.col("threshold"), F.col("left")).otherwise(F.col("left") + 1)
-    leaf = F.col("_open") & F.col("fs").isNull()
-    return joined.select(
-        *[c for c in slots.columns if c not in ("at", "value")],
-        F.when(F.col("fs").isNotNull(), down).otherwise(-1).alias("at"),
-        F.when(leaf, F.col("_value")).otherwise(F.col("value")).alias("value"))
-
+    down = F.when(v <= F.col("threshold"), F.col("left_at")).otherwise(F.col("left_at") + 1)
+    return joined.select(*[c for c in slots.columns if c != "at"], F.when(F.col("fs").isNotNull(), down).otherwise(-1).alias("at"))
 
-def step(state: DataFrame, level: DataFrame, small: bool, most: int) -> DataFrame:
-    """Move every row one level down in every tree.
 
-    The nodes of a small level travel with the tasks and rows stay where they
-    are. A wide level is joined by shuffle and the slots are put together again.
-    """
-    if small:
-        return walk(state, [_plan(level, most)])
-    moved = _descend(_slots(state), level, small, most)
+def step(state: DataFrame, level: DataFrame, most: int) -> DataFrame:
+    """Move every row one level down in every tree by a shuffled join; the slots are put together again."""
+    moved = _descend(_slots(state), level, False, most)
     back = moved.groupBy("row_id").agg(
-        F.first("x").alias("x"), F.first("c").alias("c"), F.first("y").alias("y"),
-        F.array_sort(F.collect_list(F.struct("tree", "w", "at", "value"))).alias("s"))
-    return back.select("row_id", "x", "c", "y", *[F.col(f"s.{n}").alias(n) for n in ("w", "at", "value")])
+        *[F.first(c).alias(c) for c in ("x", "c", "y", "code")], F.array_sort(F.collect_list(F.struct("tree", "w", "at"))).alias("s"))
+    return back.select("row_id", "x", "c", "y", "code", *[F.col(f"s.{n}").alias(n) for n in ("w", "at")])
 
 
 def _plan(level: DataFrame, most: int) -> dict[int, dict[str, np.ndarray]]:
     """The at most NODE_LIMIT nodes of a level as arrays, by tree."""
-    trees: dict[int, dict[str, np.ndarray]] = {}
-    rows = level.select("tree", "at", "fs", "ws", "threshold", "left", "value").toPandas()
-    for tree, part in rows.sort_values("at").groupby("tree"):
-        fs, ws = np.zeros((len(part), most), dtype=int), np.zeros((len(part), most))
-        for i, (f, w) in enumerate(zip(part["fs"], part["ws"], strict=True)):
+    plan: dict[int, dict[str, np.ndarray]] = {}
+    rows = level.select("tree", "at", "fs", "ws", "threshold", "left_at").toPandas()
+    for tree, part in rows.groupby("tree"):
+        size = int(part["at"].max()) + 2  # the last place stands for nodes that are not of the level
+        fs, ws, threshold = np.zeros((size, most), int), np.zeros((size, most)), np.zeros(size)
+        left = np.full(size, -1)
+        for at, f, w, t, down in zip(part["at"], part["fs"], part["ws"], part["threshold"], part["left_at"], strict=True):
             if f is not None:
-                fs[i, : len(f)], ws[i, : len(w)] = f, w
-        trees[int(tree)] = {
-            "fs": fs, "ws": ws, "leaf": part["threshold"].isna().to_numpy(), "threshold": part["threshold"].to_numpy(),
-            "left": part["left"].fillna(-1).to_numpy(int), "value": part["value"].to_numpy(float)}
-    return trees
+                fs[at, : len(f)], ws[at, : len(w)], threshold[at], left[at] = f, w, t, down
+        plan[int(tree)] = {"fs": fs, "ws": ws, "threshold": threshold, "left": left}
+    return plan
 
 
 def walk(state: DataFrame, plans: list[dict[int, dict[str, np.ndarray]]]) -> DataFrame:
-    """Move every row down the levels of ``plans`` in every tree, in one vectorised pass; unset values are NaN."""
+    """Move every row down the levels of ``plans`` in every tree, in one vectorised pass."""
     if not plans:
         return state
     shared = state.sparkSession.sparkContext.broadcast(plans)
 
-    @F.pandas_udf("at array<int>, value array<double>")
-    def move(x: pd.Series, at: pd.Series, value: pd.Series) -> pd.DataFrame:
-        x, at, value = np.stack(x), np.stack(at).astype(np.int32), np.stack(value).astype(float)
+    @F.pandas_udf("array<int>")
+    def move(x: pd.Series, at: pd.Series) -> pd.Series:
+        x, at = np.stack(x), np.stack(at).astype(np.int32)
         for level in shared.value:
-            for tree, node in level.items():
-                live = np.flatnonzero(at[:, tree] >= 0)
-                i = at[live, tree]
+            for tree in range(at.shape[1]):
+                node, live = level.get(tree), np.flatnonzero(at[:, tree] >= 0)
+                if node is None:
+                    at[live, tree] = -1
+                    continue
+                # Nodes that are not of the level were grown to their leaves elsewhere.
+                i = np.minimum(at[live, tree], len(node["left"]) - 1)
                 v = node["ws"][i, 0] * x[live, node["fs"][i, 0]]
                 for j in range(1, node["fs"].shape[1]):
-                    v = v + node["ws"][i, j] * x[live, node["fs"][i, j]]
-                leaf = node["leaf"][i]
-                value[live[leaf], tree] = node["value"][i[leaf]]
-                at[live, tree] = np.where(leaf, -1, node["left"][i] + (v > node["threshold"][i]))
-        return pd.DataFrame({"at": list(at), "value": list(value)})
+                    used = node["ws"][i, j] != 0  # an infinite value of a column that is not in the sum must not count
+                    v = np.where(used, v + node["ws"][i, j] * x[live, node["fs"][i, j]], v)
+                at[live, tree] = np.where(node["left"][i] < 0, -1, node["left"][i] + ~(v <= node["threshold"][i]))
+        return pd.Series(list(at))
+
+    return state.withColumn("at", move("x", "at"))
 
-    moved = state.withColumn("_m", move("x", "at", "value"))
-    return moved.select("row_id", "x", "c", "y", "w", F.col("_m.at").alias("at"), F.col("_m.value").alias("value"))
+
+def _bootstrap(seed: str, trees_: int, by_row: bool) -> Column:
+    if not by_row:
+        return F.array_repeat(F.lit(1), trees_)
+    return poisson_weights(seed, trees_, "row_id")
 
 
 def grow(
     rows: DataFrame,
     task: str,
-    trees: list[tuple[int, float]],
+    configs: list[tuple[int, float]],
     nmin: int | None = None,
     trials: int = 100,
-    max_depth: int = MAX_LEVELS,
+    max_depth: int | None = MAX_LEVELS,
     alpha: float = ALPHA,
     seed: int | str = 42,
     limit: int = NODE_LIMIT,
     random_cuts: bool = False,
     gather: int = GATHER,
+    exact: bool = False,
+    tried: int | None = None,
+    split_from: int = 2,
+    bootstrap: bool = True,
 ) -> tuple[Forest, DataFrame]:
-    """Grow one tree per (k, muting rate) in ``trees``.
+    """Grow one tree per (k, muting rate) in ``configs``.
 
     Returns the forest and the training rows with their leaf values. ``trials``
     embedded trees rate the columns of each node. ``max_depth`` bounds the levels that are
     grown, far below what nodes of the smallest size reach. ``random_cuts`` grows
     extremely randomised trees instead: no bootstrap, no muting, one uniform
-    threshold per column.
+    threshold per column. ``exact`` grows trees that try every threshold of
+    ``tried`` columns per split (of all for numbers, of their root for classes).
+    Both of these split pure nodes no further, and others from ``split_from`` rows on.
+    A node of at most ``gather`` rows is grown to its leaves in one task.
     """
+    spark = rows.sparkSession
+    ready_workers(spark)
     p, n_rows = rows.select(F.size("x")).first()[0], rows.count()
     nmin = smallest_node(n_rows) if nmin is None else nmin
-    seed = str(seed)
+    seed, size = str(seed), len(configs)
+    kind = RANDOM if random_cuts else EXACT if exact else MUTED
+    tried = tried or (p if task == REGRESSION else max(1, math.isqrt(p)))
     # Sums of squares are taken of the centred target, so that they do not cancel.
     centre = rows.agg(F.avg("y")).first()[0] if task == REGRESSION else 0.0
     rows = rows.withColumn("y", F.col("y") - F.lit(centre)) if task == REGRESSION else rows
-    if random_cuts:
-        weights = [F.lit(1)] * len(trees)
-    else:
-        weights = [poisson_weight(f"{seed}|{t}", "row_id") for t in range(len(trees))]
-    blank = F.lit(float("nan"))
+    rule = Rule(
+        kind, task == CLASSIFICATION, p, 2 * nmin if kind == MUTED else split_from, nmin if kind == MUTED else 1, text_code(seed),
+        trials, alpha, tried, max_depth, centre)
     # A fixed number of partitions: each row becomes trees x trials rows in flight, so small
     # input must not be coalesced into one task, and large input keeps its parallelism.
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     state = cut_lineage(rows.select(
-        "row_id", "x", "c", "y", F.array(*[w.cast("int") for w in weights]).alias("w"),
-        F.array_repeat(F.lit(0), len(trees)).alias("at"), F.array_repeat(blank, len(trees)).alias("value")).repartition(parts, "row_id"))
-    most = max(k for k, _ in trees)
-    ends = state.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i").collect()
-    spark = rows.sparkSession
-    box = (list(range(p)), [r.lo for r in ends], [r.hi for r in ends])
-    roots = [(t, 0, 1, k, float(rate), *box) for t, (k, rate) in enumerate(trees)]
+        "row_id", "x", "c", "y", row_code(seed, F.col("row_id")).alias("code"), _bootstrap(seed, size, bootstrap and not random_cuts).alias("w"),
+    ).repartition(parts, "row_id"))
+    most = max(k for k, _ in configs)
+    if n_rows <= gather and n_rows * (8 * p + 64) <= GATHER_BYTES:
+        nodes = cut_lineage(_whole_trees(state, configs, rule, parts))
+    else:
+        nodes = _by_levels(state, configs, rule, parts, limit, gather, n_rows, most)
+    forest = Forest(task, p, configs, nodes, most)
+    grown = scoring.votes(state.withColumn("at", F.array_repeat(F.lit(-1), size)), nodes, size, most, keep_x=True).drop("code")
+    grown = grown.withColumnRenamed("votes", "value")
+    return forest, grown.withColumn("y", F.col("y") + F.lit(centre)) if task == REGRESSION else grown
+
+
+def _ends(rows: DataFrame) -> tuple[list[float], list[float]]:
+    """Least and largest value of every column."""
+    ends = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i").collect()
+    return [r.lo for r in ends], [r.hi for r in ends]
+
+
+def _whole_trees(state: DataFrame, configs: list[tuple[int, float]], rule: Rule, parts: int) -> DataFrame:
+    """All trees of a table that fits one task, a few trees a task."""
+    cores = state.sparkSession.sparkContext.defaultParallelism
+    each = max(1, len(configs) // max(64, 8 * cores))
+    blocks = math.ceil(len(configs) / each)
+    lo, hi = (np.array(e, dtype=float) for e in _ends(state))
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    dealt = state.select("row_id", "x", "c", "y", "code", "w", block).withColumn("w", F.slice("w", F.col("block") * each + 1, each))
+
+    def fit(table: pa.Table) -> pa.Table:
+        first = table["block"][0].as_py() * each
+        grower, table = trees.grower(rule, table)
+        weights = trees.matrix(table["w"])
+
+        def found():
+            for i in range(weights.shape[1]):
+                k, rate = configs[first + i]
+                code = int_fold(rule.seed, first + i)
+                yield from grower.grow(trees.Start(first + i, 1, code, 0, k, rate, np.arange(rule.p), lo, hi), weights[:, i])
+
+        return trees.node_table(found())
+
+    return dealt.repartition(blocks, "block").groupBy("block").applyInArrow(fit, trees.NODES)
+
+
+def _subtrees(samples: DataFrame, nodes: DataFrame, rule: Rule, parts: int, small: bool) -> DataFrame:
+    """The nodes below (and with) ``nodes``, each grown in one task from its rows."""
+    rows = _attach(samples, nodes.select("tree", "at"), small).repartition(parts, "tree", "at")
+    starts = nodes.select("tree", "at", "node", "code", "depth", "k", "rate", "active", "lo", "hi").repartition(parts, "tree", "at")
+
+    def fit(rows: pa.Table, start: pa.Table) -> pa.Table:
+        s = start.to_pylist()[0]
+        grower, rows = trees.grower(rule, rows)
+        begin = trees.Start(
+            s["tree"], s["node"], s["code"], s["depth"], s["k"], s["rate"], np.array(s["active"], int), np.array(s["lo"], float), np.array(s["hi"], float))
+        return trees.node_table(grower.grow(begin, rows["w"].to_numpy()))
+
+    return rows.groupBy("tree", "at").cogroup(starts.groupBy("tree", "at")).applyInArrow(fit, trees.NODES)
+
+
+def _by_levels(state, configs, rule, parts, limit, gather, n_rows, most) -> DataFrame:
+    """All nodes, level by level; nodes of at most ``gather`` rows are grown to their leaves as they come up."""
+    spark, p, size = state.sparkSession, rule.p, len(configs)
+    gather = min(gather, GATHER_BYTES // (8 * p + 64))
+    lo, hi = _ends(state)
+    roots = [(t, 0, 1, int_fold(rule.seed, t), 0, k, float(rate), list(range(p)), lo, hi) for t, (k, rate) in enumerate(configs)]
     nodes = spark.createDataFrame(
-        roots, "tree int, at int, node bigint, k int, rate double, active array<int>, lo array<double>, hi array<double>")
-    forest, size = Forest(task, p, trees), len(trees)
+        roots, "tree int, at int, node bigint, code bigint, depth int, k int, rate double, active array<int>, lo array<double>, hi array<double>")
     # The rows are stored once; each pass walks them down the levels grown so far.
-    base, plans = state, []
+    base = state = state.withColumn("at", F.array_repeat(F.lit(0), size))
+    plans, found = [], []
     width = 24 * p + 64  # bytes of a node
-    probes = 0 if random_cuts else trials * 2**LOOKAHEAD * 24 * (math.isqrt(p) + 1)  # and of its embedded nodes
-    bound = n_rows * len(trees) * (most + 1)
-    for depth in range(max_depth + 1):
-        small = size <= limit and size * (width + (probes if n_rows > gather else 0)) <= NODE_BYTES
-        level = cut_lineage(_level(state, nodes, task, p, nmin, trials, alpha, seed, bound, depth == max_depth,
-                                   small, most, random_cuts, centre, gather))
-        forest.levels.append(level)
-        forest.sizes.append(size)
-        if depth == 0 and not random_cuts:
-            forest.importances = level.select("tree", F.posexplode("importance").alias("feature", "importance"))
+    probes = 0 if rule.kind != MUTED else rule.trials * 2**LOOKAHEAD * 24 * (math.isqrt(p) + 1)  # and of its embedded nodes
+    bound = n_rows * size * (most + 1)
+    depth = 0
+    while size:
+        small = size <= limit and size * (width + probes) <= NODE_BYTES
+        samples = _samples(state)
+        values = leaf_values(samples, ["tree", "at"], CLASSIFICATION if rule.classes else REGRESSION)
+        known = cut_lineage(nodes.join(values.withColumn("value", F.col("value") + F.lit(rule.centre)), ["tree", "at"]))
+        fit = known.where(F.col("n") <= gather)
+        if not fit.isEmpty():
+            found.append(cut_lineage(_subtrees(samples, fit, rule, parts, small)))
+        level = cut_lineage(_level(samples, known.where(F.col("n") > gather), rule, bound, depth == rule.max_depth, small, most))
+        found.append(_numbered(level))
         if size <= limit and size * width <= NODE_BYTES:
             plans.append(_plan(level, most))
             state = walk(base, plans)
         else:
-            base, plans = cut_lineage(step(state, level, False, most)), []
+            base, plans = cut_lineage(step(state, level, most)), []
             state = base
         nodes = _children(level)
         size = 2 * level.where("fs IS NOT NULL").count()
-        if not size:
-            break
-    state = cut_lineage(state) if plans else state
-    return forest, state.withColumn("y", F.col("y") + F.lit(centre)) if task == REGRESSION else state
+        depth += 1
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return cut_lineage(out)
 
 
-def _level(state, nodes, task, p, nmin, trials, alpha, seed, bound, last, small, most, random_cuts, centre, gather) -> DataFrame:
-    """Statistics, importances and splits of all nodes of one level."""
-    samples = _samples(state)
-    values = leaf_values(samples, ["tree", "at"], task).withColumn("value", F.col("value") + F.lit(centre))
-    known = cut_lineage(nodes.join(values, ["tree", "at"]))
+def _child(side: int) -> Column:
+    far = F.pmod(F.xxhash64("node"), F.lit(1 << 60))
+    return F.when((F.col("node") > 0) & (F.col("node") <= trees.NUMBERED), 2 * F.col("node") + side).otherwise(-1 - side - 2 * far)
+
+
+def _numbered(level: DataFrame) -> DataFrame:
+    split = F.col("fs").isNotNull()
+    return level.select(
+        "tree", "node", F.when(split, _child(0)).alias("left"), F.when(split, _child(1)).alias("right"), "depth", "n", "value", "fs", "ws", "threshold",
+        F.when(F.col("depth") == 0, F.col("importance")).alias("importance"))
+
+
+def _level(samples, known, rule, bound, last, small, most) -> DataFrame:
+    """Importances and splits of all large nodes of one level."""
+    none = {"importance": "array<double>", "fs": "array<int>", "ws": "array<double>", "threshold": "double", "left_at": "int"}
     if last:
-        leaf = known.withColumn("importance", F.lit(None).cast("array<double>")).withColumn("fs", F.lit(None).cast("array<int>"))
-        return leaf.withColumn("ws", F.lit(None).cast("array<double>")).withColumn(
-            "threshold", F.lit(None).cast("double")).withColumn("left", F.lit(None).cast("int"))
-    open_ = known.where(F.col("n") >= (2 if random_cuts else 2 * nmin))
-    if random_cuts:
-        options = cut_lineage(_random_options(open_, task, seed))
-        rated = open_.withColumn("importance", F.lit(None).cast("array<double>"))
-        splits = best_splits(samples, options, small, 1)
-    else:
-        trial_nodes = open_.where(F.col("n") >= UNIFORM_BELOW)
-        found = node_importance(samples, trial_nodes, p, trials, seed, small, gather)
-        uniform = F.array_repeat(F.lit(1.0 / p), p)
+        return known.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    open_ = known.where(F.col("n") >= rule.split_from)
+    if rule.kind == MUTED:
+        p = rule.p
+        found = node_importance(samples, open_.where(F.col("n") >= UNIFORM_BELOW), p, rule.trials, small)
+        uniform_ = F.array_repeat(F.lit(1.0 / p), p)
         rated = open_.join(found, ["tree", "at"], "left").withColumn(
-            "importance", F.coalesce("importance", F.when(F.col("n") < UNIFORM_BELOW, uniform), F.array_repeat(F.lit(0.0), p)))
+            "importance", F.coalesce("importance", F.when(F.col("n") < UNIFORM_BELOW, uniform_), F.array_repeat(F.lit(0.0), p)))
         rated = rated.withColumn("active", mute(F.col("active"), F.col("importance"), F.col("rate"), p))
-        chosen = candidates(F.col("active"), F.col("importance"), F.col("k"), alpha)
+        chosen = candidates(F.col("active"), F.col("importance"), F.col("k"), rule.alpha)
         # One row per node: the passes below read these tables instead of planning them again.
         rated = cut_lineage(rated.withColumn("chosen", chosen))
         options = rated.select("tree", "at", split_options(F.col("chosen")).alias("options"))
         thresholds = cut_lineage(node_thresholds(samples, options, small, most, bound))
         splits = best_splits(samples, thresholds, small, most)
-    least = 1 if random_cuts else nmin
-    kept = splits.where((F.col("n_left") >= least) & (F.col("n_right") >= least))
+    else:
+        mixed = _attach(samples, open_.select("tree", "at"), small).groupBy("tree", "at").agg(
+            (F.min("c") < F.max("c")).alias("_c"), (F.min("y") < F.max("y")).alias("_y"))
+        open_ = open_.join(mixed.where("_c OR _y").select("tree", "at"), ["tree", "at"], "left_semi")
+        rated = open_.withColumn("importance", F.lit(None).cast("array<double>"))
+        picks = cut_lineage(_picks(open_, rule))
+        if rule.kind == RANDOM:
+            splits = best_splits(samples, cut_lineage(_random_thresholds(samples, picks, small)), small, 1, rule.least)
+        else:
+            splits = exact_splits(samples, picks, rule.classes, small, rule.least)
+    kept = splits.where((F.col("n_left") >= rule.least) & (F.col("n_right") >= rule.least))
     # Left children get even numbers in the order of their parents, right ones the next.
     order = Window.partitionBy("tree").orderBy("at")
-    numbered = kept.select("tree", "at", "fs", "ws", "threshold", (2 * (F.row_number().over(order) - 1)).cast("int").alias("left"))
+    numbered = kept.select("tree", "at", "fs", "ws", "threshold", (2 * (F.row_number().over(order) - 1)).cast("int").alias("left_at"))
     learned = rated.select("tree", "at", F.col("active").alias("left_active"), "importance")
     return known.join(learned, ["tree", "at"], "left").join(numbered, ["tree", "at"], "left").withColumn(
         "active", F.coalesce("left_active", "active")).drop("left_active")
 
 
-def _random_options(nodes: DataFrame, task: str, seed: str) -> DataFrame:
-    """One uniform threshold for each column tried: all for numbers, the root of them for classes."""
-    keys = (F.col("tree"), F.col("node"))
-    tried = F.size("active")
-    if task == CLASSIFICATION:
-        tried = F.greatest(F.lit(1), F.floor(F.sqrt(tried)).cast("int"))
-    shuffled = F.array_sort(F.transform("active", lambda f: F.struct(_uniform(f"{seed}|pick", *keys, f).alias("u"), f.alias("f"))))
-    picks = nodes.select("tree", "at", "node", "lo", "hi", F.posexplode(F.slice(shuffled, F.lit(1), tried)).alias("j", "s"))
-    f = F.col("s.f")
-    cut = F.get("lo", f) + _uniform(f"{seed}|cut", *keys, f) * (F.get("hi", f) - F.get("lo", f))
-    return picks.select("tree", "at", "j", F.array(f).alias("fs"), F.array(F.lit(1.0)).alias("ws"), F.array(cut).alias("thresholds"))
+def _picks(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(tree, at, options): the columns tried at each node, with the draw of a threshold."""
+    start = fold(F.col("code"), trees.PICK)
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(rule.p - 1)), lambda f: F.struct(fold(start, f).alias("u"), f.alias("f"))))
+    tried = F.transform(F.slice(drawn, 1, rule.tried), lambda s, j: F.struct(
+        j.alias("j"), s["f"].alias("f"), uniform(fold(fold(F.col("code"), trees.CUT), s["f"])).alias("u")))
+    return nodes.select("tree", "at", tried.alias("options"))
+
+
+def _random_thresholds(samples: DataFrame, picks: DataFrame, small: bool) -> DataFrame:
+    """One uniform threshold between the ends of each column tried within its node."""
+    values = _attach(samples, picks, small).select("tree", "at", "x", F.inline("options")).withColumn("v", F.get("x", F.col("f")))
+    ends = values.groupBy("tree", "at", "j", "f", "u").agg(
+        F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"), F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"))
+    cut = F.col("lo") + F.col("u") * (F.col("hi") - F.col("lo"))
+    return ends.where("lo IS NOT NULL").select(
+        "tree", "at", "j", F.array("f").alias("fs"), F.array(F.lit(1.0)).alias("ws"), F.array(cut).alias("thresholds"))
+
+
+def exact_splits(samples: DataFrame, picks: DataFrame, classes: bool, small: bool, least: int = 1) -> DataFrame:
+    """(tree, at, fs, ws, threshold, n_left, n_right) of the best threshold of all, between neighbouring values.
+
+    ``picks`` brings (tree, at, options) with structs (j, f). Equal values are added up first;
+    running sums over the distinct values then give both sides of every threshold. The first
+    column tried and the lowest threshold win a tie.
+    """
+    keys = ["tree", "at", "j"]
+    values = _attach(samples, picks, small).select("tree", "at", "c", "w", "y", "x", F.inline("options")).withColumn("v", F.get("x", F.col("f")))
+    w, y = F.col("w"), F.col("y")
+    if classes:
+        known = [r[0] for r in samples.select("c").distinct().collect()]
+        sums = {f"s{c}": F.when(F.col("c") == c, w).otherwise(0) for c in known}
+    else:
+        sums = {"s": w, "sy": w * y, "syy": w * y * y}
+    cells = cut_lineage(values.groupBy(*keys, "f", "v").agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
+    totals = cells.groupBy(*keys).agg(*[F.sum(n).alias(f"t_{n}") for n in sums])
+    # NaN and null go right, so they are part of the totals only.
+    placed = cells.where("v IS NOT NULL AND NOT isnan(v)")
+    running = beside(running_totals(placed, keys, "v", {f"l_{n}": n for n in sums}), totals, keys)
+
+    def side(of):
+        if classes:
+            n = sum((of(c) for c in sums), F.lit(0))
+            return n, F.when(n > 0, F.greatest(n - sum((of(c) * of(c) for c in sums), F.lit(0)) / n, F.lit(0.0))).otherwise(F.lit(0.0)), n
+        n = of("s")
+        return n, F.when(n > 0, F.greatest(of("syy") - of("sy") * of("sy") / n, F.lit(0.0))).otherwise(F.lit(0.0)), of("syy")
+
+    nl, left, _ = side(lambda n: F.col(f"l_{n}"))
+    nr, right, _ = side(lambda n: F.col(f"t_{n}") - F.col(f"l_{n}"))
+    _, _, squares = side(lambda n: F.col(f"t_{n}"))
+    scored = running.select(*keys, "f", "v", nl.alias("n_left"), nr.alias("n_right"), loss_share(left + right, squares).alias("share"))
+    # The last value of a column has no threshold above it, even where NaN rows would go right.
+    last = placed.groupBy(*keys).agg(F.max("v").alias("_last"))
+    scored = beside(scored, last, keys).where((F.col("n_left") >= least) & (F.col("n_right") >= least) & (F.col("v") < F.col("_last")))
+    best = cut_lineage(scored.groupBy("tree", "at").agg(F.min(F.struct("share", "j", "v", "f", "n_left", "n_right")).alias("b")).select("tree", "at", "b.*"))
+    above = placed.join(best.select(*keys, F.col("v").alias("_v")), keys).where("v > _v").groupBy(*keys).agg(F.min("v").alias("next"))
+    middle = F.col("v") + (F.col("next") - F.col("v")) / 2
+    threshold = F.when((middle >= F.col("v")) & (middle < F.col("next")), middle).otherwise(F.col("v"))
+    return best.join(above, keys).select(
+        "tree", "at", F.array("f").alias("fs"), F.array(F.lit(1.0)).alias("ws"), threshold.alias("threshold"), "n_left", "n_right")
 
 
 def _children(level: DataFrame) -> DataFrame:
@@ -598,32 +622,39 @@ def _children(level: DataFrame) -> DataFrame:
     def narrowed(side: str) -> Column:
         return F.transform(side, lambda v, i: F.when(i == f, F.col("threshold")).otherwise(v))
 
-    both = F.array(
-        F.struct(F.col("left").alias("at"), (2 * F.col("node")).alias("node"), F.col("lo").alias("lo"), narrowed("hi").alias("hi")),
-        F.struct((F.col("left") + 1).alias("at"), (2 * F.col("node") + 1).alias("node"), narrowed("lo").alias("lo"), F.col("hi").alias("hi")))
-    return split.select("tree", "k", "rate", "active", F.inline(both)).select("tree", "at", "node", "k", "rate", "active", "lo", "hi")
+    def child(side: int, lo: Column, hi: Column) -> Column:
+        return F.struct(
+            (F.col("left_at") + side).alias("at"), _child(side).alias("node"), fold(F.col("code"), side + 1).alias("code"),
+            (F.col("depth") + 1).alias("depth"), lo.alias("lo"), hi.alias("hi"))
+
+    both = F.array(child(0, F.col("lo"), narrowed("hi")), child(1, narrowed("lo"), F.col("hi")))
+    return split.select("tree", "k", "rate", "active", F.inline(both)).select(
+        "tree", "at", "node", "code", "depth", "k", "rate", "active", "lo", "hi")
 
 
 # --- predicting -----------------------------------------------------------------------------------
 
 
-def traverse(forest: Forest, rows: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+def traverse(forest: Forest, rows: DataFrame, limit: int = scoring.TREE_NODES) -> DataFrame:
     """Rows with ``votes``, the leaf value of each tree.
 
-    One join per level on the exploded (row, tree) pairs, broadcast while the
-    level is small, and a single aggregate at the end.
+    Trees of at most ``limit`` nodes are packed into arrays and walked where the rows are;
+    larger ones are joined level by level.
+    """
+    return scoring.votes(rows, forest.table, len(forest.trees), forest.most, limit)
+
+
+def tally(forest: Forest, rows: DataFrame, groups: list[int], name: str, limit: int = scoring.TREE_NODES) -> DataFrame:
+    """Add the sum of the votes of each group of trees, or for classes the count of each class by group.
+
+    ``groups`` numbers the group of each tree; trees numbered -1 do not count.
     """
-    keep = [c for c in rows.columns if c not in ("row_id", "x")]
-    most = max(k for k, _ in forest.trees)
-    slots = rows.select(
-        "row_id", "x", F.struct(F.lit(0).alias("_"), *keep).alias("kept"),
-        F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("tree"),
-        F.lit(0).alias("at"), F.lit(None).cast("double").alias("value"))
-    for level, size in zip(forest.levels, forest.sizes, strict=True):
-        slots = _descend(slots, level, size <= limit, most)
-    votes = F.transform(F.array_sort(F.collect_list(F.struct("tree", "value"))), lambda t: t["value"])
-    back = slots.groupBy("row_id").agg(F.first("kept").alias("kept"), votes.alias("votes"))
-    return back.select("row_id", *[F.col(f"kept.{c}").alias(c) for c in keep], "votes")
+    return scoring.tally(rows, forest.table, groups, forest.most, classes_of(forest) if forest.task == CLASSIFICATION else None, name, limit)
+
+
+def classes_of(forest: Forest) -> list[float]:
+    """The classes that the leaves vote for, in order."""
+    return sorted(r[0] for r in forest.table.where("left IS NULL").select("value").distinct().collect())
 
 
 def mean_vote(votes: Column) -> Column:
@@ -647,35 +678,49 @@ def class_shares(votes: Column, classes: list[float]) -> list[Column]:
 
 def predict(forest: Forest, rows: DataFrame, trees: list[int] | None = None, name: str = "prediction") -> DataFrame:
     """Add the forest's prediction, or that of some of its trees."""
-    voted = traverse(forest, rows)
-    votes = F.col("votes")
-    if trees is not None:
-        votes = F.slice("votes", trees[0] + 1, len(trees))
-    value = majority(votes) if forest.task == CLASSIFICATION else mean_vote(votes)
-    return voted.withColumn(name, value).drop("votes")
+    used = set(range(len(forest.trees)) if trees is None else trees)
+    groups = [0 if t in used else -1 for t in range(len(forest.trees))]
+    counted = tally(forest, rows, groups, "_tally")
+    return counted.withColumn(name, _decided(forest, groups)[0]).drop("_tally")
+
+
+def _decided(forest: Forest, groups: list[int]) -> list[Column]:
+    """The prediction of each group, from the column ``_tally``."""
+    n = max(groups) + 1
+    if forest.task == REGRESSION:
+        return [F.get("_tally", F.lit(g)) / groups.count(g) for g in range(n)]
+    classes = classes_of(forest)
+    names = F.array(*[F.lit(c) for c in classes])
+    out = []
+    for g in range(n):
+        counts = F.slice("_tally", g * len(classes) + 1, len(classes))
+        # The first of the largest counts: the smallest class on a tie.
+        out.append(F.get(names, (F.array_position(counts, F.array_max(counts)) - 1).cast("int")))
+    return out
 
 
 def predict_proba(forest: Forest, rows: DataFrame, classes: list[float]) -> DataFrame:
     """(row_id, p_<class>...): the share of the trees that vote for each class."""
-    return traverse(forest, rows).select("row_id", *class_shares(F.col("votes"), classes))
+    known = classes_of(forest)
+    counted = tally(forest, rows, [0] * len(forest.trees), "_tally")
+    shares = [
+        (F.get("_tally", F.lit(known.index(c))) / len(forest.trees) if c in known else F.lit(0.0)).alias(f"p_{int(c)}") for c in classes]
+    return counted.select("row_id", *shares)
 
 
 def predict_grid(forest: Forest, rows: DataFrame, key: str = "row_id") -> DataFrame:
-    """(row_id, method, prediction) for each configuration of the forest, in one traversal."""
-    voted = traverse(forest, rows)
-    combine_votes = majority if forest.task == CLASSIFICATION else mean_vote
-    cells, start = [], 0
-    while start < len(forest.trees):
-        k, rate = forest.trees[start]
-        size = forest.trees.count((k, rate))
-        cells.append(F.struct(
-            F.lit(config_name(k, rate)).alias("method"), combine_votes(F.slice("votes", start + 1, size)).alias("prediction")))
-        start += size
-    keep = [c for c in voted.columns if c not in ("c", "y", "votes")]
+    """(row_id, method, prediction) for each configuration of the forest, in one pass."""
+    configs = list(dict.fromkeys(forest.trees))
+    groups = [configs.index(c) for c in forest.trees]
+    counted = tally(forest, rows, groups, "_tally")
+    cells = [
+        F.struct(F.lit(config_name(*c)).alias("method"), value.alias("prediction"))
+        for c, value in zip(configs, _decided(forest, groups), strict=True)]
+    keep = [c for c in rows.columns if c not in ("c", "y", "x")]
     truth = [F.col("y")] if "y" in rows.columns and forest.task == REGRESSION else []
     if "c" in rows.columns and forest.task == CLASSIFICATION:
         truth = [F.col("c").cast("double").alias("y")]
-    return voted.select(*keep, *truth, F.inline(F.array(*cells)))
+    return counted.select(*keep, *truth, F.inline(F.array(*cells)))
 
 
 def forest_importance(forest: Forest, per_config: bool = False) -> DataFrame:

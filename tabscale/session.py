@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ready_workers(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.applicationId in _sent:
+        return
+    folder = tempfile.TemporaryDirectory()  # Spark sends the file from the driver
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder.name}/{package.name}-core.zip", "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(out.filename)
+    _sent[context.applicationId] = folder
+
+
+_sent: dict[str, tempfile.TemporaryDirectory] = {}

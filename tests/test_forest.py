@@ -67,11 +67,111 @@ def test_broadcast_and_shuffled_levels_agree(surface, grown):
 
 
 def test_growing_by_shuffle_gives_the_same_tree(surface):
-    a, b = (forest.grow(surface, "regression", [(2, 0.5)], max_depth=2, trials=5, limit=n)[0].nodes().drop("value").toPandas() for n in (100_000, 0))
+    a, b = (forest.grow(surface, "regression", [(2, 0.5)], max_depth=2, trials=5, limit=n, gather=0)[0].nodes().drop("value").toPandas() for n in (100_000, 0))
     key = lambda d: d.sort_values("node").drop(columns=["threshold"]).astype(str).values.tolist()
     assert key(a) == key(b)
 
 
+def _as_classes(rows):
+    return rows.select("row_id", "x", F.floor(F.get("x", F.lit(1)) * 3).cast("int").alias("c"), F.lit(1.0).alias("y"))
+
+
+def _nodes(model):
+    found = model.table.orderBy("tree", "node").collect()
+    return [(r.tree, r.node, r.left, r.right, r.depth, r.n, r.fs, None if r.ws is None else [round(w, 6) for w in r.ws],
+             r.threshold and round(r.threshold, 9), round(r.value, 6)) for r in found]
+
+
+GROWERS = {
+    "muted": {"trials": 6},
+    "random": {"random_cuts": True},
+    "exact": {"exact": True, "tried": 3, "split_from": 12, "bootstrap": True},
+}
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+@pytest.mark.parametrize("kind", sorted(GROWERS))
+def test_whole_trees_and_levels_with_subtrees_give_the_same_nodes(surface, task, kind):
+    """Grown in one task, and by levels until a node fits a task."""
+    rows = surface if task == "regression" else _as_classes(surface)
+    depth = 2 if task == "regression" else 1
+    a, b = (_nodes(forest.grow(rows, task, [(1, 0.5), (2, 0.8)], max_depth=depth, gather=g, **GROWERS[kind])[0]) for g in (20_000, 250))
+    assert len(a) >= 6
+    assert a == b
+
+
+def test_exact_trees_equal_a_search_of_every_threshold(surface):
+    """A tree on all columns against a plain search, node by node."""
+    model, _ = forest.grow(surface, "regression", [(1, 0.0)], exact=True, bootstrap=False, split_from=40, max_depth=None)
+    data = surface.toPandas().sort_values("row_id")
+    x, y = np.stack(data.x), data.y.to_numpy()
+    nodes = {r.node: r for r in model.nodes().collect()}
+    waiting, seen = [(1, np.ones(len(y), bool))], 0
+    while waiting:
+        number, here = waiting.pop()
+        node = nodes[number]
+        seen += 1
+        assert node.n == here.sum() and node.value == pytest.approx(y[here].mean())
+        if here.sum() < 40:
+            assert node.left is None
+            continue
+        best = min(
+            (round(sum(((p - p.mean()) ** 2).sum() for p in (y[here & (x[:, f] <= t)], y[here & (x[:, f] > t)])), 9), f)
+            for f in range(x.shape[1]) for t in np.unique(x[here, f])[:-1])
+        left = here & (x[:, node.fs[0]] <= node.threshold)
+        right = here & ~left
+        got = sum(((y[p] - y[p].mean()) ** 2).sum() for p in (left, right))
+        assert got == pytest.approx(best[0], rel=1e-7)
+        waiting += [(node.left, left), (node.right, right)]
+    assert seen == len(nodes) > 20
+
+
+def test_unlimited_trees_tell_all_training_rows_apart(surface):
+    model, state = forest.grow(surface, "regression", [(1, 0.0)], exact=True, bootstrap=False, max_depth=None)
+    assert state.where(F.abs(F.get("value", F.lit(0)) - F.col("y")) > 1e-9).count() == 0
+
+
+def test_node_numbers_stay_apart_below_sixty_levels():
+    from tabscale.operators import trees
+
+    node, seen = 1, set()
+    for _ in range(200):
+        a, b = trees.children(node)
+        assert a != b and not {a, b} & seen and abs(a) < 1 << 63
+        seen |= {a, b}
+        node = b
+
+
+def test_scoring_neither_explodes_trees_nor_shuffles(surface, grown):
+    model, _ = grown
+    for df in (forest.traverse(model, surface), forest.predict(model, surface)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_blocks_of_trees_add_up(surface, grown, monkeypatch):
+    from tabscale.operators import scoring
+
+    model, _ = grown
+    whole = {r.row_id: r.prediction for r in forest.predict(model, surface).collect()}
+    votes = {r.row_id: r.votes for r in forest.traverse(model, surface).collect()}
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 1500)
+    assert len(scoring.blocks(model.table, model.most, 10**6)[0]) > 1
+    assert {r.row_id: r.votes for r in forest.traverse(model, surface).collect()} == votes
+    assert {r.row_id: r.prediction for r in forest.predict(model, surface).collect()} == pytest.approx(whole)
+    assert all(whole[i] == pytest.approx(sum(v) / len(v)) for i, v in votes.items())
+
+
+def test_missing_values_go_right_and_small_tables_grow(spark):
+    rows = spark.createDataFrame(
+        [(i, [float(i % 7), None if i % 3 == 0 else i / 10], 0, float(i % 5)) for i in range(60)], "row_id int, x array<double>, c int, y double")
+    for kind in GROWERS.values():
+        model, state = forest.grow(rows, "regression", [(1, 0.5)] * 2, **kind)
+        assert state.count() == 60 and forest.predict(model, rows).where("prediction IS NULL").count() == 0
+    one = forest.grow(rows.limit(1), "regression", [(1, 0.0)] * 3, trials=3)[0]
+    assert one.nodes().where("left IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("task", ["regression", "classification"])
 def test_nodes_are_rated_alike_in_one_task_and_by_passes(spark, surface, task):
     rows = surface

@@ -159,15 +159,28 @@ def test_per_feature_wide_and_long_agree(skewed, monkeypatch):
     assert run() == wide
 
 
-def test_chained_hashes_equal_spark(spark):
-    import xxhash
-
-    from tabscale.functions import hashing
-
-    rows = [(i * 7919 - 50, (i - 30) * 10**12) for i in range(60)]
-    df = spark.createDataFrame(rows, "a int, b bigint").select("a", "b", F.xxhash64(F.lit("seed|x"), "a", "b", "a").alias("h"))
-    start = np.uint64(xxhash.xxh64_intdigest(b"seed|x", 42))
-    with np.errstate(over="ignore"):
-        for r in df.collect():
-            h = hashing.add_int(hashing.add_long(hashing.add_int(start, r.a), r.b), r.a)
-            assert int(np.uint64(h).view(np.int64)) == r.h
+def test_draws_are_alike_in_sql_and_numpy(spark):
+    from tabscale.functions import draws
+
+    rows = [(i * 7919 % draws.PRIME, (i * 104729) % (1 << 30)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    found = df.select(
+        "a", "b", draws.fold(F.col("a"), F.col("b")).alias("f"), draws.pick(draws.fold(F.col("a"), F.col("b")), F.lit(7)).alias("k"),
+        draws.poisson(F.col("a"), draws.fold(F.col("b"), 3), 0.85).alias("w")).toPandas()
+    a, b = found.a.to_numpy(), found.b.to_numpy()
+    f = draws.np_fold(a, b)
+    assert (found.f == f).all() and f[5] == draws.int_fold(int(a[5]), int(b[5]))
+    assert (found.k == draws.np_pick(f, 7)).all() and set(found.k) == set(range(7))
+    assert (found.w == draws.np_poisson(a, draws.np_fold(b, 3), draws.poisson_table(0.85))).all()
+
+
+def test_draws_are_poisson_and_even():
+    from tabscale.functions import draws
+
+    rows, trials = draws.np_fold(11, np.arange(20_000)), draws.np_fold(13, np.arange(50))
+    w = draws.np_poisson(rows[:, None], trials[None, :], draws.poisson_table(0.85))
+    expected = [math.exp(-0.85) * 0.85**k / math.factorial(k) for k in range(5)]
+    assert np.allclose([(w == k).mean() for k in range(5)], expected, atol=0.003)
+    assert np.abs(np.corrcoef(w.T) - np.eye(50)).max() < 0.05
+    u = draws.np_uniform(draws.np_fold(5, np.arange(100_000)))
+    assert np.allclose(np.histogram(u, 10, (0, 1))[0], 10_000, atol=500)
