@@ -68,14 +68,19 @@ def poisson(row: Column, other: Column, mean: float) -> Column:
 
 
 def np_reduce(x: np.ndarray) -> np.ndarray:
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x == PRIME, 0, x)
+    """Products of two numbers below the prime, modulo it."""
+    if x.size < 4000:
+        return x % PRIME
+    out = x >> 31
+    x = x & PRIME
+    out += x
+    out -= (out >= PRIME) * PRIME
+    return out
 
 
 def np_fold(code, value) -> np.ndarray:
     code, value = np.asarray(code, np.int64), np.asarray(value, np.int64)
-    t = np_reduce(code * _A + value * _B + 1)
+    t = (code * _A + value * _B + 1) % PRIME
     s = np_reduce(t * t)
     return np_reduce(np_reduce(s * s) * t)
 

@@ -28,7 +28,8 @@ DIGITS = 9
 # What codes are folded with, by purpose.
 TRIAL, PROBE, PICK, CUT = 7, 11, 3, 5
 # Cells of the embedded trees' tests that are held at once.
-CELLS = 400_000
+CELLS = 120_000
+TINY = 1e-300
 # The largest node number whose children are numbered 2n and 2n + 1.
 NUMBERED = (1 << 61) - 1
 
@@ -113,39 +114,48 @@ def rate_columns(x, stats, codes, code, active, lo, hi, trials, classes, table)
     """
     p, n = x.shape
     m = max(1, math.isqrt(len(active)))
-    kind = np.float32 if classes else np.float64
-    seen = np_fold(codes, code)
+    kind = np.float32 if classes else np.float64  # counts are exact in either
+    copies = np_poisson(np_fold(codes, code)[None, :], np_fold(int_fold(code, TRIAL), np.arange(trials))[:, None], table)
+    probes = []
+    for depth in range(LOOKAHEAD):
+        base = np_fold(np_fold(int_fold(code, PROBE + depth), np.arange(trials))[:, None], np.arange(1 << depth)[None, :])
+        drawn = np_fold(base[:, :, None], np.arange(2 * m))  # a column and a threshold in turn
+        f = active[np_pick(drawn[:, :, 0::2], len(active))]
+        probes.append((f, lo[f] + np_uniform(drawn[:, :, 1::2]) * (hi[f] - lo[f])))
+    # The sums whose squares a gain is made of, and the weights if they are not the sum of those.
+    stats = stats.astype(kind)
+    sums = stats if classes else np.ascontiguousarray(stats[:, :2])
     drops = np.zeros((trials, p))
-    j = np.arange(m)
     step = max(1, CELLS // (n * m << (LOOKAHEAD - 1)))
     for start in range(0, trials, step):
-        e = np.arange(start, min(trials, start + step))
-        copies = np_poisson(seen[None, :], np_fold(int_fold(code, TRIAL), e)[:, None], table)
-        weights = copies[:, :, None].astype(kind) * stats[None].astype(kind)
-        here = np.ones((len(e), 1, n), bool)
-        for depth in range(LOOKAHEAD):
-            size = 1 << depth
-            base = np_fold(np_fold(int_fold(code, PROBE + depth), e)[:, None], np.arange(size)[None, :])[:, :, None]
-            f = active[np_pick(np_fold(base, 2 * j), len(active))]
-            cut = lo[f] + np_uniform(np_fold(base, 2 * j + 1)) * (hi[f] - lo[f])
-            left = (x[f.ravel()] <= cut.reshape(-1, 1)).reshape(len(e), size, m, n)
-            left &= here[:, :, None, :]
-            sums = np.matmul(left.reshape(len(e), size * m, n).astype(kind), weights).reshape(len(e), size, m, -1).astype(float)
-            whole = np.matmul(here.astype(kind), weights).astype(float)
-            _, at_first, squares = _impurity(whole, classes)
-            nl, on_left, _ = _impurity(sums, classes)
-            nr, on_right, _ = _impurity(whole[:, :, None] - sums, classes)
-            drop = at_first[:, :, None] - on_left - on_right
-            valid = (nl > 0) & (nr > 0)
-            won = np.where(valid, _share(drop, np.broadcast_to(squares[:, :, None], drop.shape)), -np.inf).argmax(-1)
-            split = valid.any(-1)
-            a, b = np.nonzero(split)
-            np.add.at(drops, (start + a, f[a, b, won[a, b]]), np.maximum(drop[a, b, won[a, b]], 0.0))
+        drawn = copies[start:start + step]
+        size = len(drawn)
+        here = np.ones((size, 1, n), bool)
+        for depth, (f, cut) in enumerate(probes):
+            f, cut, places = f[start:start + step], cut[start:start + step], 1 << depth
+            left = np.take(x, f.ravel(), axis=0) <= cut.reshape(-1, 1)
+            left = left.reshape(size, places, m, n)
+            if depth:
+                left &= here[:, :, None, :]
+            # One matrix product over all tests: how often a row was drawn is part of the test.
+            on_left = ((left.view(np.int8) * drawn[:, None, None, :]).reshape(-1, n).astype(kind) @ sums).reshape(size, places, m, -1).astype(float)
+            whole = ((here.view(np.int8) * drawn[:, None, :]).reshape(-1, n).astype(kind) @ stats).reshape(size, places, -1).astype(float)
+            squares = whole.sum(-1) if classes else whole[:, :, 2]
+            nl, a = _gain(on_left, classes)
+            nr, b = _gain(whole[:, :, None, : on_left.shape[-1]] - on_left, classes)
+            _, c = _gain(whole, classes)
+            drop = a + b - c[:, :, None]
+            share = np.round(drop / np.maximum(squares, TINY)[:, :, None], DIGITS)
+            share[(nl <= 0) | (nr <= 0)] = -np.inf
+            won = share.argmax(-1)
+            e, q = np.nonzero(share.max(-1) > -np.inf)
+            best = won[e, q]
+            np.add.at(drops, (start + e, f[e, q, best]), np.maximum(drop[e, q, best], 0.0))
             if depth < LOOKAHEAD - 1:
-                rows, places = np.arange(len(e))[:, None], np.arange(size)[None, :]
-                chosen = left[rows, places, won]
-                open_ = here & split[:, :, None]
-                here = np.stack([chosen & open_, ~chosen & open_], axis=2).reshape(len(e), 2 * size, n)
+                chosen, open_ = left[e, q, best], here[e, q]
+                here = np.zeros((size, 2 * places, n), bool)
+                here[e, 2 * q] = chosen
+                here[e, 2 * q + 1] = open_ & ~chosen
     total = drops.sum(axis=1)
     some = total > 0
     if not some.any():
@@ -154,6 +164,15 @@ def rate_columns(x, stats, codes, code, active, lo, hi, trials, classes, table)
     return value / value.sum()
 
 
+def _gain(s: np.ndarray, classes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Weight, and squared sums over it: what a side takes off the node's squares."""
+    if classes:
+        w = s.sum(-1)
+        return w, (s * s).sum(-1) / np.maximum(w, TINY)
+    w, wy = s[..., 0], s[..., 1]
+    return w, wy * wy / np.maximum(w, TINY)
+
+
 def muted(active: np.ndarray, importance: np.ndarray, rate: float, p: int) -> np.ndarray:
     weakest = np.lexsort((np.arange(p), importance))[: max(1, math.floor(p * rate))]
     inside = np.zeros(p, bool)
