@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.rand import hash_normal_array, hash_uniform
 from ..session import cut_lineage
+from . import forest
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -53,6 +54,21 @@ def ml_scorer(model, label: int | None = None) -> Scorer:
     return score
 
 
+def forest_scorer(model: forest.Forest, label: float | None = None) -> Scorer:
+    """Score with a grown forest: its prediction, or the share of its trees that vote for class ``label``."""
+
+    def score(df: DataFrame) -> DataFrame:
+        kept = df.withColumn("row_id", F.monotonically_increasing_id())
+        if label is None:
+            return forest.predict(model, kept).select(*df.columns, "prediction")
+        known = forest.classes_of(model)
+        counted = forest.tally(model, kept, [0] * len(model.trees), "_tally")
+        share = F.get("_tally", F.lit(known.index(label))) / len(model.trees) if label in known else F.lit(0.0)
+        return counted.select(*df.columns, share.alias("prediction"))
+
+    return score
+
+
 def background(df: DataFrame, key: str, k: int = BACKGROUND, seed=42) -> DataFrame:
     """At most ``k`` random rows, without replacement: the sample is the operator."""
     u = hash_uniform(f"{seed}|background", key)

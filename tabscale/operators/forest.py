@@ -63,7 +63,7 @@ class Forest:
 
     def nodes(self) -> DataFrame:
         """All nodes of all trees."""
-        return self.table.select("tree", "node", "left", "right", "depth", "n", "value", "fs", "ws", "threshold")
+        return self.table.select("tree", "node", "left", "right", "depth", "n", "value", "loss", "fs", "ws", "threshold")
 
     @property
     def importances(self) -> DataFrame:
@@ -285,13 +285,19 @@ def _attach(df: DataFrame, table: DataFrame, small: bool, keys=("tree", "at"), h
     return df.join(F.broadcast(table) if small else table, list(keys), how)
 
 
+def _carried(state: DataFrame) -> list[str]:
+    return ["x", "c", "y", "code"] + (["ys"] if "ys" in state.columns else [])
+
+
 def _slots(state: DataFrame) -> DataFrame:
-    return state.select("row_id", "x", "c", "y", "code", F.posexplode(F.arrays_zip("w", "at")).alias("tree", "s")).select(
-        "row_id", "x", "c", "y", "code", "tree", "s.w", "s.at")
+    return state.select("row_id", *_carried(state), F.posexplode(F.arrays_zip("w", "at")).alias("tree", "s")).select(
+        "row_id", *_carried(state), "tree", "s.w", "s.at")
 
 
 def _samples(state: DataFrame) -> DataFrame:
-    return _slots(state).where("at >= 0 AND w > 0")
+    """The rows in flight; trees with targets of their own get these."""
+    found = _slots(state).where("at >= 0 AND w > 0")
+    return found.withColumn("y", F.get("ys", F.col("tree"))).drop("ys") if "ys" in state.columns else found
 
 
 def _descend(slots: DataFrame, level: DataFrame, small: bool, most: int) -> DataFrame:
@@ -306,8 +312,8 @@ def step(state: DataFrame, level: DataFrame, most: int) -> DataFrame:
     """Move every row one level down in every tree by a shuffled join; the slots are put together again."""
     moved = _descend(_slots(state), level, False, most)
     back = moved.groupBy("row_id").agg(
-        *[F.first(c).alias(c) for c in ("x", "c", "y", "code")], F.array_sort(F.collect_list(F.struct("tree", "w", "at"))).alias("s"))
-    return back.select("row_id", "x", "c", "y", "code", *[F.col(f"s.{n}").alias(n) for n in ("w", "at")])
+        *[F.first(c).alias(c) for c in _carried(state)], F.array_sort(F.collect_list(F.struct("tree", "w", "at"))).alias("s"))
+    return back.select("row_id", *_carried(state), *[F.col(f"s.{n}").alias(n) for n in ("w", "at")])
 
 
 def _plan(level: DataFrame, most: int) -> dict[int, dict[str, np.ndarray]]:
@@ -427,17 +433,25 @@ def _whole_trees(state: DataFrame, configs: list[tuple[int, float]], rule: Rule,
     cores = state.sparkSession.sparkContext.defaultParallelism
     each = max(1, len(configs) // max(64, 8 * cores))
     blocks = math.ceil(len(configs) / each)
-    lo, hi = (np.array(e, dtype=float) for e in _ends(state))
+    lo = hi = np.zeros(rule.p)
+    if rule.kind == MUTED:
+        lo, hi = (np.array(e, dtype=float) for e in _ends(state))
+    own = ["ys"] if "ys" in state.columns else []
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    dealt = state.select("row_id", "x", "c", "y", "code", "w", block).withColumn("w", F.slice("w", F.col("block") * each + 1, each))
+    dealt = state.select("row_id", "x", "c", "y", "code", "w", *own, block)
+    for name in ("w", *own):
+        dealt = dealt.withColumn(name, F.slice(name, F.col("block") * each + 1, each))
 
     def fit(table: pa.Table) -> pa.Table:
         first = table["block"][0].as_py() * each
         grower, table = trees.grower(rule, table)
         weights = trees.matrix(table["w"])
+        targets = trees.matrix(table["ys"]) if own else None
 
         def found():
             for i in range(weights.shape[1]):
+                if targets is not None:
+                    grower.y = targets[:, i]
                 k, rate = configs[first + i]
                 code = int_fold(rule.seed, first + i)
                 yield from grower.grow(trees.Start(first + i, 1, code, 0, k, rate, np.arange(rule.p), lo, hi), weights[:, i])
@@ -480,8 +494,7 @@ def _by_levels(state, configs, rule, parts, limit, gather, n_rows, most) -> Data
     while size:
         small = size <= limit and size * (width + probes) <= NODE_BYTES
         samples = _samples(state)
-        values = leaf_values(samples, ["tree", "at"], CLASSIFICATION if rule.classes else REGRESSION)
-        known = cut_lineage(nodes.join(values.withColumn("value", F.col("value") + F.lit(rule.centre)), ["tree", "at"]))
+        known = cut_lineage(nodes.join(_node_values(samples, rule), ["tree", "at"]))
         fit = known.where(F.col("n") <= gather)
         if not fit.isEmpty():
             found.append(cut_lineage(_subtrees(samples, fit, rule, parts, small)))
@@ -502,6 +515,23 @@ def _by_levels(state, configs, rule, parts, limit, gather, n_rows, most) -> Data
     return cut_lineage(out)
 
 
+def _node_values(samples: DataFrame, rule: Rule) -> DataFrame:
+    """(tree, at, n, value, loss) of the nodes in flight."""
+    values = leaf_values(samples, ["tree", "at"], CLASSIFICATION if rule.classes else REGRESSION)
+    w, y = F.col("w"), F.col("y")
+    by_class = samples.groupBy("tree", "at", "c").agg(
+        F.sum("w").alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"), F.sum(w * F.abs(y) * (1 - F.abs(y))).alias("curve"))
+    more = by_class.groupBy("tree", "at").agg(
+        impurity(w, F.col("wy") ** 2, F.col("wyy")).alias("loss"), F.sum("wy").alias("wy"), F.sum("curve").alias("curve"))
+    joined = values.join(more, ["tree", "at"])
+    if rule.newton:
+        step_ = F.col("wy") / F.col("curve") * ((rule.newton - 1) / rule.newton)
+        value = F.when(F.col("curve") > 1e-150, step_).otherwise(F.lit(0.0))
+    else:
+        value = F.col("value") + F.lit(rule.centre)
+    return joined.select("tree", "at", "n", value.alias("value"), "loss")
+
+
 def _child(side: int) -> Column:
     far = F.pmod(F.xxhash64("node"), F.lit(1 << 60))
     return F.when((F.col("node") > 0) & (F.col("node") <= trees.NUMBERED), 2 * F.col("node") + side).otherwise(-1 - side - 2 * far)
@@ -510,7 +540,7 @@ def _child(side: int) -> Column:
 def _numbered(level: DataFrame) -> DataFrame:
     split = F.col("fs").isNotNull()
     return level.select(
-        "tree", "node", F.when(split, _child(0)).alias("left"), F.when(split, _child(1)).alias("right"), "depth", "n", "value", "fs", "ws", "threshold",
+        "tree", "node", F.when(split, _child(0)).alias("left"), F.when(split, _child(1)).alias("right"), "depth", "n", "value", "loss", "fs", "ws", "threshold",
         F.when(F.col("depth") == 0, F.col("importance")).alias("importance"))
 
 
@@ -732,6 +762,19 @@ def forest_importance(forest: Forest, per_config: bool = False) -> DataFrame:
     return rows.groupBy(F.get(names, F.col("tree")).alias("config"), "feature").agg(F.avg("importance").alias("importance"))
 
 
+def gain_importance(forest: Forest) -> DataFrame:
+    """(feature, importance): mean over the trees of each column's share of the impurity that the splits take off."""
+    nodes = forest.table
+    child = {s: nodes.select("tree", F.col("node").alias(s), F.col("loss").alias(f"_{s}")) for s in ("left", "right")}
+    split = nodes.where("left IS NOT NULL").join(child["left"], ["tree", "left"]).join(child["right"], ["tree", "right"])
+    gains = split.select("tree", F.get("fs", F.lit(0)).alias("feature"), F.greatest(F.col("loss") - F.col("_left") - F.col("_right"), F.lit(0.0)).alias("gain"))
+    by_tree = gains.groupBy("tree", "feature").agg(F.sum("gain").alias("gain"))
+    total = by_tree.groupBy("tree").agg(F.sum("gain").alias("total")).where("total > 0")
+    shares = by_tree.join(total, "tree").groupBy("feature").agg((F.sum(F.col("gain") / F.col("total")) / len(forest.trees)).alias("importance"))
+    every = forest.table.sparkSession.range(forest.n_features).select(F.col("id").cast("int").alias("feature"))
+    return every.join(shares, "feature", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def root_importance(rows: DataFrame, task: str, trials: int = 100, seed: int | str = 42) -> DataFrame:
     """(feature, importance) of the whole table, as its root node would rate the columns."""
     forest, _ = grow(rows, task, [(1, 0.0)], trials=trials, max_depth=1, seed=seed)

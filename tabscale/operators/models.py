@@ -11,22 +11,19 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..session import cut_lineage
+from . import boosting as boosts
 from . import forest
 from .profile import CLASSIFICATION, REGRESSION
 
 OUT = ["row_id", "y", "prediction"]
-# The deepest trees that Spark grows; stands for no limit.
-DEEPEST = 30
-
 
 @dataclass
 class Table:
@@ -87,40 +84,62 @@ def logistic(n_rows: int, c: float = 1.0, l1: bool = False) -> LogisticRegressio
 # --- tree ensembles ------------------------------------------------------------------------------
 
 
-def random_forest(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42, subset: str = "auto"):
-    kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
-    return kind(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy=subset)
+def boosting(task: str, trees: int = 50, depth: int = 3, step: float = 0.1, seed: int = 42):
+    """Boosting of numbers, or of two classes."""
+    kind = GBTRegressor if task == REGRESSION else GBTClassifier
+    return kind(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
 
 
-def boosting(task: str, classes: int = 2, trees: int = 50, depth: int = 3, step: float = 0.1, seed: int = 42):
-    common = {"maxIter": trees, "maxDepth": depth, "stepSize": step, "seed": seed}
-    if task == REGRESSION:
-        return GBTRegressor(labelCol="y", **common)
-    if classes <= 2:
-        return GBTClassifier(labelCol="y", **common)
-    return OneVsRest(labelCol="y", classifier=GBTClassifier(labelCol="y", **common))
+def boosted(table: Table, trees: int = 50, depth: int = 3, step: float = 0.1, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """Boosting; several classes share their stages, one tree per class."""
+    if table.task == REGRESSION or table.n_classes <= 2:
+        return _estimator(lambda t: boosting(t.task, trees, depth, step, seed))(table)
+    model = boosts.multinomial(_array_rows(table.train, table.task), table.n_classes, trees, depth, step, seed)
+
+    def predict(df: DataFrame) -> DataFrame:
+        scored = model.scored(_array_rows(df, table.task))
+        return scored.select("row_id", F.col("c").cast("double").alias("y"), boosts.class_of(F.col("score")).alias("prediction"))
+
+    return predict
 
 
-def _array_rows(df: DataFrame, task: str) -> DataFrame:
-    x = vector_to_array("features").alias("x")
+def _array_rows(df: DataFrame, task: str, columns: list[int] | None = None) -> DataFrame:
+    x = vector_to_array("features")
+    if columns is not None:
+        x = F.transform(F.array(*[F.lit(i) for i in columns]), lambda i: F.get(x, i))
     if task == CLASSIFICATION:
-        return df.select("row_id", x, F.col("y").cast("int").alias("c"), F.lit(1.0).alias("y"))
-    return df.select("row_id", x, F.lit(0).alias("c"), "y")
+        return df.select("row_id", x.alias("x"), F.col("y").cast("int").alias("c"), F.lit(1.0).alias("y"))
+    return df.select("row_id", x.alias("x"), F.lit(0).alias("c"), "y")
 
 
-def extra_trees(table: Table, trees: int = 50, depth: int = forest.MAX_LEVELS, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
-    """Extremely randomised trees, grown level by level without bootstrap."""
+def extra_trees(table: Table, trees: int = 50, depth: int | None = None, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """Extremely randomised trees, without bootstrap."""
     grown, _ = forest.grow(
         _array_rows(table.train, table.task), table.task, [(1, 0.0)] * trees, max_depth=depth, seed=seed, random_cuts=True)
     return lambda df: _forest_predictions(grown, df, table.task)
 
 
-def _forest_predictions(grown: forest.Forest, df: DataFrame, task: str) -> DataFrame:
-    out = forest.predict(grown, _array_rows(df, task))
+def _forest_predictions(grown: forest.Forest, df: DataFrame, task: str, columns: list[int] | None = None) -> DataFrame:
+    out = forest.predict(grown, _array_rows(df, task, columns))
     y = F.col("c").cast("double").alias("y") if task == CLASSIFICATION else F.col("y")
     return out.select("row_id", y, "prediction")
 
 
+def grow_exact(
+    table: Table, trees: int = 50, depth: int | None = None, seed: int | str = 42, tried: int | None = None, split_from: int = 2,
+    columns: list[int] | None = None,
+) -> forest.Forest:
+    """Bootstrapped trees that try every threshold of ``tried`` columns, split from ``split_from`` rows on."""
+    return forest.grow(
+        _array_rows(table.train, table.task, columns), table.task, [(1, 0.0)] * trees, max_depth=depth, seed=seed, exact=True,
+        tried=tried, split_from=split_from)[0]
+
+
+def random_forest(table: Table, trees: int = 50, depth: int | None = None, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    grown = grow_exact(table, trees, depth, seed)
+    return lambda df: _forest_predictions(grown, df, table.task)
+
+
 def muted_forest(
     table: Table, trees: int = 100, k: int = 1, rate: float = 0.5, depth: int = forest.MAX_LEVELS, trials: int = 100, seed: int = 42
 ) -> Callable[[DataFrame], DataFrame]:
@@ -138,30 +157,21 @@ def adapted_width(p: int, kind: str) -> int:
     raise ValueError(f"unknown adaptation {kind}")
 
 
-def _sliced(model, indices: list[int]) -> Callable[[DataFrame], DataFrame]:
-    slicer = VectorSlicer(inputCol="features", outputCol="sliced", indices=indices)
-    return lambda df: model.transform(slicer.transform(df)).select(*OUT)
-
-
-def adapted_forest(table: Table, kind: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42):
+def adapted_forest(table: Table, kind: str, trees: int = 50, depth: int | None = None, seed: int = 42):
     """A forest on the most important columns of a first forest."""
-    first = random_forest(table.task, trees, depth, seed).fit(table.train)
-    rated = first.featureImportances.toArray()
+    rated = {r.feature: r.importance for r in forest.gain_importance(grow_exact(table, trees, depth, seed)).collect()}
     keep = sorted(range(table.n_features), key=lambda i: (-rated[i], i))[: adapted_width(table.n_features, kind)]
-    slicer = VectorSlicer(inputCol="features", outputCol="sliced", indices=keep)
-    second = random_forest(table.task, trees, depth, seed + 1).setFeaturesCol("sliced").fit(slicer.transform(table.train))
-    return _sliced(second, keep)
+    second = grow_exact(table, trees, depth, seed + 1, columns=keep)
+    return lambda df: _forest_predictions(second, df, table.task, keep)
 
 
-def naive_forest(table: Table, features_importance: list[float], rate: float, trees: int = 100, depth: int = DEEPEST, seed: int = 42):
-    """A forest on the columns with the strongest marginal signal."""
+def naive_forest(table: Table, features_importance: list[float], rate: float, trees: int = 100, depth: int | None = None, seed: int = 42):
+    """A forest on the columns with the strongest marginal signal; nodes are split from the smallest size on."""
     p = table.n_features
     keep = sorted(range(p), key=lambda i: (features_importance[i], i))[-forest.marginal_keep(p, rate):]
-    subset = str(min(forest.naive_subset(p, rate), len(keep)))
-    model = random_forest(table.task, trees, depth, seed, subset).setFeaturesCol("sliced")
-    model = model.setMinInstancesPerNode(max(1, forest.smallest_node(table.n_rows) // 2))
-    slicer = VectorSlicer(inputCol="features", outputCol="sliced", indices=keep)
-    return _sliced(model.fit(slicer.transform(table.train)), keep)
+    grown = grow_exact(
+        table, trees, depth, seed, min(forest.naive_subset(p, rate), len(keep)), max(2, forest.smallest_node(table.n_rows)), keep)
+    return lambda df: _forest_predictions(grown, df, table.task, keep)
 
 
 # --- additive trees ---------------------------------------------------------------------------------
@@ -179,22 +189,21 @@ def sigmoid(x: Column) -> Column:
 @dataclass
 class AdditiveTrees:
     task: str
-    base: float
-    shrinkage: float
-    models: list
+    model: boosts.Boosted
     residuals: list[float]  # mean absolute residual after each tree
 
+    @property
+    def base(self) -> float:
+        return self.model.base[0]
+
     def score(self, df: DataFrame) -> DataFrame:
-        total = F.lit(self.base)
-        for i, model in enumerate(self.models):
-            df = model.setPredictionCol(f"_t{i}").transform(df)
-            total = total + self.shrinkage * F.col(f"_t{i}")
-        return df.withColumn("score", total).drop(*[f"_t{i}" for i in range(len(self.models))])
+        scored = self.model.scored(_array_rows(df, self.task), "_sums")
+        y = F.col("c").cast("double").alias("y") if self.task == CLASSIFICATION else F.col("y")
+        return scored.select("row_id", y, F.get("_sums", F.lit(0)).alias("score"))
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        out = self.score(df)
         value = F.col("score") if self.task == REGRESSION else (sigmoid(F.col("score")) > 0.5).cast("double")
-        return out.withColumn("prediction", value).select(*OUT)
+        return self.score(df).withColumn("prediction", value).select(*OUT)
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         p = sigmoid(F.col("score"))
@@ -202,27 +211,26 @@ class AdditiveTrees:
 
 
 def additive_trees(table: Table, trees: int = 20, depth: int = 2, shrinkage: float = 0.1, seed: int = 42) -> AdditiveTrees:
-    """Shallow trees on the residuals, each added at the shrinkage rate.
+    """Shallow exact trees on the residuals, each added at the shrinkage rate.
 
-    A node is split from a twentieth of the rows on (five at least). Spark limits the
-    rows of children instead, so half of that is what either side needs.
+    A node is split from a twentieth of the rows on (five at least).
     """
-    least = max(5, table.n_rows // 20)
     base = table.train.agg(bart_base(F.avg("y"), table.task)).first()[0]
-    state = table.train.withColumn("score", F.lit(base))
-    models, residuals = [], []
-    for i in range(trees):
-        fitted = F.col("score") if table.task == REGRESSION else sigmoid(F.col("score"))
-        rows = state.withColumn("residual", F.col("y") - fitted)
-        tree = DecisionTreeRegressor(labelCol="residual", predictionCol="_t", maxDepth=depth, minInstancesPerNode=max(1, least // 2), seed=seed + i)
-        model = tree.fit(rows)
-        models.append(model)
-        state = model.transform(state).withColumn("score", F.col("score") + shrinkage * F.col("_t")).drop("_t")
-        if (i + 1) % 5 == 0:
-            state = cut_lineage(state)
-        fitted = F.col("score") if table.task == REGRESSION else sigmoid(F.col("score"))
-        residuals.append(state.agg(F.avg(F.abs(F.col("y") - fitted))).first()[0])
-    return AdditiveTrees(table.task, base, shrinkage, models, residuals)
+    y = F.col("y") if table.task == REGRESSION else F.col("c")
+
+    def residual(score: Column) -> Column:
+        s = F.get(score, F.lit(0))
+        return y - (s if table.task == REGRESSION else sigmoid(s))
+
+    residuals: list[float] = []
+
+    def note(scored: DataFrame) -> None:
+        residuals.append(scored.agg(F.avg(F.abs(residual(F.col("_score"))))).first()[0])
+
+    model = boosts.fit(
+        _array_rows(table.train, table.task), [base], lambda s: F.array(residual(s)), trees, depth, shrinkage,
+        split_from=max(5, table.n_rows // 20), seed=seed, after=note)
+    return AdditiveTrees(table.task, model, residuals)
 
 
 # --- running many models ---------------------------------------------------------------------------------
@@ -238,25 +246,25 @@ def _estimator(make: Callable[[Table], object]) -> Fit:
     return fit
 
 
-def competitors(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42) -> dict[str, Fit]:
+def competitors(task: str, trees: int = 50, depth: int | None = None, seed: int = 42) -> dict[str, Fit]:
     """The seven competitors by name."""
     linear = _estimator(lambda t: lasso(1.0)) if task == REGRESSION else _estimator(lambda t: logistic(t.n_rows, l1=True))
     return {
-        "Random_Forest": _estimator(lambda t: random_forest(task, trees, depth, seed)),
+        "Random_Forest": lambda t: random_forest(t, trees, depth, seed),
         "RF-log(p)": lambda t: adapted_forest(t, "log_p", trees, depth, seed),
         "RF-√p": lambda t: adapted_forest(t, "sqrt_p", trees, depth, seed),
-        "GradientBoosting": _estimator(lambda t: boosting(task, t.n_classes, trees, seed=seed)),
+        "GradientBoosting": lambda t: boosted(t, trees, seed=seed),
         "ExtraTrees": lambda t: extra_trees(t, trees, depth, seed),
         "Lasso": linear,
         "BART": lambda t: additive_trees(t, seed=seed),
     }
 
 
-def baselines(task: str, trees: int = 50, depth: int = DEEPEST, seed: int = 42) -> dict[str, Fit]:
+def baselines(task: str, trees: int = 50, depth: int | None = None, seed: int = 42) -> dict[str, Fit]:
     """Standard models: linear ones and ensembles."""
     ensembles = {
-        "Random Forest": _estimator(lambda t: random_forest(task, trees, depth, seed)),
-        "Gradient Boosting": _estimator(lambda t: boosting(task, t.n_classes, trees, seed=seed)),
+        "Random Forest": lambda t: random_forest(t, trees, depth, seed),
+        "Gradient Boosting": lambda t: boosted(t, trees, seed=seed),
         "Extra Trees": lambda t: extra_trees(t, trees, depth, seed),
     }
     if task == REGRESSION:

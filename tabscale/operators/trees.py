@@ -34,11 +34,11 @@ TINY = 1e-300
 NUMBERED = (1 << 61) - 1
 
 MUTED, RANDOM, EXACT = "muted", "random", "exact"
-NODES = ("tree int, node bigint, left bigint, right bigint, depth int, n bigint, value double, fs array<int>, ws array<double>,"
+NODES = ("tree int, node bigint, left bigint, right bigint, depth int, n bigint, value double, loss double, fs array<int>, ws array<double>,"
          " threshold double, importance array<double>")
 _ARROW = pa.schema([
     ("tree", pa.int32()), ("node", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("depth", pa.int32()), ("n", pa.int64()),
-    ("value", pa.float64()), ("fs", pa.list_(pa.int32())), ("ws", pa.list_(pa.float64())), ("threshold", pa.float64()),
+    ("value", pa.float64()), ("loss", pa.float64()), ("fs", pa.list_(pa.int32())), ("ws", pa.list_(pa.float64())), ("threshold", pa.float64()),
     ("importance", pa.list_(pa.float64()))])
 
 
@@ -63,6 +63,7 @@ class Rule:
     tried: int | None = None
     max_depth: int | None = None
     centre: float = 0.0  # taken off the target before; leaf values get it back
+    newton: int = 0  # classes of a boosting whose leaves are Newton steps; 0 for means
 
 
 @dataclass
@@ -244,7 +245,7 @@ class Grower:
             stats = self._stats(rows, w)
             total = stats.sum(axis=0)
             n = total.sum() if rule.classes else total[0]
-            value = float(self.labels[int(total.argmax())]) if rule.classes else float(total[1] / total[0] + rule.centre)
+            value, loss = self._value(rows, w, total), float(_impurity(total, rule.classes)[1])
             importance, best = None, None
             if n >= rule.split_from and (rule.max_depth is None or depth < rule.max_depth):
                 if rule.kind == MUTED:
@@ -256,11 +257,11 @@ class Grower:
                     best = split(rows, stats, total, code)
             shown = importance.tolist() if importance is not None and depth == 0 else None
             if best is None:
-                yield start.tree, node, None, None, depth, int(n), value, None, None, None, shown
+                yield start.tree, node, None, None, depth, int(n), value, loss, None, None, None, shown
                 continue
             fs, ws, threshold, left = best
             a, b = children(node)
-            yield start.tree, node, a, b, depth, int(n), value, fs, ws, float(threshold), shown
+            yield start.tree, node, a, b, depth, int(n), value, loss, fs, ws, float(threshold), shown
             low, high = lo, hi
             if len(fs) == 1:
                 low, high = lo.copy(), hi.copy()
@@ -268,6 +269,16 @@ class Grower:
             waiting.append((b, int_fold(code, 2), depth + 1, rows[~left], active, low, hi))
             waiting.append((a, int_fold(code, 1), depth + 1, rows[left], active, lo, high))
 
+    def _value(self, rows, w, total) -> float:
+        rule = self.rule
+        if rule.classes:
+            return float(self.labels[int(total.argmax())])
+        if rule.newton:
+            r = np.abs(self.y[rows])
+            curve = float((w * r * (1 - r)).sum())
+            return float(total[1] / curve * (rule.newton - 1) / rule.newton) if curve > 1e-150 else 0.0
+        return float(total[1] / total[0] + rule.centre)
+
     def importance(self, rows, stats, n, code, active, lo, hi) -> np.ndarray:
         p = self.rule.p
         if n < UNIFORM_BELOW:

@@ -222,11 +222,11 @@ def xai_global(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     table = surface(spark, sf)
-    model = models.random_forest("regression", depth=10).fit(table.train)
+    model = models.grow_exact(table)
     rows = [d.select(F.col("row_id").alias("instance"), vector_to_array("features").alias("x")) for d in (table.test, table.train)]
     back = explain.background(rows[1], "instance")
     names = [f"x{j}" for j in range(table.n_features)]
-    return explain.global_importance(explain.ml_scorer(model), rows[0], back, names)
+    return explain.global_importance(explain.forest_scorer(model), rows[0], back, names)
 
 
 def sql_normed(name, source):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform
-from ..operators import forest, models, prepare
+from ..operators import boosting, forest, models, prepare
 from . import fixtures as fx
 from .forest_queries import MARGINAL_SQL, SURFACE_COLUMNS, marginal, surface_table
 from .profile_queries import union
@@ -99,22 +99,22 @@ def ml_logit_l1(spark, sf):
 
 @query("ml_rf")
 def ml_rf(spark, sf):
-    return _scored(orders(spark, sf), models._estimator(lambda t: models.random_forest("regression")), "Random_Forest")
+    return _scored(orders(spark, sf), models.random_forest, "Random_Forest")
 
 
 @query("ml_rf_cls")
 def ml_rf_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.random_forest("classification")), "Random_Forest")
+    return _scored(flags(spark, sf), models.random_forest, "Random_Forest")
 
 
 @query("ml_gbt")
 def ml_gbt(spark, sf):
-    return _scored(surface(spark, sf), models._estimator(lambda t: models.boosting("regression")), "GradientBoosting")
+    return _scored(surface(spark, sf), models.boosted, "GradientBoosting")
 
 
 @query("ml_gbt_cls")
 def ml_gbt_cls(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.boosting("classification", t.n_classes)), "GradientBoosting")
+    return _scored(flags(spark, sf), models.boosted, "GradientBoosting")
 
 
 @query("ml_extra_trees")
@@ -129,6 +129,69 @@ def ml_adapted_rf(spark, sf):
     return models.scores(run, table.task).drop("seconds")
 
 
+# --- exact splits and boosting stages: every threshold tried in SQL ---------------------------
+
+LINE_CELLS = union(f"SELECT {j} AS j, {f} AS v, l_extendedprice AS y FROM lineitem" for j, f in enumerate(fx.LINE_FEATURES))
+
+
+def _split_nodes(model):
+    return model.nodes().select("node", "n", "value", F.get("fs", F.lit(0)).alias("feature"), "threshold")
+
+
+@query("ml_exact_split_reg", f"""WITH cells AS (SELECT j, v, count(*) AS n, sum(y) AS s FROM ({LINE_CELLS}) GROUP BY ALL),
+run AS (SELECT j, v, lead(v) OVER o AS above, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER (PARTITION BY j) AS nt, sum(s) OVER (PARTITION BY j) AS st
+  FROM cells WINDOW o AS (PARTITION BY j ORDER BY v)),
+best AS (SELECT *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) AS gain FROM run WHERE above IS NOT NULL ORDER BY gain DESC, j, v LIMIT 1)
+SELECT CAST(1 AS BIGINT) AS node, CAST(nt AS BIGINT) AS n, st / nt AS value, CAST(j AS INTEGER) AS feature, v + (above - v) / 2 AS threshold FROM best
+UNION ALL SELECT 2, CAST(nl AS BIGINT), sl / nl, NULL, NULL FROM best UNION ALL SELECT 3, CAST(nt - nl AS BIGINT), (st - sl) / (nt - nl), NULL, NULL FROM best""",
+       "value:4 threshold")
+def ml_exact_split_reg(spark, sf):
+    """The first split of a tree that tries every threshold; more rows than one task takes go by running sums."""
+    rows = forest.to_rows(fx.line(spark, sf), "row_id", fx.LINE_FEATURES, "l_extendedprice", "regression")
+    model, _ = forest.grow(rows, "regression", [(1, 0.0)], exact=True, bootstrap=False, max_depth=1)
+    return _split_nodes(model)
+
+
+WIDE_CELLS = f"SELECT unnest(range({fx.WIDE_DIM})) AS j, CAST(unnest(embedding) AS DOUBLE) AS v, label AS c FROM embeddings"
+
+
+@query("ml_exact_split_cls", f"""WITH cells AS (SELECT j, v, c, count(*) AS n FROM ({WIDE_CELLS}) GROUP BY ALL),
+grid AS (SELECT j, v, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT j, v FROM cells) CROSS JOIN (SELECT DISTINCT label AS c FROM embeddings) LEFT JOIN cells USING (j, v, c)),
+run AS (SELECT j, v, c, sum(n) OVER (PARTITION BY j, c ORDER BY v) AS l, sum(n) OVER (PARTITION BY j, c) AS t FROM grid),
+scored AS (SELECT j, v, sum(l) AS nl, sum(t) AS nt, sum(l * l) / sum(l) + sum((t - l) * (t - l)) / nullif(sum(t - l), 0) AS gain, lead(v) OVER (PARTITION BY j ORDER BY v) AS above FROM run GROUP BY j, v),
+best AS (SELECT * FROM scored WHERE above IS NOT NULL ORDER BY gain DESC, j, v LIMIT 1),
+sides AS (SELECT 1 AS node, c, t AS n FROM run JOIN best USING (j, v) UNION ALL SELECT 2, c, l FROM run JOIN best USING (j, v) UNION ALL SELECT 3, c, t - l FROM run JOIN best USING (j, v))
+SELECT CAST(node AS BIGINT) AS node, CAST(sum(n) AS BIGINT) AS n, arg_min(c, (-n, c))::DOUBLE AS value,
+  CASE WHEN node = 1 THEN CAST((SELECT j FROM best) AS INTEGER) END AS feature, CASE WHEN node = 1 THEN (SELECT v + (above - v) / 2 FROM best) END AS threshold
+FROM sides GROUP BY node""", "value threshold")
+def ml_exact_split_cls(spark, sf):
+    rows = forest.to_rows(fx.wide(spark, sf), "vec_id", fx.WIDE_FEATURES, "label", "classification")
+    model, _ = forest.grow(rows, "classification", [(1, 0.0)], exact=True, bootstrap=False, max_depth=1, tried=fx.WIDE_DIM)
+    return _split_nodes(model)
+
+
+@query("ml_gbt_stage", f"""WITH prior AS (SELECT label AS k, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS p, (SELECT count(DISTINCT label) FROM embeddings) AS n_classes FROM embeddings GROUP BY label),
+u AS (SELECT k, n_classes, j, v, (c = k)::INTEGER - p AS r FROM ({WIDE_CELLS}) CROSS JOIN prior),
+cells AS (SELECT k, any_value(n_classes) AS n_classes, j, v, count(*) AS n, sum(r) AS s, sum(abs(r) * (1 - abs(r))) AS h FROM u GROUP BY k, j, v),
+run AS (SELECT k, n_classes, j, v, lead(v) OVER o AS above, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(h) OVER o AS hl, sum(n) OVER w AS nt, sum(s) OVER w AS st, sum(h) OVER w AS ht
+  FROM cells WINDOW o AS (PARTITION BY k, j ORDER BY v), w AS (PARTITION BY k, j)),
+best AS (SELECT *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) AS gain FROM run WHERE above IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, j, v) = 1)
+SELECT CAST(k AS INTEGER) AS class, ln(p) AS log_prior, CAST(j AS INTEGER) AS feature, v + (above - v) / 2 AS threshold, CAST(nl AS BIGINT) AS n_left,
+  (best.n_classes - 1) / best.n_classes::DOUBLE * sl / hl AS value_left, (best.n_classes - 1) / best.n_classes::DOUBLE * (st - sl) / (ht - hl) AS value_right
+FROM best JOIN prior USING (k)""", "log_prior threshold value_left value_right")
+def ml_gbt_stage(spark, sf):
+    """The first stage of boosting for several classes: log priors, and one split per class with Newton leaves."""
+    rows = forest.to_rows(fx.wide(spark, sf), "vec_id", fx.WIDE_FEATURES, "label", "classification")
+    classes = rows.agg(F.max("c")).first()[0] + 1
+    model = boosting.multinomial(rows, classes, stages=1, depth=1)
+    priors = spark.createDataFrame(list(enumerate(model.base)), "class int, log_prior double")
+    nodes = spark.createDataFrame(model.stages[0])
+    side = {s: nodes.select("tree", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("value").alias(f"value_{s}")) for s in ("left", "right")}
+    split = nodes.where("node = 1").join(side["left"], ["tree", "left"]).join(side["right"], ["tree", "right"])
+    return split.join(priors, split.tree == priors["class"]).select(
+        "class", "log_prior", F.get("fs", F.lit(0)).alias("feature"), "threshold", "n_left", "value_left", "value_right")
+
+
 @query("ml_adapted_k", union(
     f"SELECT '{kind}' AS kind, CAST(greatest(1, floor({fn}(len(embedding)))) AS INTEGER) AS k, count(*) AS n FROM embeddings GROUP BY ALL"
     for kind, fn in [("log_p", "ln"), ("sqrt_p", "sqrt")]))

@@ -244,39 +244,55 @@ def test_names_and_sizes():
     assert pd.Series([forest.marginal_keep(10, 0.8), forest.naive_subset(100, 0.5)]).tolist() == [1, 10]
 
 
-def test_registered_ensembles_have_the_default_sizes(monkeypatch):
-    import inspect
+def test_multinomial_boosting_is_the_same_by_levels_and_learns(surface):
+    from tabscale.operators import boosting
 
-    from tabscale.operators import models
-    from tabscale.plans import forest_queries, model_queries
-
-    default = lambda f, name: inspect.signature(f).parameters[name].default
-    assert forest_queries.TREES == default(models.muted_forest, "trees") == 100
-    sizes = []
-
-    def stand_in(f):
-        def run(*args, **kwargs):
-            bound = inspect.signature(f).bind_partial(*args, **kwargs)
-            bound.apply_defaults()
-            sizes.append({k: bound.arguments[k] == default(f, k) for k in ("trees", "depth")})
-            return {} if f.__name__ in ("competitors", "baselines") else (lambda df: df)
-        return run
-
-    for name in ("competitors", "baselines", "random_forest", "boosting", "extra_trees", "adapted_forest", "muted_forest"):
-        monkeypatch.setattr(models, name, stand_in(getattr(models, name)))
-    monkeypatch.setattr(models, "_estimator", lambda make: make)
-    table = type("T", (), {"n_classes": 2, "task": "regression"})()
-    for name in ("orders", "flags", "surface", "halves"):
-        monkeypatch.setattr(model_queries, name, lambda spark, sf: table)
-    monkeypatch.setattr(model_queries, "_scored", lambda t, fit, name: fit(t))
-    monkeypatch.setattr(models, "run_all", lambda t, fits: [fit(t) for fit in fits.values()])
-    monkeypatch.setattr(models, "scores", lambda *a: type("S", (), {"drop": lambda self, c: self})())
-    queries = ("ml_rf", "ml_rf_cls", "ml_gbt_cls", "ml_extra_trees", "ml_adapted_rf", "ml_run_all", "ml_run_all_cls", "ml_baselines", "ml_baselines_reg")
-    for name in queries:
-        getattr(model_queries, name)(None, "")
-    for fit in model_queries._compared("regression").values():
-        fit(table)
-    assert len(sizes) == len(queries) + 1 + 1 + len(forest.GRID) and all(all(x.values()) for x in sizes)
+    rows = _as_classes(surface)
+    a, b = (boosting.multinomial(rows, 3, stages=1, depth=2, gather=g) for g in (20_000, 0))
+    key = lambda m: sorted((r["tree"], r["node"], r["n"], r["fs"], r["threshold"] and round(r["threshold"], 9), round(r["value"], 7)) for r in m.stages[0].to_pylist())
+    assert key(a) == key(b)
+    model = boosting.multinomial(rows, 3, stages=6, depth=2)
+    out = model.scored(rows).select("c", boosting.class_of(F.col("score")).alias("p"))
+    assert out.agg(F.avg((F.col("c") == F.col("p")).cast("int"))).first()[0] > 0.98
+
+
+def test_boosting_equals_a_plain_loop(surface):
+    """Two stages of depth 1 against every threshold tried in numpy."""
+    from tabscale.operators import boosting
+
+    data = _as_classes(surface).toPandas().sort_values("row_id")
+    x, c = np.stack(data.x), data.c.to_numpy()
+    truth = np.eye(3)[c]
+    score = np.tile(np.log(truth.mean(0)), (len(c), 1))
+    for _ in range(2):
+        p = np.exp(score - score.max(1, keepdims=True))
+        res = truth - p / p.sum(1, keepdims=True)
+        for k in range(3):
+            y = res[:, k]
+            _, f, t = min((round(sum(((y[m] - y[m].mean()) ** 2).sum() for m in (x[:, f] <= t, x[:, f] > t)), 7), f, t) for f in range(6) for t in np.sort(x[:, f])[:-1])
+            for m in (x[:, f] <= t, x[:, f] > t):
+                score[m, k] += 0.1 * 2 / 3 * y[m].sum() / (np.abs(y[m]) * (1 - np.abs(y[m]))).sum()
+    model = boosting.multinomial(_as_classes(surface), 3, stages=2, depth=1)
+    found = {r.row_id: r.score for r in model.scored(_as_classes(surface)).collect()}
+    wrong = np.abs(np.array([found[i] for i in data.row_id]) - score).max(axis=1) > 1e-9
+    assert not wrong.any()
+
+
+def test_gain_importance_adds_up(surface):
+    model, _ = forest.grow(surface, "regression", [(1, 0.0)] * 3, exact=True, max_depth=4)
+    rated = {r.feature: r.importance for r in forest.gain_importance(model).collect()}
+    assert sum(rated.values()) == pytest.approx(1) and rated[1] + rated[4] > 0.8 and set(rated) == set(range(6))
+
+
+def test_registered_ensembles_run_at_their_full_size(spark):
+    """Whole registered queries on the smallest tables: as many trees as the library's defaults."""
+    from tabscale.plans import catalogue, forest_queries
+
+    assert forest_queries.TREES == 100
+    votes = catalogue.QUERIES["rf_traverse"](spark, "/root/testdata/sf0.001")
+    assert votes.where(F.size("votes") != 100).isEmpty() and not votes.isEmpty()
+    found = {r.method for r in catalogue.QUERIES["ml_run_all"](spark, "/root/testdata/sf0.001").where("error IS NULL").collect()}
+    assert len(found) == 7
 
 
 def test_many_tables_are_compared_with_the_muted_forest(monkeypatch):
