@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dup, langid, licenses, mixing, near_dup, pseudo_lm, shards, toxicity
+from . import chat, decontaminate, exact_dup, langid, licenses, mixing, near_dup, packing, phrases, pseudo_lm, shards, toxicity, whitening
 from .common import table
 
 
@@ -56,9 +56,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score(docs, pseudo_lm.fit(docs))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_near_dedup, op2_exact_dedup, op3_mix_sources, op4_language_id, op5_chat_format,
-        op6_token_shards, op7_decontaminate, op8_license_scan, op9_toxicity, op10_lm_score)
+        op6_token_shards, op7_decontaminate, op8_license_scan, op9_toxicity, op10_lm_score, op11_phrases, op12_whiten, op13_pack)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dup.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dup.SQL, "op11_phrases": phrases.SQL}
