@@ -4,8 +4,13 @@ A task numbers the words of up to ``SHARD_WORDS`` words of its texts, sorts the
 their first ``DEPTH`` words and keeps the Burrows-Wheeler transform. Starting from the
 interval of each word, every interval is extended to the left by the distinct words of
 its part of the transform, which yields the n-grams to that depth with their counts; the
-runs of next words within an interval are its extensions to the right. The counts of all
-shards are summed by Spark, so a frequent word or phrase is one row per shard.
+runs of next words within an interval are its extensions to the right.
+
+Most n-grams are rare and need not be spelled out. A first pass sums hashed counts across
+the shards, five bytes an n-gram; what may be frequent sets a bit in a map of fixed size.
+The second pass extends only intervals whose bit is set and emits their phrases, whose
+counts Spark sums across the shards exactly. A bit that two n-grams share costs a few more rows,
+nothing else.
 """
 
 from __future__ import annotations
@@ -15,16 +20,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear_names, ready_workers, stored, utf8
+from .common import clear_names, mix, ready_workers, stored, utf8
 
 #: Words of one index: three word numbers must fit 63 bits.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 DEPTH = 3
 #: Fixed values of the contract.
 LEAST, SHOWN, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
+#: Bits of the map of n-grams that may be frequent; its size in bytes is an eighth of it.
+MAP_BITS = 1 << 27
+#: Distinct n-grams that a task gathers before it hands their counts on.
+GATHERED = 4_000_000
+#: Groups of hashes for each part of the input.
+GROUPS_PER_PART = 8
+#: An n-gram's hash within its group, and its count as far as it matters.
+_HASHED = np.dtype([("hash", "<u4"), ("count", "u1")])
 #: Candidates that one task ranks.
 RANKED = 100_000
 
@@ -113,58 +127,154 @@ class Index:
         real = word[new] > 0
         return np.stack([which[new][real], word[new][real]], axis=1), count[real]
 
-    def grams(self, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(patterns, counts) for 1, 2, .. ``depth`` words."""
+    def grams(self, depth: int = DEPTH, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(patterns, counts) for 1, 2, .. ``depth`` words; ``wanted`` says which patterns are kept and extended."""
         level = self.level_one()
-        yield level[0], level[2] - level[1]
-        for _ in range(depth - 1):
-            level = self.extend_left(*level)
+        for size in range(1, depth + 1):
+            if size > 1:
+                level = self.extend_left(*level)
+            if wanted is not None:
+                keep = wanted(level[0])
+                level = tuple(part[keep] for part in level)
             yield level[0], level[2] - level[1]
 
 
-def shard_counts(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], langs: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams of one shard; an empty phrase has the number of all words."""
-    spelled = pa.chunked_array([w for w, _, _ in held], pa.large_string()).combine_chunks().dictionary_encode()
-    lang = np.concatenate([c for _, c, _ in held])
-    first = np.concatenate([f for _, _, f in held])
-    # A word of another language is another symbol.
-    mixed = lang.astype(np.int64) * max(1, len(spelled.dictionary)) + spelled.indices.to_numpy(zero_copy_only=False)
-    symbols, numbers = np.unique(mixed, return_inverse=True)
-    of_lang, of_word = np.divmod(symbols, max(1, len(spelled.dictionary)))
-    texts = spelled.dictionary.take(pa.array(of_word)).cast(pa.string())
-    names = pa.array(langs, pa.string())
+class Shard:
+    """Some texts' words as numbers by language, with their spelling and hashes."""
+
+    def __init__(self, held: list[tuple[pa.Array, np.ndarray, np.ndarray]], langs: list[str]):
+        spelled = pa.chunked_array([w for w, _, _ in held], pa.large_string()).combine_chunks().dictionary_encode()
+        self.lang = np.concatenate([c for _, c, _ in held])
+        first = np.concatenate([f for _, _, f in held])
+        # A word of another language is another symbol.
+        wide = max(1, len(spelled.dictionary))
+        symbols, numbers = np.unique(self.lang.astype(np.int64) * wide + spelled.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        self.of_lang, of_word = np.divmod(symbols, wide)
+        self.words = spelled.dictionary.take(pa.array(of_word)).cast(pa.string())
+        self.names = langs
+        in_lang = np.array([xxhash.xxh64_intdigest(v.encode()) for v in langs], np.uint64)
+        by_word = np.array([xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.binary()).to_pylist()], np.uint64)
+        self.hashes = mix(by_word ^ mix(in_lang)[self.of_lang])
+        self.index = Index(numbers + 1, first)
+
+    def hash(self, patterns: np.ndarray) -> np.ndarray:
+        out = self.hashes[patterns[:, 0] - 1]
+        with np.errstate(over="ignore"):
+            for i in range(1, patterns.shape[1]):
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[patterns[:, i] - 1])
+        return out
+
+    def spell(self, patterns: np.ndarray) -> pa.Array:
+        parts = [self.words.take(pa.array(patterns[:, i] - 1)) for i in range(patterns.shape[1])]
+        return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
+
+
+def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[Shard]:
+    held, size, codes = [], 0, {}
+    for batch in batches:
+        lang = [codes.setdefault("und" if v is None else v, len(codes)) for v in batch["lang"].to_pylist()]
+        found, row, first = words(batch["text"])
+        lang = np.array(lang, np.int64)[row] if len(row) else np.zeros(0, np.int64)
+        for start, stop in _cuts(first, shard_words):
+            if size and size + stop - start > shard_words:
+                yield Shard(held, list(codes))
+                held, size = [], 0
+            held.append((found.slice(start, stop - start), lang[start:stop], first[start:stop]))
+            size += stop - start
+    if size:
+        yield Shard(held, list(codes))
+
+
+def _added(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and their summed counts up to ``most``."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[begin], np.minimum(np.add.reduceat(counts, begin), most) if len(begin) else counts
+
+
+def _hashed(shard_words: int, group_bits: int, least: int):
+    """First pass: the counts of hashed n-grams, a run of them for each group of hashes."""
+
+    def rows(held) -> pa.RecordBatch:
+        hashes, counts = _added(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]), least)
+        group = (hashes >> np.uint64(64 - group_bits)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        data = np.empty(len(hashes), _HASHED)
+        data["hash"], data["count"] = (hashes >> np.uint64(32 - group_bits)).astype(np.uint32), counts
+        ends = np.append(begin, len(hashes)) * _HASHED.itemsize
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(group[begin], pa.int32()), blobs], names=["part", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for shard in _shards(batches, shard_words):
+            for patterns, counts in shard.index.grams():
+                held.append((shard.hash(patterns), np.minimum(counts, least)))
+                size += len(counts)
+            if size > GATHERED:
+                held = [_added(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]), least)]
+                size = len(held[0][0])
+                if size > GATHERED // 2:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _bit(groups: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (mix((groups.astype(np.uint64) << np.uint64(32)) | hashes.astype(np.uint64)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+
+
+def _maybe_frequent(least: int):
+    def run(part: pa.Table) -> pa.Table:
+        group = part["part"][0].as_py()
+        data = np.concatenate([np.frombuffer(b.as_buffer(), _HASHED) for b in part["data"]])
+        hashes, counts = _added(data["hash"], data["count"].astype(np.int64), least)
+        keep = hashes[counts >= least]
+        return pa.table({"bit": pa.array(_bit(np.full(len(keep), group), keep), pa.int64())})
 
-    def rows(codes: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def frequent_map(texts: DataFrame, shard_words: int, least: int) -> tuple[np.ndarray, int]:
+    """The map of n-grams that may occur ``least`` times, as 64-bit words, and the bits of a hash's group."""
+    group_bits = max(1, (GROUPS_PER_PART * texts.rdd.getNumPartitions() - 1).bit_length())
+    hashed = texts.mapInArrow(_hashed(shard_words, group_bits, least), "part int, data binary")
+    bits = hashed.groupBy("part").applyInArrow(_maybe_frequent(least), "bit bigint")
+    set_ = F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))")
+    found = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(set_.alias("v")).toArrow()
+    held = np.zeros(MAP_BITS // 64, np.int64)
+    held[found["at"].to_numpy()] = found["v"].to_numpy()
+    return held.view(np.uint64), group_bits
+
+
+def _spelled(shard_words: int, shared, group_bits: int):
+    """Second pass: the phrases that may be frequent; an empty phrase has the number of all words."""
+
+    def batch(names, codes, phrases, counts) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(counts), 50_000):
             part = slice(start, start + 50_000)
             yield pa.RecordBatch.from_arrays(
                 [names.take(pa.array(codes[part])), phrases.slice(start, 50_000), pa.array(counts[part], pa.int64())], names=["lang", "phrase", "f"])
 
-    totals = np.bincount(lang, minlength=len(langs))
-    seen = np.flatnonzero(totals)
-    yield from rows(seen, pa.array([""] * len(seen), pa.string()), totals[seen])
-    for patterns, counts in Index(numbers + 1, first).grams():
-        parts = [texts.take(pa.array(patterns[:, i] - 1)) for i in range(patterns.shape[1])]
-        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield from rows(of_lang[patterns[:, 0] - 1], phrase, counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for shard in _shards(batches, shard_words):
+            names = pa.array(shard.names, pa.string())
 
+            def wanted(patterns: np.ndarray) -> np.ndarray:
+                h = shard.hash(patterns)
+                bit = _bit((h >> np.uint64(64 - group_bits)), (h >> np.uint64(32 - group_bits)).astype(np.uint32))
+                return (known[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
 
-def _count(shard_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, codes = [], 0, {}
-        for batch in batches:
-            lang = [codes.setdefault("und" if v is None else v, len(codes)) for v in batch["lang"].to_pylist()]
-            found, row, first = words(batch["text"])
-            lang = np.array(lang, np.int64)[row] if len(row) else np.zeros(0, np.int64)
-            # A text that is longer than a shard is cut between pieces, or within a piece with the words it shares repeated.
-            for start, stop in _cuts(first, shard_words):
-                if size and size + stop - start > shard_words:
-                    yield from shard_counts(held, list(codes))
-                    held, size = [], 0
-                held.append((found.slice(start, stop - start), lang[start:stop], first[start:stop]))
-                size += stop - start
-        if size:
-            yield from shard_counts(held, list(codes))
+            totals = np.bincount(shard.lang, minlength=len(shard.names))
+            seen = np.flatnonzero(totals)
+            yield from batch(names, seen, pa.array([""] * len(seen), pa.string()), totals[seen])
+            for patterns, counts in shard.index.grams(wanted=wanted):
+                yield from batch(names, shard.of_lang[patterns[:, 0] - 1], shard.spell(patterns), counts)
 
     return run
 
@@ -191,7 +301,10 @@ def counts(docs: DataFrame, shard_words: int = SHARD_WORDS, least: int = LEAST)
     count each; other columns are ignored. Texts of any length are counted whole.
     """
     ready_workers(docs.sparkSession)
-    found = clear_names(docs, "text", "lang").select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count(shard_words), _COUNTS)
+    texts = clear_names(docs, "text", "lang").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    known, group_bits = frequent_map(texts, shard_words, least)
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # MAP_BITS bits at any input
+    found = texts.mapInArrow(_spelled(shard_words, shared, group_bits), _COUNTS)
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
