@@ -47,3 +47,14 @@ def test_stages_take_hostile_and_empty_tables(spark):
 def test_rejected_documents_go(spark):
     out = {r["doc_id"] for r in pipeline.language(spark, stored(frame(spark, HOSTILE), "hostile"), SF).collect()}
     assert not out & {2, 3, 4, 5}
+
+
+def test_columns_named_like_predictions_keep_their_values(spark):
+    from pyspark.sql import functions as F
+
+    docs = stored(table(spark, SF, "documents").select(
+        "*", F.concat(F.lit("quality-"), F.col("doc_id")).alias("score"), F.lit(7).alias("lang_pred"), F.col("doc_id").alias("Rejected"),
+        F.lit("x").alias("_own_5")), "clashing")
+    out = pipeline.language(spark, docs, SF)
+    assert out.schema == docs.schema and out.count() > 150
+    assert out.where("score <> concat('quality-', doc_id) OR lang_pred <> 7 OR Rejected <> doc_id OR _own_5 <> 'x'").count() == 0
