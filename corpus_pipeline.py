@@ -16,9 +16,18 @@ from tabscale.llm.common import narrow_join, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; the label column is left as it is."""
+    """Documents whose language is told with confidence; all columns are left as they are.
+
+    Texts that are null or without a letter go. Columns named like those that the prediction adds
+    step aside for it and come back unchanged; repeated rows, null ids, very long
+    texts and an empty table need nothing special.
+    """
     model = langid.fit(docs)
-    return langid.predict(docs, model, keep=docs.columns).where("NOT rejected").select(*docs.columns)
+    aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "rejected")}
+    while set(aside.values()) & set(docs.columns):
+        aside = {c: f"_{v}" for c, v in aside.items()}
+    found = langid.predict(docs.withColumnsRenamed(aside), model).where("NOT rejected").drop("lang_pred", "score", "rejected")
+    return found.withColumnsRenamed({v: c for c, v in aside.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
