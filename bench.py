@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR picks the tables, BENCH_CPUS the local cores, BENCH_QUERIES a
-comma-separated subset.
+comma-separated subset. After BENCH_SECONDS the line lists what was timed until then, and
+under ``unfinished`` the queries that were not.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 import time
 
 from tabscale.plans import catalogue
@@ -30,7 +32,21 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES")
     names = names.split(",") if names else HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), memory="16g")
-    run = {}
+    run: dict[str, float] = {}
+
+    def line() -> str:
+        unfinished = [n for n in names if n not in run]
+        return json.dumps({
+            "metric": "headline_total_seconds", "value": round(sum(run.values()), 3), "unit": "sec", "queries": run,
+            "sf": os.path.basename(sf_dir.rstrip("/"))} | ({"unfinished": unfinished} if unfinished else {}))
+
+    def stop() -> None:
+        print(line(), flush=True)
+        os._exit(0)
+
+    timer = threading.Timer(float(os.environ.get("BENCH_SECONDS", "1500")), stop)
+    timer.daemon = True
+    timer.start()
     for i, name in enumerate([names[0], *names]):  # the first run warms the JVM up
         start = time.perf_counter()
         catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -38,9 +54,8 @@ def main() -> None:
             run[name] = round(time.perf_counter() - start, 3)
             print(name, run[name], file=sys.stderr, flush=True)
         spark.catalog.clearCache()
-    total = round(sum(run.values()), 3)
-    print(json.dumps({
-        "metric": "headline_total_seconds", "value": total, "unit": "sec", "queries": run, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    timer.cancel()
+    print(line())
 
 
 if __name__ == "__main__":

@@ -7,18 +7,21 @@ all instances in one batch.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.rand import hash_normal_array, hash_uniform
-from ..session import cut_lineage
+from ..session import cut_lineage, ready_workers
 from . import forest
+from .trees import matrix
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -114,6 +117,90 @@ def shapley(scorer: Scorer, rows: DataFrame, back: DataFrame, features: list[str
         (F.sum("v") / float(size * rounds)).alias("phi")).select("instance", F.get(names, F.col("j")).alias("feature"), "phi")
 
 
+def coalitions(p: int, most: int, seed=42) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(masks, weights, whether all): the proper subsets of ``p`` features for the kernel estimator.
+
+    All of them if they are at most ``most``. Else whole sizes are taken from the outside in, a size
+    with its complement, while they fit; the others are drawn by the kernel, each with its complement,
+    and share the weight of the sizes that were left.
+    """
+    share = {k: (p - 1) / (k * (p - k)) for k in range(1, p)}
+    total = sum(share.values())
+    masks, weights, left = [], [], list(range(1, p))
+    while left:
+        pair = sorted({left[0], left[-1]})
+        subsets = sum(math.comb(p, k) for k in pair)
+        if len(masks) + subsets > most:
+            break
+        for k in pair:
+            for chosen in itertools.combinations(range(p), k):
+                masks.append([j in chosen for j in range(p)])
+                weights.append(share[k] / math.comb(p, k) / total)
+            left.remove(k)
+    if left:
+        rng = np.random.default_rng(seed)
+        odds = np.array([share[k] for k in left])
+        pairs = max(1, (most - len(masks)) // 2)
+        for k in rng.choice(left, pairs, p=odds / odds.sum()):
+            mask = np.zeros(p, bool)
+            mask[rng.choice(p, k, replace=False)] = True
+            for m in (mask, ~mask):
+                masks.append(m.tolist())
+                weights.append(odds.sum() / total / (2 * pairs))
+    return np.array(masks, bool).reshape(-1, p), np.array(weights), not left
+
+
+def kernel_shapley(scorer: Scorer, rows: DataFrame, back: DataFrame, features: list[str], most: int | None = None, seed=42) -> DataFrame:
+    """(instance, feature, phi, error) by weighted least squares over coalitions of features.
+
+    A coalition is worth the mean score of the background with the coalition's features taken from the instance. The
+    values add up to the score less the mean score of the background. At most ``most`` coalitions (2048 and
+    two per feature by default) are scored, the same for all instances, so the solution is one matrix.
+    ``error`` is the standard error of the fit, 0 where every coalition was scored.
+    """
+    ready_workers(rows.sparkSession)
+    p = len(features)
+    masks, weights, every = coalitions(p, 2048 + 2 * p if most is None else most, seed)
+    spark = rows.sparkSession
+    numbered = cut_lineage(back.select(F.col("x").alias("_back"), (F.row_number().over(Window.orderBy("x")) - 1).alias("_b")))
+    size = numbered.count()
+    if size > MOST_BACKGROUND:
+        raise ValueError(f"a background of {size} rows is not a sample; take one with background()")
+    listed = [[False] * p, *masks.tolist(), [True] * p]
+    # At most ``most`` rows, next to the background's few.
+    table = spark.createDataFrame(list(enumerate(listed)), "_c int, _mask array<boolean>")
+    draws = rows.select("instance", "x", F.explode(F.sequence(F.lit(0), F.lit(size * len(listed) - 1))).alias("_d"))
+    draws = draws.withColumn("_b", (F.col("_d") % size).cast("int")).withColumn("_c", F.floor(F.col("_d") / size).cast("int"))
+    paired = draws.join(F.broadcast(numbered), "_b").join(F.broadcast(table), "_c")
+    mixed = F.transform("x", lambda v, j: F.when(F.get("_mask", j), v).otherwise(F.get("_back", j)))
+    worth = scorer(paired.select("instance", "_c", mixed.alias("x"))).groupBy("instance", "_c").agg(F.avg("prediction").alias("v"))
+    # As many numbers per instance as there are coalitions.
+    per_row = worth.groupBy("instance").agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", "v"))), lambda s: s["v"]).alias("v"))
+    z = masks.astype(float)
+    design = z[:, :-1] - z[:, -1:]
+    inverse = np.linalg.inv(design.T @ (weights[:, None] * design)) if p > 1 else np.zeros((0, 0))
+    solve = (weights[:, None] * design) @ inverse
+    spread = np.append(np.diag(inverse), inverse.sum())
+    free = max(1, len(masks) - (p - 1))
+
+    @F.arrow_udf("array<struct<phi:double,error:double>>")
+    def fit(v: pa.Array) -> pa.Array:
+        v = matrix(pa.chunked_array([v]))
+        empty, full = v[:, :1], v[:, -1:]
+        y = v[:, 1:-1] - empty - z[:, -1] * (full - empty)
+        phi = y @ solve
+        rest = y - phi @ design.T
+        phi = np.column_stack([phi, (full - empty)[:, 0] - phi.sum(axis=1)])
+        variance = (rest * rest * weights).sum(axis=1) / free
+        error = np.zeros_like(phi) if every else np.sqrt(np.maximum(variance[:, None] * spread[None, :], 0.0))
+        flat = pa.StructArray.from_arrays([pa.array(phi.ravel()), pa.array(error.ravel())], names=["phi", "error"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * p), flat)
+
+    names = F.array(*[F.lit(f) for f in features])
+    return per_row.select("instance", F.posexplode(fit("v")).alias("j", "s")).select(
+        "instance", F.get(names, F.col("j")).alias("feature"), F.col("s.phi").alias("phi"), F.col("s.error").alias("error"))
+
+
 def shapley_importance(contributions: DataFrame, mean_abs: bool = True) -> DataFrame:
     """Mean absolute (or signed) contribution of each feature, largest first."""
     value = F.avg(F.abs("phi") if mean_abs else F.col("phi"))

@@ -39,6 +39,7 @@ from ..functions.rand import poisson_weights
 from ..session import cut_lineage, ready_workers
 from . import scoring, trees
 from .profile import CLASSIFICATION, REGRESSION, correlations
+from .resample import exact_bootstrap
 from .trees import ALPHA, DIGITS, EXACT, LOOKAHEAD, MUTED, QUARTILES, RANDOM, SAMPLE_SHARE, UNIFORM_BELOW, Rule, protected_columns
 
 # Fixed value: predicted levels at most.
@@ -358,10 +359,11 @@ def walk(state: DataFrame, plans: list[dict[int, dict[str, np.ndarray]]]) -> Dat
     return state.withColumn("at", move("x", "at"))
 
 
-def _bootstrap(seed: str, trees_: int, by_row: bool) -> Column:
-    if not by_row:
-        return F.array_repeat(F.lit(1), trees_)
-    return poisson_weights(seed, trees_, "row_id")
+def _drawn(rows: DataFrame, seed: str, trees_: int, bootstrap: bool | str) -> DataFrame:
+    """``rows`` with the weight of each row in each tree."""
+    if bootstrap == "exact":
+        return exact_bootstrap(rows, "row_id", trees_, seed)
+    return rows.withColumn("w", poisson_weights(seed, trees_, "row_id") if bootstrap else F.array_repeat(F.lit(1), trees_))
 
 
 def grow(
@@ -379,7 +381,7 @@ def grow(
     exact: bool = False,
     tried: int | None = None,
     split_from: int = 2,
-    bootstrap: bool = True,
+    bootstrap: bool | str = True,
 ) -> tuple[Forest, DataFrame]:
     """Grow one tree per (k, muting rate) in ``configs``.
 
@@ -390,6 +392,7 @@ def grow(
     threshold per column. ``exact`` grows trees that try every threshold of
     ``tried`` columns per split (of all for numbers, of their root for classes).
     Both of these split pure nodes no further, and others from ``split_from`` rows on.
+    ``bootstrap`` draws Poisson weights, which need no pass; ``"exact"`` draws exactly n of n rows.
     A node of at most ``gather`` rows is grown to its leaves in one task.
     """
     spark = rows.sparkSession
@@ -408,9 +411,8 @@ def grow(
     # A fixed number of partitions: each row becomes trees x trials rows in flight, so small
     # input must not be coalesced into one task, and large input keeps its parallelism.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    state = cut_lineage(rows.select(
-        "row_id", "x", "c", "y", row_code(seed, F.col("row_id")).alias("code"), _bootstrap(seed, size, bootstrap and not random_cuts).alias("w"),
-    ).repartition(parts, "row_id"))
+    coded = rows.select("row_id", "x", "c", "y", row_code(seed, F.col("row_id")).alias("code"))
+    state = cut_lineage(_drawn(coded, seed, size, False if random_cuts else bootstrap).repartition(parts, "row_id"))
     most = max(k for k, _ in configs)
     if n_rows <= gather and n_rows * (8 * p + 64) <= GATHER_BYTES:
         nodes = cut_lineage(_whole_trees(state, configs, rule, parts))

@@ -6,7 +6,9 @@ Training and test rows carry ``row_id``, ``y`` and the assembled ``features``.
 from __future__ import annotations
 
 import math
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from . import boosting as boosts
-from . import forest
+from . import forest, logit
 from .profile import CLASSIFICATION, REGRESSION
 
 OUT = ["row_id", "y", "prediction"]
@@ -74,11 +76,19 @@ def lasso(alpha: float) -> LinearRegression:
     return LinearRegression(labelCol="y", elasticNetParam=1.0, regParam=alpha, standardization=False, maxIter=500, tol=1e-10)
 
 
-def logistic(n_rows: int, c: float = 1.0, l1: bool = False) -> LogisticRegression:
-    """Penalty on the weights against ``c`` times the summed loss; the intercept is free."""
-    return LogisticRegression(
-        labelCol="y", regParam=1.0 / (c * n_rows), elasticNetParam=1.0 if l1 else 0.0, standardization=False,
-        maxIter=100 if l1 else 1000)
+def logistic(n_rows: int, c: float = 1.0) -> LogisticRegression:
+    """L2 penalty on the weights against ``c`` times the summed loss; the intercept is free."""
+    return LogisticRegression(labelCol="y", regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, maxIter=1000)
+
+
+def l1_logistic(table: Table, c: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """One class against the rest, the intercept penalised like the weights."""
+    weights = logit.fit(_array_rows(table.train, table.task), table.n_classes, c)
+
+    def predict(df: DataFrame) -> DataFrame:
+        return logit.decision(weights, _array_rows(df, table.task)).select("row_id", F.col("c").cast("double").alias("y"), "prediction")
+
+    return predict
 
 
 # --- tree ensembles ------------------------------------------------------------------------------
@@ -248,7 +258,7 @@ def _estimator(make: Callable[[Table], object]) -> Fit:
 
 def competitors(task: str, trees: int = 50, depth: int | None = None, seed: int = 42) -> dict[str, Fit]:
     """The seven competitors by name."""
-    linear = _estimator(lambda t: lasso(1.0)) if task == REGRESSION else _estimator(lambda t: logistic(t.n_rows, l1=True))
+    linear = _estimator(lambda t: lasso(1.0)) if task == REGRESSION else l1_logistic
     return {
         "Random_Forest": lambda t: random_forest(t, trees, depth, seed),
         "RF-log(p)": lambda t: adapted_forest(t, "log_p", trees, depth, seed),
@@ -277,7 +287,7 @@ def baselines(task: str, trees: int = 50, depth: int | None = None, seed: int =
         }
     return {
         "Logistic Regression": _estimator(lambda t: logistic(t.n_rows)),
-        "Logistic Regression (L1)": _estimator(lambda t: logistic(t.n_rows, l1=True)),
+        "Logistic Regression (L1)": l1_logistic,
         **ensembles,
     }
 
@@ -288,15 +298,39 @@ class Run:
     report: DataFrame              # (method, seconds, error)
 
 
-def run_all(table: Table, fits: dict[str, Fit], threads: int = 3) -> Run:
-    """Fit every model, a few at a time; a failure is kept as text."""
+def run_all(table: Table, fits: dict[str, Fit], threads: int = 3, deadline: float | None = None) -> Run:
+    """Fit every model, a few at a time; a failure is kept as text.
+
+    Each model has a scheduler pool and a job group of its own, so that in a session with the
+    FAIR mode a long fit does not hold up the others. A model that is not fitted
+    within ``deadline`` seconds is cancelled with all its jobs and keeps its row as failed.
+    """
+    context = table.train.sparkSession.sparkContext
+    run = uuid.uuid4().hex
 
     def one(name: str, fit: Fit):
+        group, late = f"fit-{run}-{name}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+        timer = threading.Timer(deadline, stop) if deadline is not None else None
+        context.setJobGroup(group, f"fit {name}", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", name)
         start = time.time()
         try:
-            return name, fit(table), time.time() - start, None
+            if timer is not None:
+                timer.start()
+            model = fit(table)
+            return (name, None, time.time() - start, _late(deadline)) if late.is_set() else (name, model, time.time() - start, None)
         except Exception as error:  # one failed model must not lose the others
-            return name, None, time.time() - start, str(error)
+            return name, None, time.time() - start, _late(deadline) if late.is_set() else str(error)
+        finally:
+            if timer is not None:
+                timer.cancel()
+            for key in ("spark.scheduler.pool", "spark.jobGroup.id", "spark.job.description"):
+                context.setLocalProperty(key, None)
 
     with ThreadPoolExecutor(threads) as pool:
         results = list(pool.map(lambda item: one(*item), fits.items()))
@@ -312,6 +346,10 @@ def run_all(table: Table, fits: dict[str, Fit], threads: int = 3) -> Run:
     return Run(out, report)
 
 
+def _late(deadline: float | None) -> str:
+    return f"not fitted within {deadline:g} seconds"
+
+
 def scores(run: Run, task: str) -> DataFrame:
     """One row per method and split with its metrics, its seconds and, if it failed, null metrics and the error."""
     from .metrics import accuracy, regression_metrics

@@ -121,6 +121,14 @@ def xai_shap(spark, sf):
     return _explained(spark, sf)
 
 
+@query("xai_shap_kernel", f"SELECT instance, feature, phi, 0::DOUBLE AS error FROM ({SHAP_SQL})", "phi error")
+def xai_shap_kernel(spark, sf):
+    """The kernel estimator; for a linear score it gives the closed form."""
+    df = customers(spark, sf)
+    back = explain.instances(explain.background(df, "c_custkey"), "c_custkey", FEATURES)
+    return explain.kernel_shapley(explain.linear_scorer(WEIGHTS, 1.0), explain.instances(df, "c_custkey", FEATURES), back, FEATURES)
+
+
 @query("xai_shap_importance", f"SELECT feature, avg(abs(phi)) AS importance FROM ({SHAP_SQL}) GROUP BY feature", "importance")
 def xai_shap_importance(spark, sf):
     return explain.shapley_importance(_explained(spark, sf))

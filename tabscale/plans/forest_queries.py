@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform, poisson_steps, poisson_weight
 from ..operators import forest, metrics
+from ..operators.resample import exact_bootstrap
 from . import fixtures as fx
 from .profile_queries import sql_corr, union
 from .registry import query
@@ -26,6 +27,13 @@ def rf_bootstrap(spark, sf):
     return rows.withColumn("w", poisson_weight(42, "tree", "event_id"))
 
 
+@query("rf_bootstrap_exact", f"SELECT CAST(tree AS INTEGER) AS tree, count(*) AS n_rows, count(*) AS drawn FROM events, range({DRAWN}) AS t(tree) GROUP BY tree")
+def rf_bootstrap_exact(spark, sf):
+    """Every tree draws exactly as many rows as there are."""
+    drawn = exact_bootstrap(fx.table(spark, sf, "events").select("event_id"), "event_id", DRAWN)
+    return drawn.select(F.posexplode("w").alias("tree", "w")).groupBy("tree").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("drawn"))
+
+
 # --- samples: lineitem, drawn three times ------------------------------------------------
 
 FLAG = "(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)"

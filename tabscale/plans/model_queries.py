@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rand import hash_uniform
-from ..operators import boosting, forest, models, prepare
+from ..operators import boosting, forest, logit, models, prepare
 from . import fixtures as fx
 from .forest_queries import MARGINAL_SQL, SURFACE_COLUMNS, marginal, surface_table
 from .profile_queries import union
@@ -94,7 +94,28 @@ def ml_logit(spark, sf):
 
 @query("ml_logit_l1")
 def ml_logit_l1(spark, sf):
-    return _scored(flags(spark, sf), models._estimator(lambda t: models.logistic(t.n_rows, l1=True)), "Logistic L1")
+    return _scored(flags(spark, sf), models.l1_logistic, "Logistic L1")
+
+
+@query("ml_logit_l1_optimal", f"""SELECT CAST(c AS INTEGER) AS class, CAST(j AS INTEGER) AS coefficient, true AS holds
+FROM range(3) AS t(c), range({len(SURFACE_COLUMNS) + 1}) AS u(j), (SELECT count(*) AS n FROM events) WHERE n > 0""")
+def ml_logit_l1_optimal(spark, sf):
+    """The conditions that only optimal weights meet, from sums over the training rows: the
+    gradient is at most 1 where a weight is zero, and minus the weight's sign elsewhere."""
+    table = flags(spark, sf)
+    rows = models._array_rows(table.train, table.task)
+    weights = logit.fit(rows, table.n_classes)
+    cells = []
+    for k, w in zip(weights.classes, weights.w, strict=True):
+        x = [*[F.get("x", F.lit(i)) for i in range(len(w) - 1)], F.lit(1.0)]
+        y = F.when(F.col("c") == k, 1.0).otherwise(-1.0)
+        score = sum((F.lit(float(v)) * e for v, e in zip(w, x, strict=True)), F.lit(0.0))
+        pull = -y / (1 + F.exp(y * score))
+        for j, v in enumerate(w):
+            g = F.sum(pull * x[j])
+            met = (F.abs(g) <= 1 + 1e-3) if v == 0 else (F.abs(g + (1.0 if v > 0 else -1.0)) <= 1e-3)
+            cells.append(F.struct(F.lit(k).alias("class"), F.lit(j).alias("coefficient"), met.alias("holds")))
+    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 @query("ml_rf")

@@ -65,14 +65,29 @@ def src_catalog(spark, sf):
     return df.withColumnRenamed(target, "y")
 
 
-@query("src_load_all", """SELECT 'concrete' AS name, 'p_retailprice' AS target, count(*) AS n_rows FROM part
-UNION ALL SELECT 'red_wine', 'quality', count(*) FROM events""")
-def src_load_all(spark, sf):
+def _two_sources(spark, sf):
     folder = _folder(spark)
     sinks.write_csv(fx.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), f"{folder}/concrete")
     wine = fx.table(spark, sf, "events").select(F.col("user_id").alias("quality"), "value")
     wine.write.option("header", True).option("sep", ";").csv(f"{folder}/red_wine")
-    tables, _ = catalog.load_all(spark, folder)
+    return catalog.load_all(spark, folder)
+
+
+UNREAD = ", ".join(f"('{n}', {len(s.locations)})" for n, s in catalog.SOURCES.items() if n not in ("concrete", "red_wine"))
+
+
+@query("src_load_errors", f"SELECT name, CAST(locations AS INTEGER) AS locations, true AS missing FROM (VALUES {UNREAD}) AS v(name, locations), (SELECT count(*) AS n FROM part) WHERE n > 0")
+def src_load_errors(spark, sf):
+    """The sources that could not be read: how many locations were tried, and that their paths do not exist."""
+    _, errors = _two_sources(spark, sf)
+    tried = F.size(F.split("error", "PATH_NOT_FOUND")) - 1
+    return errors.select("name", tried.alias("locations"), (tried > 0).alias("missing"))
+
+
+@query("src_load_all", """SELECT 'concrete' AS name, 'p_retailprice' AS target, count(*) AS n_rows FROM part
+UNION ALL SELECT 'red_wine', 'quality', count(*) FROM events""")
+def src_load_all(spark, sf):
+    tables, _ = _two_sources(spark, sf)
     out = None
     for name, (df, target) in tables.items():
         row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(target).alias("target"), "n_rows")

@@ -278,6 +278,28 @@ def test_boosting_equals_a_plain_loop(surface):
     assert not wrong.any()
 
 
+def test_exact_bootstrap_draws_n_of_n(spark):
+    """Totals are exact at any range size, weights look Poisson, and the layout does not matter."""
+    from tabscale.operators.resample import exact_bootstrap
+
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    for size in (20_000, 100):
+        a, b = ({r.k: r.w for r in exact_bootstrap(df.repartition(n), "k", 4, range_rows=size).collect()} for n in (2, 7))
+        assert a == b and len(a) == 3000
+        w = np.array(list(a.values()))
+        assert (w.sum(axis=0) == 3000).all()
+        expected = 3000 * np.exp(-1) / np.array([1, 1, 2, 6])
+        seen = np.array([[(w[:, t] == k).sum() for k in range(4)] for t in range(4)])
+        assert (((seen - expected) ** 2 / expected).sum(axis=1) < 16).all()  # chi-square, three degrees
+        assert np.abs(np.corrcoef(w.T) - np.eye(4)).max() < 0.08
+    assert exact_bootstrap(df.limit(0), "k", 2).collect() == []
+
+
+def test_forest_on_exact_bootstraps(surface):
+    model, state = forest.grow(surface, "regression", [(1, 0.0)] * 2, exact=True, bootstrap="exact", max_depth=2)
+    assert {r.n for r in model.nodes().where("depth = 0").collect()} == {600}
+
+
 def test_gain_importance_adds_up(surface):
     model, _ = forest.grow(surface, "regression", [(1, 0.0)] * 3, exact=True, max_depth=4)
     rated = {r.feature: r.importance for r in forest.gain_importance(model).collect()}

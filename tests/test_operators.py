@@ -239,3 +239,79 @@ def test_json_round_trip(spark, tmp_path):
     sinks.write_json(sinks.nested_results(scores), str(tmp_path / "out"))
     cells = spark.read.json(str(tmp_path / "out")).first().cells
     assert [(m.method, m.n_successful) for m in cells[0].methods] == [("m", 2), ("n", 0)]
+
+
+def test_a_model_past_its_deadline_becomes_an_error_row(spark):
+    df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 5).cast("double").alias("a"), F.col("id").cast("double").alias("y"))
+    table = models.assemble(df, df, "k", ["a"], "y", "regression")
+
+    def endless(t):
+        while True:
+            spark.range(0, 10**11, 1, 2).selectExpr("sum(hash(id, id + 1))").collect()
+
+    run = models.run_all(table, {"late": endless, "ok": models._estimator(lambda t: models.ols())}, deadline=8)
+    rows = {r.method: r for r in run.report.collect()}
+    assert rows["late"].error == "not fitted within 8 seconds" and rows["late"].seconds < 60 and rows["ok"].error is None
+    assert {r.method for r in run.predictions.select("method").distinct().collect()} == {"ok"}
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_l1_logistic_reaches_the_optimum(spark, classes):
+    """No weight can be moved either way, and useless columns have none."""
+    from tabscale.operators import logit
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    c = np.digitize(x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.5, 300), [-0.5, 0.5] if classes == 3 else [0.0])
+    rows = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, c))], "row_id int, x array<double>, c int").repartition(3)
+    found = logit.fit(rows, classes, c=0.2)
+    wide = np.column_stack([x, np.ones(300)])
+
+    def objective(k, w):
+        y = np.where(c == k, 1.0, -1.0)
+        return np.abs(w).sum() + 0.2 * np.logaddexp(0, -y * (wide @ w)).sum()
+
+    for k, w, value in zip(found.classes, found.w, found.objective, strict=True):
+        assert value == pytest.approx(objective(k, w))
+        assert all(objective(k, w + s * e) >= value - 1e-7 for e in np.eye(7) for s in (1e-3, -1e-3, 0.1, -0.1))
+        assert (w == 0).sum() >= 2
+    out = logit.decision(found, rows)
+    assert out.agg(F.avg((F.col("c") == F.col("prediction")).cast("int"))).first()[0] > 0.7
+
+
+def _products(df):
+    x = F.col("x")
+    return df.withColumn("prediction", x[0] * x[1] + 2 * x[2] - x[3] * x[0] * x[2] + sum(x[j] for j in range(4, 7)))
+
+
+def test_kernel_values_equal_the_definition_and_add_up(spark):
+    """All coalitions against the definition; a sample of them adds up and comes near."""
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(0)
+    p, names = 7, [f"f{j}" for j in range(7)]
+    x, back = rng.normal(size=(4, p)), rng.normal(size=(5, p))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "instance int, x array<double>")
+    behind = spark.createDataFrame([(v.tolist(),) for v in back], "x array<double>")
+    f = lambda z: z[:, 0] * z[:, 1] + 2 * z[:, 2] - z[:, 3] * z[:, 0] * z[:, 2] + z[:, 4:].sum(1)
+
+    def worth(i, chosen):
+        z = back.copy()
+        z[:, list(chosen)] = x[i, list(chosen)]
+        return f(z).mean()
+
+    def exact(i, j):
+        others = [k for k in range(p) if k != j]
+        return sum(
+            factorial(n) * factorial(p - n - 1) / factorial(p) * (worth(i, (*s, j)) - worth(i, s)) for n in range(p) for s in combinations(others, n))
+
+    whole = {(r.instance, r.feature): r for r in explain.kernel_shapley(_products, rows, behind, names).collect()}
+    for i in range(4):
+        for j in range(p):
+            assert whole[i, names[j]].phi == pytest.approx(exact(i, j), abs=1e-9) and whole[i, names[j]].error == 0
+    part = explain.kernel_shapley(_products, rows, behind, names, most=80).collect()
+    assert all(r.error > 0 for r in part)
+    assert max(abs(r.phi - whole[r.instance, r.feature].phi) / r.error for r in part) < 6
+    for i in range(4):
+        assert sum(r.phi for r in part if r.instance == i) == pytest.approx(float(f(x[i:i + 1])[0] - f(back).mean()))
