@@ -84,29 +84,52 @@ def first_parameters(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     return flat
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def by_value(x: np.ndarray, top: int) -> np.ndarray:
+    """A stable order that puts equal whole numbers up to ``top`` (or PAD) side by side, by radix passes over 16 bits."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order if top < 65_535 else order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log of each row's softmax at one column; ``x`` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    return got - np.log(x.sum(axis=1))
 
 
 def _hidden(p: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
-    h = np.broadcast_to(p["hidden"], (context.shape[1], HIDDEN)).copy()
-    for k in range(len(OFFSETS)):
+    h = p["tables"][0][context[0]]
+    for k in range(1, len(OFFSETS)):
         h += p["tables"][k][context[k]]
+    h += p["hidden"]
     return np.tanh(h, out=h)
 
 
+def _classes(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the ids by class, the classes in that order, and (class, from, to) of each that occurs."""
+    group = ids // CLASS
+    order = by_value(group, n)
+    group = group[order]
+    cuts = np.searchsorted(group, np.arange(n + 1)).tolist()
+    return order, group, [(c, lo, hi) for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+
+
 def log_probs(p: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each id given its context (one row per offset)."""
-    order = np.argsort(ids, kind="stable")
-    context, sorted_ids = context[:, order], ids[order]
-    h = _hidden(p, context)
-    group = sorted_ids // CLASS
-    got = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(ids)), group].astype(np.float64)
-    cuts = np.searchsorted(group, np.arange(len(p["class_bias"]) + 1))
-    for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if hi > lo:
-            got[lo:hi] += _log_softmax(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c])[np.arange(hi - lo), sorted_ids[lo:hi] % CLASS]
+    order, group, runs = _classes(ids, len(p["class_bias"]))
+    h, word = _hidden(p, context[:, order]), ids[order] % CLASS
+    got = _log_chosen(h @ p["to_class"] + p["class_bias"], group).astype(np.float64)
+    for c, lo, hi in runs:
+        got[lo:hi] += _log_chosen(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c], word[lo:hi])
     out = np.empty(len(ids))
     out[order] = got
     return out
@@ -114,36 +137,38 @@ def log_probs(p: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) ->
 
 def train_batch(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, rate: float = 0.1) -> None:
     """One step of stochastic gradient descent with per-parameter rates."""
-    order = np.argsort(ids, kind="stable")
-    context, ids = context[:, order], ids[order]
-    n = len(ids)
+    order, group, runs = _classes(ids, len(p["class_bias"]))
+    context, word, n = context[:, order], ids[order] % CLASS, len(ids)
+    at = np.arange(n)
     h = _hidden(p, context)
-    group = ids // CLASS
-    grad = np.exp(_log_softmax(h @ p["to_class"] + p["class_bias"]))
-    grad[np.arange(n), group] -= 1
 
-    def step(name, where, g) -> None:
-        squares[name][where] += g * g
-        p[name][where] -= rate * g / np.sqrt(squares[name][where] + 1e-6)
+    def step(name: str, where, g: np.ndarray) -> None:
+        held = squares[name][where] + g * g
+        squares[name][where] = held
+        held += 1e-6
+        g *= rate
+        g /= np.sqrt(held, out=held)
+        p[name][where] -= g
 
+    grad = _softmax(h @ p["to_class"] + p["class_bias"])
+    grad[at, group] -= 1
     back = grad @ p["to_class"].T
-    moves = [("to_class", (...,), h.T @ grad / n), ("class_bias", (...,), grad.mean(0))]
-    cuts = np.searchsorted(group, np.arange(len(p["class_bias"]) + 1))
-    for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if hi > lo:
-            part = np.exp(_log_softmax(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c]))
-            part[np.arange(hi - lo), ids[lo:hi] % CLASS] -= 1
-            back[lo:hi] += part @ p["to_word"][c].T
-            moves += [("to_word", (c,), h[lo:hi].T @ part / n), ("word_bias", (c,), part.sum(0) / n)]
-    for move in moves:
-        step(*move)
+    step("to_class", ..., h.T @ grad / n)
+    step("class_bias", ..., grad.mean(0))
+    for c, lo, hi in runs:
+        part = _softmax(h[lo:hi] @ p["to_word"][c] + p["word_bias"][c])
+        part[at[: hi - lo], word[lo:hi]] -= 1
+        back[lo:hi] += part @ p["to_word"][c].T
+        step("to_word", c, h[lo:hi].T @ part / n)
+        step("word_bias", c, part.sum(0) / n)
     back *= 1 - h * h
     back /= n
-    step("hidden", (...,), back.sum(0))
+    step("hidden", ..., back.sum(0))
     for k in range(len(OFFSETS)):
-        by = np.argsort(context[k], kind="stable")
-        rows, first = np.unique(context[k][by], return_index=True)
-        step("tables", (k, rows), np.add.reduceat(back[by], first, axis=0))
+        by = by_value(context[k], p["tables"].shape[1])
+        rows = context[k][by]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        step("tables", (k, rows[first]), np.add.reduceat(back[by], first, axis=0))
 
 
 def bucket(words: np.ndarray) -> np.ndarray:
