@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,10 @@ from .common import clear_names, mix, new_path, ready_workers
 #: vocabulary's own pattern; taking them possessively only saves the search for shorter ones.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Without two signs of white space in a row there is nothing to look ahead for, and an
+#: automaton that never turns back finds the same runs with these.
+PLAIN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
+GAP = r"[\t-\r \x{85}\p{Z}]{2}"
 #: The free id after the ranks ends a document and fills its last sequence.
 END = 50_256
 LENGTH = 256
@@ -52,16 +57,24 @@ def record_type(length: int = LENGTH) -> np.dtype:
 
 
 class Tokens:
-    """Token ids of whole texts, as bytes."""
+    """Token ids of whole texts. ``plain`` stands for ``pattern`` in texts that ``gap`` does not match."""
 
-    def __init__(self, ranks: str = RANKS, pattern: str = PATTERN) -> None:
+    def __init__(self, ranks: str = RANKS, pattern: str = PATTERN, plain: str = PLAIN, gap: str = GAP) -> None:
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.encoding, self.plain = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=merges, special_tokens={}) for p in (pattern, plain))
+        self.gap = gap
+
+    def encode(self, texts: pa.Array) -> Iterator[list[int]]:
+        """The ids of each text of a column."""
+        whole, plain = self.encoding.encode_ordinary, self.plain.encode_ordinary
+        gaps = pc.match_substring_regex(texts, self.gap).to_pylist()
+        for text, gap in zip(texts.to_pylist(), gaps, strict=True):
+            yield (whole if gap else plain)(text) if text else []
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        encode = self.encoding.encode_ordinary
-        return [array("H", encode(t)).tobytes() if t else b"" for t in texts]
+        """The ids of each text, as bytes."""
+        return [array("H", ids).tobytes() for ids in self.encode(pa.array(texts, pa.string()))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,9 +106,9 @@ def slots(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 def _counted(ranks: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequences, check = tokens(ranks).encode_batch, 0, 0
+        encode, sequences, check = tokens(ranks).encode, 0, 0
         for batch in batches:
-            sequences += sum((len(ids) // 2 + length) // length for ids in encode(batch["text"].to_pylist()))
+            sequences += sum((len(ids) + length) // length for ids in encode(batch["text"]))
             check = zlib.crc32(np.array([NO_ID if i is None else i for i in batch["doc_id"].to_pylist()], "<i8").tobytes(), check)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sequences], pa.int64()), pa.array([check], pa.int64())], names=["part", "sequences", "check"])
@@ -110,11 +123,11 @@ def _sequences(fixed, ranks: str, length: int, shard_slots: int, key: int):
         starts, n = fixed.value
         part = TaskContext.get().partitionId()
         start, expected, wanted = starts.get(part, (0, 0, 0))
-        encode, number, check = tokens(ranks).encode_batch, start, 0
+        encode, number, check = tokens(ranks).encode, start, 0
         for batch in batches:
             docs = np.array([NO_ID if i is None else i for i in batch["doc_id"].to_pylist()], "<i8")
             check = zlib.crc32(docs.tobytes(), check)
-            rows = [np.frombuffer(ids, "<u2") for ids in encode(batch["text"].to_pylist())]
+            rows = [array("H", ids) for ids in encode(batch["text"])]
             sizes = np.array([len(r) + 1 for r in rows], np.int64)
             counts = (sizes + length - 1) // length
             at = np.concatenate([[0], np.cumsum(counts)])

@@ -224,6 +224,13 @@ def test_tokens_follow_the_vocabularys_pattern():
     assert [np.frombuffer(b, "<u2").tolist() for b in own.encode_batch(texts)] == [other.encode_ordinary(t) for t in texts]
 
 
+def test_tokens_at_every_kind_of_white_space():
+    own = shards.tokens(shards.RANKS)
+    white = [*map(chr, [9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])]
+    texts = [before + a + b + after for a in white for b in ["", *white] for before in ("", "ab", "7", ".") for after in ("", "c", "'ll", "!")]
+    assert [np.frombuffer(b, "<u2").tolist() for b in own.encode_batch(texts)] == [own.encoding.encode_ordinary(t) for t in texts]
+
+
 def stored_frame(spark, rows, tmp_path):
     path = str(tmp_path / "docs")
     frame(spark, rows).write.parquet(path)
