@@ -36,7 +36,8 @@ HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
 #: Passes over the texts, each from averaged parameters. Together they train on every position once.
 ROUNDS = 2
-BATCH = 2048
+#: Words of a step, and its rate.
+BATCH, RATE = 8192, 0.6
 #: Numbers in a row while models are averaged, and models that one group adds up.
 BLOCK, FAN_IN = 16_384, 64
 
@@ -135,7 +136,7 @@ def log_probs(p: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray) ->
     return out
 
 
-def train_batch(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, rate: float = 0.1) -> None:
+def train_batch(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], context: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
     """One step of stochastic gradient descent with per-parameter rates."""
     order, group, runs = _classes(ids, len(p["class_bias"]))
     context, word, n = context[:, order], ids[order] % CLASS, len(ids)
