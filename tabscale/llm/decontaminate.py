@@ -23,8 +23,6 @@ from .common import clear_names, ready_workers
 
 #: Edits allowed for each 100 characters of an item.
 ERRORS_PER_100 = 5
-#: Shorter items (normalised) are met by chance: only whole words without an edit count.
-SHORTEST = 30
 #: Characters of items that are broadcast at once.
 BLOCK_CHARS = 8_000_000
 _GAPS = re.compile(r"[\W_]+")
@@ -81,7 +79,7 @@ class Block:
     """A searcher for some items: (item_id, normalised text)."""
 
     def __init__(self, items: list[tuple[int, str]], per_100: int = ERRORS_PER_100) -> None:
-        self.items = [(i, t, budget(t, per_100) if len(t) >= SHORTEST else 0, masks(t)) for i, t in items]
+        self.items = [(i, t, budget(t, per_100), masks(t)) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, errors, _) in enumerate(self.items):
             for lo, piece in pieces(text, errors):
@@ -103,7 +101,7 @@ class Block:
             for k, lo in found:
                 _, item, errors, _ = self.items[k]
                 begin = last + 1 - size - lo
-                if len(item) < SHORTEST:
+                if not errors:  # so short that parts of words are met by chance: whole words only
                     if k not in short and text[max(0, begin - 1) : begin] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
                         short[k] = last + 1
                     continue
@@ -151,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_100: int = ERRORS_PE
 
     Texts and items are normalised first; ``end`` is the place in the normalised text where
     the closest part ends. Null and empty texts hold nothing; items that are null or
-    hold no letter or digit are not searched, those under ``SHORTEST`` characters only as
+    hold no letter or digit are not searched, those too short for an edit only as
     whole words without an edit. A document with a null id gives rows with a
     null id, repeated rows give repeated hits, and an empty table on either side gives none.
     """

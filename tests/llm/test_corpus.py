@@ -332,6 +332,21 @@ def test_short_items_are_whole_words(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), benchmark).collect()} == {2, 3, 5, 7, 9}
 
 
+def test_items_of_any_length_have_their_budget(spark):
+    items = ["abcdefghij klmnopqrs", "abcdefghij klmnopqrst uvwxyz", "abcdefghij klmnopqr"]
+    assert [decontaminate.budget(t) for t in items] == [1, 1, 0]
+    texts = [*items, *[t.replace("h", "x") for t in items], *[f"q{t}q" for t in items], items[0].replace("ab", "xy")]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontaminate.contaminated(frame(spark, list(enumerate(texts))), benchmark).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        for k, item in enumerate(items):
+            allowed = decontaminate.budget(item)
+            if (edits_brute(item, text) <= allowed) if allowed else f" {item} " in f" {text} ":
+                want.add((i, k))
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and {(3, 0), (4, 1), (6, 0)} <= want
+
+
 def test_contaminated_empty(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(frame(spark, HOSTILE), empty).collect() == []
