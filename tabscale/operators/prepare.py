@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import col, numeric_columns, per_feature, text_columns
 from ..functions.ordering import lookup, with_position
 from ..functions.quantiles import order_statistic
-from ..functions.rand import hash_normal, hash_normal_array, hash_uniform
+from ..functions.rand import batch_normals, hash_normal_array, hash_uniform
 from .profile import CLASSIFICATION, REGRESSION
 
 WIDTH = 500          # columns of a prepared table
@@ -72,14 +72,15 @@ def _signals(df: DataFrame, features: list[str], n: int, seed) -> tuple[list[str
 def _with_noise(df: DataFrame, key: str, n: int, seed, picks: list[str], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Add the array column ``_noise`` of ``n`` mixed noise values."""
     df = _parallel(df)
-    noise = hash_normal_array(f"{seed}|mix", n, key)
+    noise = batch_normals(f"{seed}|mix", n, key)
     if not picks:
         return df.select("*", noise.alias("_noise"))
     scaled = {c: (col(c) - F.lit(m)) / F.lit((s or 0.0) + 1e-8) for c, (m, s) in stats.items()}
     if n <= 32:
         # Few columns stay generated code; many share one lambda.
-        return df.select("*", F.array(*[
-            scaled[c] + 2.0 * hash_normal(f"{seed}|mix|{i}", key) for i, c in enumerate(picks)]).alias("_noise"))
+        drawn = df.select("*", noise.alias("_drawn"))
+        mixed = F.array(*[scaled[c] + 2.0 * F.get("_drawn", F.lit(i)) for i, c in enumerate(picks)])
+        return drawn.select(*[col(c) for c in df.columns], mixed.alias("_noise"))
     used = list(scaled)
     at = F.array(*[F.lit(used.index(c) + 1) for c in picks])
     mixed = F.zip_with(at, noise, lambda i, e: F.element_at(F.col("_signals"), i) + 2.0 * e)
