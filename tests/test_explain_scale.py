@@ -59,3 +59,9 @@ def test_missing_values_stay_missing(spark):
     found = {(r.instance, r.feature): r.phi for r in explain.shapley(explain.linear_scorer([1.0, 1.0]), rows, back, ["a", "b"]).collect()}
     assert found[2, "a"] == 1.0 and found[2, "b"] == 2.0
     assert all(v is None or v == v for v in found.values())
+
+
+def test_surrogates_of_missing_values_have_no_weights(spark):
+    rows = spark.createDataFrame([(1, [1.0, None]), (2, [1.0, 2.0])], "instance long, x array<double>")
+    found = explain.local_surrogate(explain.linear_scorer([1.0, 1.0]), rows, [1.0, 1.0], ["a", "b"], samples=50).collect()
+    assert len(found) == 4 and all((r.weight is None) == (r.instance == 1) for r in found)
