@@ -328,3 +328,47 @@ def test_many_tables_are_compared_with_the_muted_forest(monkeypatch):
     assert len(configs) == 9
     for task, fits in zip(("regression", "classification"), seen, strict=True):
         assert set(fits) == configs | set(models.baselines(task))
+
+
+def test_plain_trees_grow_a_level_at_once_whatever_the_sizes():
+    """A skewed tree of many levels tells every row apart, and an empty one is a leaf."""
+    from tabscale.operators import trees
+
+    n = 400
+    x, y = np.arange(n, dtype=float)[None, :], 2.0 ** -np.arange(n)
+    for kind in (trees.EXACT, trees.RANDOM):
+        grower = trees.Grower(trees.Rule(kind, False, 1, 2, 1, 7, tried=1), x, np.zeros(n, int), y, np.arange(n))
+        start = trees.Start(0, 1, 5, 0, 1, 0.0, np.zeros(1, int), np.zeros(1), np.ones(1))
+        found = grower.table_of(start, np.ones(n, int)).to_pylist()
+        assert len(found) == len({r["node"] for r in found}) and sum(r["n"] for r in found if r["left"] is None) == n
+        assert all(r["left"] is None or {r["left"], r["right"]} <= {o["node"] for o in found} for r in found)
+        assert len(grower.table_of(start, np.zeros(n, int))) == 1
+
+
+def test_plain_trees_grow_whole_beyond_the_rows_of_a_rated_node(surface, monkeypatch):
+    """Before, a table of over GATHER rows was split by shuffled passes, however small its bytes."""
+    monkeypatch.setattr(forest, "GATHER", 100)
+    monkeypatch.setattr(forest, "_by_levels", None)
+    for kind in ("random", "exact"):
+        assert forest.grow(surface, "regression", [(1, 0.0)] * 2, **GROWERS[kind])[0].nodes().where("depth = 0").count() == 2
+
+
+@pytest.mark.parametrize("gather", [20_000, 100])
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_large_trees_meet_their_rows_in_one_shuffle(surface, task, gather, monkeypatch):
+    """Whole trees and trees of pieces give the votes of packed trees, also for keys that repeat and over many tasks."""
+    from tabscale.operators import scoring
+
+    rows = surface if task == "regression" else _as_classes(surface)
+    model, _ = forest.grow(rows, task, [(1, 0.0)] * 3, exact=True, split_from=30, gather=gather)
+    twice = rows.unionByName(rows.limit(50))
+    key = lambda df: sorted(tuple(round(v, 9) for v in r.votes) for r in df.select("votes").collect())
+    tallied = lambda: sorted((r.row_id, [round(v, 7) for v in r.t]) for r in forest.tally(model, twice, [0, 1, 0], "t").collect())
+    votes, sums = key(forest.traverse(model, twice)), tallied()
+    monkeypatch.setattr(scoring, "PACKED_BYTES", 0)
+    for size in (scoring.PIECE_BYTES, 4000):
+        monkeypatch.setattr(scoring, "PIECE_BYTES", size)
+        out = forest.traverse(model, twice)
+        assert key(out) == votes and len(votes) == 650 and tallied() == sums
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FlatMapCoGroupsInArrow") == 1
