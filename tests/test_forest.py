@@ -372,3 +372,16 @@ def test_large_trees_meet_their_rows_in_one_shuffle(surface, task, gather, monke
         assert key(out) == votes and len(votes) == 650 and tallied() == sums
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_few_large_nodes_are_rated_without_a_row_per_trial(surface, monkeypatch):
+    """Before, every pass made a row of each drawn row, embedded tree and test."""
+    monkeypatch.setattr(forest, "_probed_by_shuffle", None)
+    plans = []
+    probed = forest._probed
+    monkeypatch.setattr(forest, "_probed", lambda *a: plans.append(probed(*a)) or plans[-1])
+    forest.grow(surface, "regression", [(1, 0.5)], max_depth=1, trials=4, gather=0)
+    assert len(plans) == 3
+    for plan in plans:
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert text.count("explode") <= 1 and "MapInArrow" in text
