@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabscale.functions.rand import hash_uniform
+from tabscale.functions.rand import hash_uniform, poisson_weight
 from tabscale.operators import forest
+from tabscale.plans import fixtures as fx
+from tabscale.plans import forest_queries
 
 
 @pytest.fixture(scope="module")
@@ -385,3 +387,17 @@ def test_few_large_nodes_are_rated_without_a_row_per_trial(surface, monkeypatch)
     for plan in plans:
         text = plan._jdf.queryExecution().analyzed().toString()
         assert text.count("explode") <= 1 and "MapInArrow" in text
+
+
+def test_samples_draw_each_weight_once(spark, tmp_path):
+    """No filter may repeat the formula of a draw, which takes a digest per step of the distribution."""
+    rows = [(i, 1 + i % 5, float(i % 50), 0.01 * (i % 9), 0.02, "ANR"[i % 3], "F", 10.0 * i) for i in range(200)]
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice"]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    drawn = forest_queries.samples(spark, str(tmp_path), "regression")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+    found = sorted((r.tree, r.row_id, r.w) for r in drawn.collect())
+    every = drawn.sparkSession.read.parquet(str(tmp_path / "lineitem.parquet")).select(
+        F.expr(fx.LINE_KEY).alias("row_id"), F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("tree")).withColumn("w", poisson_weight(42, "tree", "row_id"))
+    assert found == sorted((r.tree, r.row_id, r.w) for r in every.collect() if r.w > 0)

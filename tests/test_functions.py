@@ -69,6 +69,18 @@ def test_grouped_quantiles_do_not_depend_on_the_path(spark):
         assert one.keys() == many.keys() and all(np.allclose(one[k], many[k], atol=1e-12) for k in one)
 
 
+def test_grouped_quantiles_add_up_equal_values_first(spark, monkeypatch):
+    """Many rows of few values need no count and no running totals."""
+    def fail(*_, **__):
+        raise AssertionError("running totals of few values")
+
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id % 7 AS DOUBLE) AS v", "CAST(id % 2 AS INT) AS w")
+    expected = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.9)), F.col("w")).alias("q")).collect()}
+    monkeypatch.setattr(quantiles, "running_totals", fail)
+    found = quantiles.grouped_quantiles(df, ["g"], "v", [0.25, 0.9], "w", small=50)
+    assert {r.g: r.q for r in found.collect()} == expected
+
+
 def test_order_statistic(skewed):
     pdf, df = skewed
     for rank in (0, 1, 1500, 2999):
