@@ -401,3 +401,22 @@ def test_samples_draw_each_weight_once(spark, tmp_path):
     every = drawn.sparkSession.read.parquet(str(tmp_path / "lineitem.parquet")).select(
         F.expr(fx.LINE_KEY).alias("row_id"), F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("tree")).withColumn("w", poisson_weight(42, "tree", "row_id"))
     assert found == sorted((r.tree, r.row_id, r.w) for r in every.collect() if r.w > 0)
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_exact_splits_of_large_nodes_shuffle_packed_intervals(spark, task, monkeypatch):
+    """Before, each tree, column and value was a row, shuffled twice. Values that repeat, NaN, null and infinite ones split alike."""
+    from tabscale.operators import cuts
+
+    monkeypatch.setattr(forest, "running_totals", None, raising=False)
+    monkeypatch.setattr(cuts, "ENTRIES", 100)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        few, odd = float(rng.integers(0, 4)), [1.0, float("nan"), None, float("inf"), float("-inf")][i % 5]
+        wide = float(rng.normal())
+        t = 3.0 * (few > 1) + 2.0 * (wide > 0.3) + (0.5 if odd == 1.0 else 0.0)
+        rows.append((i, [few, odd, wide], int(t) if task == "classification" else 0, 1.0 if task == "classification" else t + 0.1 * float(rng.normal())))
+    df = spark.createDataFrame(rows, "row_id bigint, x array<double>, c int, y double").cache()
+    a, b = (_nodes(forest.grow(df, task, [(1, 0.0)] * 2, exact=True, tried=3, max_depth=2, gather=g)[0]) for g in (20_000, 60))
+    assert len(a) >= 6 and a == b
