@@ -420,3 +420,17 @@ def test_exact_splits_of_large_nodes_shuffle_packed_intervals(spark, task, monke
     df = spark.createDataFrame(rows, "row_id bigint, x array<double>, c int, y double").cache()
     a, b = (_nodes(forest.grow(df, task, [(1, 0.0)] * 2, exact=True, tried=3, max_depth=2, gather=g)[0]) for g in (20_000, 60))
     assert len(a) >= 6 and a == b
+
+
+def test_columns_of_the_surface_are_drawn_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Before, a table of one row group was drawn, kept and boosted in one task."""
+    from tabscale.functions import ordering
+
+    names = ["event_id", *forest_queries.SURFACE_COLUMNS, "t"]
+    spark.createDataFrame([(i,) for i in [*range(200), 7, None]], "event_id bigint").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda df: sorted(map(str, df.select(*names).collect()))
+    whole = forest_queries.surface_table(spark, str(tmp_path))
+    monkeypatch.setattr(ordering, "PIECE_ROWS", 50)
+    many = forest_queries.surface_table(spark, str(tmp_path))
+    assert whole.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 5
+    assert key(many) == key(whole)
